@@ -24,8 +24,9 @@ from tropelens.llm.common import as_bytes, partitions, written
 from tropelens.llm.components import connected_components
 from tropelens.llm.decontaminate import shards
 
-BLOCK_BYTES = 24 << 20
-CACHE_WORDS = 300_000
+#: Text of one block in a task: more lanes take larger blocks, so that packed arrays don't get too short.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 24 << 20
+CACHE_WORDS = 150_000
 SIGNATURE = 64
 FREQUENT = np.iinfo(np.int32).max
 # Odd multipliers of the places in a shingle.
@@ -135,12 +136,13 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
     spark = docs.sparkSession
     keys = lanes(spark)
     n_lanes = len(keys)
+    block = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, n_lanes << 15))
     common = spark.sparkContext.broadcast(frequent_shingles(docs, width, sample_docs, frequent_share))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen, frequent = WordHashes(), set(), common.value
         for batch in batches:
-            for part in shards(batch, "text", BLOCK_BYTES):
+            for part in shards(batch, "text", block):
                 ids, nodes, sizes, own, owners = [], [], [], [], []
                 for key, text in zip(part["id"], part["text"], strict=True):
                     s = shingle_set(text, width, hashes)
