@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import as_bytes, partitions, written
+from tropelens.llm.common import as_bytes, partitions, release, written
 from tropelens.llm.components import connected_components
 from tropelens.llm.decontaminate import shards
 
@@ -178,6 +178,8 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
                             rows.append((keys[k], TOKENS, tokens[start:end].tobytes(), o[first].tobytes(), runs.tobytes()))
                         start = end
                 yield pd.DataFrame(rows, columns=["lane", "kind", "a", "b", "c"])
+                del rows, own, part
+                release()
 
     def counted(batch: pd.DataFrame) -> pd.DataFrame:
         """Keeps the shingles of two classes or more, each with its frequency, and sends them to their class's lane."""
@@ -185,9 +187,18 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
         rows = list(batch[batch["kind"] != TOKENS].itertuples(index=False, name=None))
         tokens = np.frombuffer(b"".join(part["a"]), dtype=np.uint64)
         owner = np.repeat(np.frombuffer(b"".join(part["b"]), dtype=np.int64), np.frombuffer(b"".join(part["c"]), dtype=np.int32))
-        order = np.lexsort((owner, tokens))
+        order = np.argsort(tokens, kind="stable")
+        ordered = tokens[order]
+        equal = ordered[1:] == ordered[:-1]
+        twice = np.zeros(len(order), dtype=bool)
+        twice[1:] |= equal
+        twice[:-1] |= equal
+        order = order[twice]  # most shingles occur once and end here
         tokens, owner = tokens[order], owner[order]
+        del ordered, equal, twice, part
         if len(tokens):
+            order = np.lexsort((owner, tokens))
+            tokens, owner = tokens[order], owner[order]
             new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])  # copies from several tasks
             tokens, owner = tokens[new], owner[new]
             first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -195,6 +206,7 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
             n = np.repeat(n, n)
             tokens, owner, n = tokens[n > 1], owner[n > 1], n[n > 1].astype(np.int32)
             rows += packed(to_lanes(owner.view(np.uint64), n_lanes), keys, FOUND, owner, tokens, n)
+        release()
         return pd.DataFrame(rows, columns=["lane", "kind", "a", "b", "c"])
 
     def gathered(batch: pd.DataFrame) -> pd.DataFrame:
@@ -216,6 +228,7 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
             if single < prefix_length(size):
                 t = tokens[a:b]
                 rows.append((0, int(owner[a]), size, int(single), t.view(np.int64).tolist(), np.bincount((t & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE).tolist()))
+        release()
         return pd.concat([out, pd.DataFrame(rows, columns=out.columns)]) if rows else out
 
     p = partitions(spark)
