@@ -21,40 +21,37 @@ from tropelens.llm.language import fold
 
 #: Bounds of the training sample: documents of either label, and characters of one document.
 TRAIN_DOCS, TRAIN_CHARS = 1_200, 100_000
-SPACE = 1 << 18
 #: Chains restart after so many tokens: the recursion runs over all chains of a batch at once.
 CHAIN = 64
 #: Words remembered between batches.
 CACHE_WORDS = 200_000
 
 
-def features(token: str) -> list[str]:
-    """Of a token as it stands: case and outer punctuation are ignored. None for tokens without a letter."""
-    word = token.strip("".join(c for c in set(token) if not c.isalpha())) if not token.isalpha() else token
-    word = word.lower()
-    if not word:
-        return []
-    return [f"w:{word}", *(f"p{k}:{word[:k]}" for k in (3, 4, 5) if len(word) >= k), f"s:{word[-3:]}"]
+#: Stripped from a token's ends.
+OUTER = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
+KINDS = ("word", "begin3", "begin4", "begin5", "end3")
 
 
-def slot(feature: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(feature) % SPACE
+def features(token: str) -> tuple[str, ...]:
+    """One for each of KINDS: the word and its ends, without case and outer punctuation; none for tokens without a word."""
+    word = token.strip(OUTER).lower()
+    return (word, word[:3], word[:4], word[:5], word[-3:]) if word else ()
 
 
 class Emissions(dict):
-    """token -> score of the tag toxic against the other; computed once a word, bounded in size."""
+    """token -> score of the tag toxic against the other; bounded in size."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: list[dict[str, float]], bias: float):
         super().__init__()
         self.weights, self.bias = weights, bias
 
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        f = features(token)
-        value = self[token] = self.bias + (float(sum(self.weights[slot(x)] for x in f)) / len(f) if f else 0.0)
+        value = self.bias
+        for table, feature in zip(self.weights, features(token), strict=False):
+            value += table.get(feature, 0.0)
+        self[token] = value
         return value
 
 
@@ -99,49 +96,59 @@ def chained(values: np.ndarray, fill: float) -> np.ndarray:
 
 def token_labels(docs: list[list[str]], toxic: np.ndarray, least_docs: int = 4, least_share: float = 0.012, odds: float = 15.0) -> list[np.ndarray]:
     """0/1 for each token: in toxic documents, tokens with a telling feature."""
-    seen = [set().union(*(features(t) for t in set(d))) if d else set() for d in docs]
+    telling_of = {t: [f for f in zip(KINDS[:4], features(t), strict=False) if f[0] != "begin3"] for d in docs for t in d}
     in_toxic, in_other = Counter(), Counter()
-    for s, y in zip(seen, toxic, strict=True):
-        (in_toxic if y else in_other).update(x for x in s if x[0] != "s")
+    for d, y in zip(docs, toxic, strict=True):
+        (in_toxic if y else in_other).update({f for t in set(d) for f in telling_of[t]})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     telling = {f for f, c in in_toxic.items() if c >= max(least_docs, least_share * n1) and (c / n1) / ((in_other[f] + 0.5) / n0) >= odds}
-    bad = {t for d, y in zip(docs, toxic, strict=True) if y for t in set(d) if telling.intersection(features(t))}
+    bad = {t for d, y in zip(docs, toxic, strict=True) if y for t in set(d) if telling.intersection(telling_of[t])}
     return [np.array([t in bad for t in d], dtype=float) if y else np.zeros(len(d)) for d, y in zip(docs, toxic, strict=True)]
 
 
-def fit_crf(docs: list[list[str]], labels: list[np.ndarray], rounds: int = 40, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights by hashed feature, bias and transitions: gradient ascent (AdaGrad) on the chains' log-likelihood."""
+def fit_crf(docs: list[list[str]], labels: list[np.ndarray], rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> tuple[list[dict[str, float]], float, np.ndarray]:
+    """Weights by feature, bias and transitions: gradient ascent (AdaGrad) on the chains' log-likelihood."""
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in d], dtype=int) for d in docs]
     ids = [x for x in ids if len(x)]
     labels = [y for y in labels if len(y)]
     if not ids:
-        return np.zeros(SPACE), -5.0, np.zeros((2, 2))
+        return [{} for _ in KINDS], -5.0, np.zeros((2, 2))
     token = np.concatenate([chained(x, -1) for x in ids]).astype(int)
     y = np.concatenate([chained(x, 0) for x in labels])
-    rows = np.concatenate([np.full(len(features(t)), k) for t, k in vocabulary.items()]).astype(int)
-    slots = np.array([slot(x) for t in vocabulary for x in features(t)], dtype=int)
-    share = 1.0 / np.maximum(1, np.bincount(rows, minlength=len(vocabulary)))
+    known: dict[tuple[str, str], int] = {}
+    rows, slots = [], []
+    for t, k in vocabulary.items():
+        for f in zip(KINDS, features(t), strict=False):
+            rows.append(k)
+            slots.append(known.setdefault(f, len(known)))
+    rows, slots, size = np.array(rows, dtype=int), np.array(slots, dtype=int), len(known)
     real = token >= 0
-    gold = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:]))[real[:, 1:]].sum(), ((1 - y[:, :-1]) * y[:, 1:])[real[:, 1:]].sum()], [(y[:, :-1] * (1 - y[:, 1:]))[real[:, 1:]].sum(), (y[:, :-1] * y[:, 1:])[real[:, 1:]].sum()]])
-    w, bias, trans = np.zeros(SPACE), -4.0, np.zeros((2, 2))
-    gw, gb, gt = np.full(SPACE, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    padding = float((~real[:, 1:]).sum())
-    used = np.unique(slots)
+    gold, next_real = np.zeros((2, 2)), real[:, 1:]
+    for a in (0, 1):
+        for b in (0, 1):
+            gold[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & next_real).sum()
+    w, bias, trans = np.zeros(size), -4.0, np.zeros((2, 2))
+    gw, gb, gt = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    padding = float((~next_real).sum())
     for _ in range(rounds):
-        emit = bias + np.bincount(rows, weights=w[slots], minlength=len(vocabulary)) * share
+        emit = bias + np.bincount(rows, weights=w[slots], minlength=len(vocabulary))
         p, pairs = marginals(np.where(real, emit[token], -50.0), trans)
         pairs[0, 0] -= padding  # next to nothing else happens there
         diff = np.where(real, y - p, 0.0)
-        by_token = np.bincount(token[real], weights=diff[real], minlength=len(vocabulary)) * share
-        step = np.bincount(slots, weights=by_token[rows], minlength=SPACE) - l2 * w
-        gw[used] += step[used] ** 2
-        w[used] += 4 * rate * step[used] / np.sqrt(gw[used])
+        by_token = np.bincount(token[real], weights=diff[real], minlength=len(vocabulary))
+        step = np.bincount(slots, weights=by_token[rows], minlength=size) - l2 * w
+        gw += step**2
+        w += rate * step / np.sqrt(gw)
         db, dt = diff.sum(), gold - pairs - l2 * trans
         gb, gt = gb + db**2, gt + dt**2
-        bias += rate * db / np.sqrt(gb)
+        bias += 0.2 * rate * db / np.sqrt(gb)
         trans += 0.2 * rate * dt / np.sqrt(gt)
-    return w, float(bias), trans
+    tables: list[dict[str, float]] = [{} for _ in KINDS]
+    for (kind, f), value in zip(known, w, strict=True):
+        if abs(value) >= 0.05:
+            tables[KINDS.index(kind)][f] = float(value)
+    return tables, float(bias), trans
 
 
 def summary(p: np.ndarray) -> list[float]:
@@ -162,12 +169,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 
 class Tagger:
-    """The trained field and the document model; small enough to broadcast (SPACE weights)."""
+    """The trained field and the document model: as many weights as the bounded sample has features."""
 
     def __init__(self, docs: list[str], toxic: list[int]):
         tokens, y = [d.split() for d in docs], np.array(toxic, dtype=int)
         self.weights, self.bias, self.trans = fit_crf(tokens, token_labels(tokens, y))
-        self.weights = self.weights.astype(np.float32)
         self.prior = float(y.mean()) if len(y) else 0.0
         p = self.tag(tokens, Emissions(self.weights, self.bias))
         self.logistic = fit_logistic(np.array([summary(x) for x in p]), y) if len(set(toxic)) == 2 else None
