@@ -72,8 +72,12 @@ class Shard:
         ok = (at >= 0) & (at < len(self.tokens))
         return np.where(ok, self.tokens[np.where(ok, at, 0)], -1) if len(self.tokens) else np.full(len(at), -1)
 
-    def search(self, windows: TestWindows, slop: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window numbers, start positions, exact) of all exact occurrences, and of the places in proximity.
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.doc_start, at, side="right") - 1
+
+    def search(self, windows: TestWindows, slop: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+        """(window numbers, start positions, positions of the rarest term, exact) of all exact occurrences, and of the
+        places in proximity.
 
         A window is in proximity where its two rarest terms stand within `slop` places of their due distance, but the
         phrase as a whole doesn't match.
@@ -97,26 +101,28 @@ class Shard:
                 ok = (term < 0) | (self.token(start[left] + offset) == term)
                 exact[left[~ok]] = False
                 left = left[ok]
-            near = np.zeros(len(rows), dtype=bool)
+            near, seen = np.zeros(len(rows), dtype=bool), self.postings[at]
             if windows.width > 1 and slop:
                 second = order[rows, 1]
                 term = m[live[rows], second]
+                doc = self.doc_of(seen)
                 for shift in range(-slop, slop + 1):
-                    near |= (term >= 0) & (self.token(start + second + shift) == term)
+                    there = start + second + shift
+                    near |= (term >= 0) & (self.token(there) == term) & (self.doc_of(there) == doc)
             near &= ~exact
             keep = exact | near
-            yield live[rows[keep]], start[keep], exact[keep]
+            yield live[rows[keep]], start[keep], seen[keep], exact[keep]
 
     def report(self, windows: TestWindows, slop: int, before: np.ndarray) -> tuple[np.ndarray, list[set[str]], np.ndarray]:
         """Hit flags of all tokens (with those of earlier blocks), and of each document the items and the near windows."""
         n, size = len(self.n_words), max(1, len(windows.sizes))
         marks = np.zeros(len(self.tokens) + 1, dtype=np.int64)
         pairs, near_pairs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for window, start, exact in self.search(windows, slop):
+        for window, start, seen, exact in self.search(windows, slop):
             w, s = window[exact], start[exact]
             np.add.at(marks, s, 1)
             np.add.at(marks, s + windows.sizes[w], -1)
-            doc = np.searchsorted(self.doc_start, start, side="right") - 1
+            doc = self.doc_of(seen)
             pairs.append(np.unique(doc[exact] * size + w))
             near_pairs.append(np.unique(doc[~exact] * size + window[~exact]))
         items: list[set[str]] = [set() for _ in range(n)]
@@ -128,7 +134,7 @@ class Shard:
     def spans(self, hit: np.ndarray) -> list[list[int]]:
         """Per document the hit runs as start, end, start, end ... in word numbers."""
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-        doc = np.searchsorted(self.doc_start, edges[::2], side="right") - 1
+        doc = self.doc_of(edges[::2])
         out: list[list[int]] = [[] for _ in self.n_words]
         for d, a, b in zip(doc, edges[::2], edges[1::2], strict=True):
             out[d] += [int(a - self.doc_start[d]), int(b - self.doc_start[d])]
@@ -198,20 +204,20 @@ def one_block(docs: DataFrame, windows: TestWindows, slop: int) -> DataFrame:
     """Adds one block's findings to __spans, __items and n_near. The block is what each task holds of the benchmark."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         windows = shared.value
-        for batch in batches:
-            for part in shards(batch, "__bytes"):
-                shard = Shard(list(part["__bytes"]), windows.terms)
-                hit, items, near = shard.report(windows, slop, shard.flags(list(part["__spans"])))
-                yield part.assign(
-                    n_words=shard.n_words,
-                    n_near=part["n_near"].to_numpy() + near,
-                    __spans=shard.spans(hit),
-                    __items=[sorted(new.union(old)) for new, old in zip(items, part["__items"], strict=True)],
-                )
-
-    return docs.mapInPandas(scan, docs.schema)
+        for texts, before in batches:
+            out = []
+            for part in shards(pd.DataFrame({"text": texts, "spans": before}), "text"):
+                shard = Shard(list(part["text"]), windows.terms)
+                hit, items, near = shard.report(windows, slop, shard.flags(list(part["spans"])))
+                out += zip(shard.n_words, shard.spans(hit), [sorted(x) for x in items], near.tolist(), strict=True)
+            yield pd.DataFrame(out, columns=["n_words", "spans", "items", "near"])
+
+    scanner = F.pandas_udf(scan, "n_words long, spans array<long>, items array<string>, near long", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    out = docs.withColumn("__found", scanner("__bytes", "__spans"))
+    found = {"n_words": F.col("__found.n_words"), "__spans": F.col("__found.spans"), "__items": F.array_union("__items", "__found.items"), "n_near": F.col("n_near") + F.col("__found.near")}
+    return out.withColumns(found).drop("__found")
 
 
 def shards(batch: pd.DataFrame, column: str, most: int = SHARD_BYTES) -> Iterator[pd.DataFrame]:

@@ -131,16 +131,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     is_held = fold(F.col(id_col), folds) == held
     langs, matrix = train(docs.where(~is_held), text_col, lang_col, train_docs)
     shared = docs.sparkSession.sparkContext.broadcast((langs, [np.ascontiguousarray(matrix[:, k]) for k in range(len(langs))]))
-    plain = docs.select(F.col(id_col).alias(id_col), is_held.alias("held_out"), F.col(text_col).cast("string").alias("__text"))
-    schema = f"`{id_col}` {plain.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs, columns = shared.value
-        for batch in batches:
-            named, scores = score_texts([None if t is None else t for t in batch["__text"]], langs, columns)
-            yield batch.drop(columns="__text").assign(lang_pred=named, score=scores)
+    @F.pandas_udf("lang_pred string, score double")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        named, scores = score_texts(list(texts), *shared.value)
+        return pd.DataFrame({"lang_pred": named, "score": scores})
 
-    return plain.mapInPandas(score, schema)
+    found = score.asNondeterministic()(F.col(text_col).cast("string"))  # never evaluated twice
+    return docs.select(F.col(id_col).alias(id_col), is_held.alias("held_out"), found.alias("__found")).select(id_col, "held_out", "__found.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

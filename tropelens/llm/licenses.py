@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -182,17 +181,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows are each scanned; an empty table gives an empty result; extra columns are ignored.
     """
     scanner = Scanner(BASE, TEMPLATES if templates is None else templates)
-    plain = docs.select(F.col(id_col).alias(id_col), as_bytes(F.col(text_col)).alias("__bytes"))
-    id_type = plain.schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<string>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame([scanner.scan(t) for t in batch["__bytes"]])
-            out.insert(0, id_col, batch[id_col].to_numpy())
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+    @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<string>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([scanner.scan(t) for t in texts], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"])
+        return out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return plain.mapInPandas(run, schema)
+    found = scan.asNondeterministic()(as_bytes(F.col(text_col)))  # never evaluated twice
+    return docs.select(F.col(id_col).alias(id_col), found.alias("__found")).select(id_col, "__found.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -116,17 +116,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w0 AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM d),
-tok AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w0),
-tri AS (SELECT doc_id, i, w AS a, lead(w) OVER q AS b, lead(w, 2) OVER q AS c FROM tok WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
-rep AS (SELECT doc_id, count(DISTINCT i + s) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS s) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS m FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY doc_id),
-m AS (SELECT w0.doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g'))::BIGINT AS word_chars,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w0 AS (SELECT rid, doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM d),
+tok AS (SELECT rid, unnest(w) AS w, unnest(range(len(w))) AS i FROM w0),
+tri AS (SELECT rid, i, w AS a, lead(w) OVER q AS b, lead(w, 2) OVER q AS c FROM tok WINDOW q AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT i + s) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS s) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n, count(DISTINCT line) AS m FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY rid),
+m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_lines,
   coalesce(l.n - l.m, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
-  FROM w0 LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+  FROM w0 LEFT JOIN l USING (rid) LEFT JOIN rep USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   (n_words < 50)::INT + (100 * n_repeat_words > 50 * n_words)::INT + (100 * n_symbols > 25 * n_words)::INT + (100 * n_dup_lines > 30 * n_lines)::INT AS n_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (n_failed > 0)::DOUBLE AS k FROM f GROUP BY source),

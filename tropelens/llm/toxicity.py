@@ -243,22 +243,22 @@ def toxicity(
     """
     tagger = Tagger(*training_docs(docs, labels, id_col, text_col, label_col, held, folds, train_docs, train_chars))
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    plain = docs.select(F.col(id_col).alias(id_col), (fold(F.col(id_col), folds) == held).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    schema = f"`{id_col}` {plain.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int, spans array<string>"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = shared.value
         emissions = Emissions(tagger.weights, tagger.bias)
         for batch in batches:
             scores, spans = [], []
             for start in range(0, len(batch), 256):
-                texts = list(batch["__text"].iloc[start : start + 256])
+                texts = list(batch.iloc[start : start + 256])
                 for text, p in zip(texts, tagger.tag([t.split() for t in texts], emissions), strict=True):
                     scores.append(tagger.score(p))
                     spans.append(offending(text, p))
-            yield batch.drop(columns="__text").assign(score=scores, predicted=[int(s >= 0.5) for s in scores], spans=spans)
+            yield pd.DataFrame({"score": scores, "predicted": [int(s >= 0.5) for s in scores], "spans": spans})
 
-    return plain.mapInPandas(score, schema)
+    scorer = F.pandas_udf(score, "score double, predicted int, spans array<string>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()  # never evaluated twice
+    found = scorer(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.select(F.col(id_col).alias(id_col), (fold(F.col(id_col), folds) == held).alias("held_out"), found.alias("__found")).select(id_col, "held_out", "__found.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "record_id string, page_id long, bundle string, frame int, frame_start long, frame_bytes long, record_offset long, record_bytes long"
+INDEX = "record_id string, page_id string, bundle string, frame int, frame_start long, frame_bytes long, record_offset long, record_bytes long"
 
 
 def filesystem(uri: str):
@@ -34,16 +34,16 @@ def filesystem(uri: str):
     return found, path
 
 
-def record_id(page_id: int | None) -> str:
+def record_id(page_id: str | None) -> str:
     return f"<urn:x-page:{'null' if page_id is None else page_id}>"
 
 
-def page_of(urn: str) -> int | None:
+def page_of(urn: str) -> str | None:
     tail = urn.strip("<>").rsplit(":", 1)[1]
-    return None if tail == "null" else int(tail)
+    return None if tail == "null" else tail
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def make_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
     """One WARC record. A revisit has the HTTP header with the full length, but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -146,8 +146,8 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
         writer, written_bytes = None, 0
         for batch in batches:
             placed = []
-            ids = [None if pd.isna(x) else int(x) for x in batch["page_id"]]
-            refs = [None if pd.isna(x) else int(x) for x in batch["refers_to"]]
+            ids = [None if pd.isna(x) else x for x in batch["page_id"]]
+            refs = [None if pd.isna(x) else x for x in batch["refers_to"]]
             for page, url, payload, digest, revisit, ref in zip(ids, batch["url"], batch["payload"], batch["digest"], batch["revisit"], refs, strict=True):
                 record = make_record(page, None if pd.isna(url) else url, payload, digest, ref, revisit)
                 writer = writer or BundleWriter(folder, frame_bytes)
@@ -156,13 +156,12 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
                 if written_bytes >= bundle_bytes:
                     placed += writer.close()
                     writer, written_bytes = None, 0
-            out = pd.DataFrame(placed, columns=names)
-            yield out.astype({"page_id": "Int64"})
+            yield pd.DataFrame(placed, columns=names)
         if writer:
-            yield pd.DataFrame(writer.close(), columns=names).astype({"page_id": "Int64"})
+            yield pd.DataFrame(writer.close(), columns=names)
 
     path = f"{folder}/index"
-    records.select("page_id", "url", "payload", "digest", "revisit", "refers_to").mapInPandas(pack, INDEX).write.parquet(path)
+    records.select(F.col("page_id").cast("string"), "url", "payload", "digest", "revisit", F.col("refers_to").cast("string")).mapInPandas(pack, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -206,9 +205,10 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                             page, revisit = page_of(head["WARC-Record-ID"]), head["WARC-Type"] == "revisit"
                             digest = head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(block[cut:]).hexdigest()
                             rows.append((page, length if revisit else len(block) - cut, digest, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if revisit else None))
-                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield pd.DataFrame(rows, columns=names)
 
-    return frames.repartition(F.col("bundle"), F.floor(F.col("frame") / 16)).mapInPandas(unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = frames.repartition(F.col("bundle"), F.floor(F.col("frame") / 16)).mapInPandas(unpack, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return found.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
