@@ -1,0 +1,37 @@
+"""Bootstrap and permutation: replicates are made where the rows are, only sums per replicate are shuffled."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Poisson(1): P(count <= k).
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 5) -> DataFrame:
+    """One row: n, mean and the percentile interval of the mean. Each row enters each replicate Poisson(1) times, by a hash of
+    replicate and key: the same on any partitioning."""
+    reps = rows.select(F.col(value).cast("double").alias("v"), F.col(key).alias("k")).where("v is not null")
+    reps = reps.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(1 << 30)) / float(1 << 30)
+    weight = sum((u >= p).cast("int") for p in POISSON)
+    sums = reps.groupBy("rep").agg(F.sum(weight * F.col("v")).alias("s"), F.sum(weight).alias("w"))
+    ends = sums.where("w > 0").agg(F.percentile(F.col("s") / F.col("w"), F.array(F.lit(0.025), F.lit(0.975))).alias("e")).first()["e"] or [None, None]
+    total = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return total.select("n", "mean", F.lit(ends[0]).cast("double").alias("lower"), F.lit(ends[1]).cast("double").alias("upper"))
+
+
+def permutation_difference(rows: DataFrame, value: str, flag: str, key: str, replicates: int = 500, seed: int = 5) -> DataFrame:
+    """One row: observed difference of means (flag true - false) and the add-one permutation p. Each replicate gives every row
+    a random place; the flag's share of places, by threshold, stands in for a shuffle of the labels."""
+    base = rows.select(F.col(value).cast("double").alias("v"), F.col(flag).cast("int").alias("f"), F.col(key).alias("k")).where("v is not null and f is not null")
+    got = base.agg(F.avg(F.when(F.col("f") == 1, F.col("v"))).alias("a"), F.avg(F.when(F.col("f") == 0, F.col("v"))).alias("b"), F.avg("f").alias("share")).first()
+    if got["a"] is None or got["b"] is None:
+        return rows.sparkSession.createDataFrame([(None, None)], "observed double, p double")
+    observed, share = got["a"] - got["b"], got["share"]
+    reps = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(1 << 30)) / float(1 << 30)
+    one = u < share
+    d = reps.groupBy("rep").agg((F.avg(F.when(one, F.col("v"))) - F.avg(F.when(~one, F.col("v")))).alias("d"))
+    return d.agg(F.lit(observed).alias("observed"), ((F.sum((F.abs("d") >= abs(observed)).cast("int")) + 1) / float(replicates + 1)).alias("p"))
