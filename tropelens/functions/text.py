@@ -56,15 +56,6 @@ def sentences(text: Column, end: str = SENTENCE_END) -> Column:
     return F.split(text, end)
 
 
-def sentence_spans(text: Column, end: str = SENTENCE_END) -> Column:
-    """array<struct<start, sentence>> with starts in characters: lengths of sentences and separators, summed up."""
-    parts = F.split(text, end)
-    gaps = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({end})"), F.lit(1)), lambda g: F.length(g)), F.array(F.lit(0)))
-    steps = F.zip_with(parts, gaps, lambda s, g: F.length(s) + g)
-    starts = F.aggregate(steps, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.zip_with(F.slice(starts, F.lit(1), F.size(parts)), parts, lambda a, s: F.struct(a.alias("start"), s.alias("sentence")))
-
-
 def lex_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LEX_TOKEN), F.lit(0))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tropelens.functions.patterns import PATTERNS, Pattern, has_match, match_count, per_thousand, space_word_count, word_count
-from tropelens.functions.text import SENTENCE_END, sentence_spans
+from tropelens.functions.text import SENTENCE_END, sentences
 
 
 def doc_counts(docs: DataFrame, text: str = "text", patterns: list[Pattern] | None = None) -> DataFrame:
@@ -66,10 +66,31 @@ def at_least(counts: DataFrame, column: str, thresholds: list[int]) -> DataFrame
     return sums.select(F.inline(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"t{t}").alias("n")) for t in thresholds))))
 
 
-def sentence_rows(docs: DataFrame, text: str = "text", end: str = SENTENCE_END) -> DataFrame:
-    """A row per sentence: docs without its text, pos, start (characters), sentence as split."""
-    spans = docs.withColumn("__spans", sentence_spans(F.col(text), end)).drop(text)
-    return spans.select(*[c for c in spans.columns if c != "__spans"], F.posexplode("__spans").alias("pos", "s")).select("*", "s.start", "s.sentence").drop("s")
+def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", end: str = SENTENCE_END) -> DataFrame:
+    """A row per sentence: key, pos, start (characters), sentence as split. Starts add up along a text, so each text is cut
+    in its own row of an Arrow batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rx = re.compile(end)
+        for batch in batches:
+            out = []
+            for k, t in zip(batch[key], batch["__t"], strict=True):
+                gaps = [m.span() for m in rx.finditer(t)]
+                starts, ends = [0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(t)]
+                out += [(k, i, a, t[a:b]) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
+            yield pd.DataFrame(out, columns=[key, "pos", "start", "sentence"])
+
+    return docs.select(key, F.col(text).alias("__t")).where("__t is not null").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, pos int, start long, sentence string")
+
+
+def sentences_with(docs: DataFrame, phrase: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, sentence, before, after of the sentences with a phrase (any case): neighbours come from the same array, so
+    nothing is shuffled and other sentences aren't made into rows."""
+    rows = docs.select(key, sentences(F.col(text)).alias("__s")).where(F.lower(F.array_join("__s", " ")).contains(phrase))
+    hits = F.filter(F.transform("__s", lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"))), lambda x: F.contains(F.lower(x["sentence"]), F.lit(phrase)))
+    rows = rows.withColumn("__h", F.explode(hits))
+    near = lambda k: F.coalesce(F.get("__s", F.col("__h.pos") + k), F.lit(""))
+    return rows.select(key, "__h.pos", "__h.sentence", near(-1).alias("before"), near(1).alias("after"))
 
 
 INSTANCE = "pattern_id string, tier int, match_text string, char_start long, char_end long, sentence string, local_start long, local_end long, context_before string, context_after string"

@@ -18,10 +18,17 @@ def positions(rows: DataFrame, key: str, n: int, tokens: str = "tokens") -> Data
     return rows.select(key, F.posexplode(ngrams(F.col(tokens), n)).alias("at", "gram"))
 
 
+def small_side(rows: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """rows, marked for broadcast if a count shows that they are few; else Spark joins them by key."""
+    return F.broadcast(rows) if rows.limit(most_rows + 1).count() <= most_rows else rows
+
+
 def shared(a: DataFrame, b: DataFrame, key_a: str, key_b: str, n: int) -> DataFrame:
-    """(key_a, key_b, shared): distinct n-grams in common, for pairs that have any."""
-    left, right = gram_set(a, n, [key_a]), gram_set(b, n, [key_b])
-    return left.join(right, "gram").groupBy(key_a, key_b).agg(F.count(F.lit(1)).alias("shared"))
+    """(key_a, key_b, shared): distinct n-grams in common, for pairs that have any. a is the smaller side: while it is
+    small, b's n-grams meet it where they are and only common ones are shuffled."""
+    left = small_side(gram_set(a, n, [key_a]))
+    right = b.select(key_b, F.explode(F.array_distinct(ngrams(F.col("tokens"), n))).alias("gram"))
+    return right.join(left, "gram").select(key_a, key_b, "gram").distinct().groupBy(key_a, key_b).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def log_odds(rows: DataFrame, key: str, positive: str, tokens: str, least_items: int = 4, strength: float = 10.0) -> DataFrame:

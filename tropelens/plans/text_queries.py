@@ -42,10 +42,8 @@ def sentence_counts(spark, d):
 @query("sentence_context", f"WITH {demo_sql()}, {SENT}, n AS (SELECT doc_id, pos, sentence, lag(sentence) OVER q AS before, lead(sentence) OVER q AS after FROM sent WINDOW q AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos::BIGINT AS pos, length(coalesce(before, ''))::BIGINT AS before, length(coalesce(after, ''))::BIGINT AS after FROM n WHERE contains(lower(sentence), 'rather than')")
 def sentence_context(spark, d):
     """Lengths of the neighbours of sentences with the phrase."""
-    rows = corpus.sentence_rows(demo(spark, d).select("doc_id", "text"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumns({"before": F.length(F.coalesce(F.lag("sentence").over(w), F.lit(""))), "after": F.length(F.coalesce(F.lead("sentence").over(w), F.lit("")))})
-    return rounded(rows.where(F.contains(F.lower("sentence"), F.lit("rather than"))).select("doc_id", "pos", "before", "after"))
+    rows = corpus.sentences_with(demo(spark, d).select("doc_id", "text"), "rather than")
+    return rounded(rows.select("doc_id", "pos", F.length("before").alias("before"), F.length("after").alias("after")))
 
 
 @query("excluded_antijoin", r"WITH x AS (SELECT doc_id FROM documents WHERE lang <> 'en' OR len(regexp_extract_all(text, '\p{L}{2,}')) < 200) SELECT source, count(*)::BIGINT AS docs FROM documents d WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = d.doc_id) GROUP BY source")
@@ -160,7 +158,7 @@ def ngram_overlap(spark, d):
 def longest_copy_run(spark, d):
     items = table(spark, d, "benchmark").select(tx.az_tokens(F.col("text")).alias("tokens"))
     docs = table(spark, d, "documents").select("doc_id", tx.az_tokens(F.col("text")).alias("tokens"))
-    hits = ngrams.positions(docs, "doc_id", 8).join(ngrams.gram_set(items, 8), "gram", "left_semi")
+    hits = ngrams.positions(docs, "doc_id", 8).join(ngrams.small_side(ngrams.gram_set(items, 8)), "gram", "left_semi")
     return ranking.longest_runs(hits, ["doc_id"], "at").select("doc_id", (F.col("longest") + 7).alias("words"))
 
 
