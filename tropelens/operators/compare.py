@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HUNK = "tag string, old_start int, removed array<string>, added array<string>, context_before array<string>, context_after array<string>"
@@ -45,3 +45,40 @@ def best_matches(left: DataFrame, right: DataFrame, block: str, a: str, b: str,
 
     scored = pairs.withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)
     return scored.groupBy(block, a).agg(F.max_by(b, F.struct("ratio", b)).alias(b), F.max("ratio").alias("ratio"))
+
+
+def classify_change(old: Column, new: Column, phrase: str = r"(?iU)\brather than\b") -> Column:
+    """added, removed, removed_surgical, reworded or none.
+
+    A removal is surgical if a run of six to five of the last 15 words before the phrase still stands in the new text, case
+    and edge punctuation aside; with fewer words before it, all of them.
+    """
+    had, has = old.rlike(phrase), new.rlike(phrase)
+    before = F.lower(F.regexp_extract(old, phrase.replace("(?iU)", "(?isU)^(.*?)"), 1))
+    words = F.filter(F.transform(F.split(F.trim(before), r"\s+"), lambda w: F.btrim(w, F.lit(",.;:()"))), lambda w: w != "")
+    tail = F.slice(words, F.greatest(F.size(words) - 14, F.lit(1)), 15)
+    plain = F.array_join(F.filter(F.transform(F.split(F.lower(new), r"\s+"), lambda w: F.btrim(w, F.lit(",.;:()"))), lambda w: w != ""), " ")
+    plain = F.concat(F.lit(" "), plain, F.lit(" "))
+
+    def survives(n: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(tail) - n + 1, F.lit(1))), lambda i: F.contains(plain, F.concat(F.lit(" "), F.array_join(F.slice(tail, i, n), " "), F.lit(" "))))
+
+    least = F.least(F.lit(5), F.size(tail))
+    surgical = (F.size(tail) > 0) & survives(least)
+    return (
+        F.when(had & ~has, F.when(surgical, "removed_surgical").otherwise("removed"))
+        .when(~had & has, "added")
+        .when(had & has & (old != new), "reworded")
+        .otherwise("none")
+    )
+
+
+def git_hunks(diff: Column) -> Column:
+    """array<struct<hunk, old_text, new_text>> of a unified diff; context lines are on both sides."""
+    parts = F.filter(F.split(diff, r"(?m)^(?=@@ )"), lambda h: h.startswith("@@ "))
+
+    def side(h: Column, mark: str) -> Column:
+        lines = F.filter(F.slice(F.split(h, "\n"), 2, 1_000_000), lambda x: x.startswith(mark) | x.startswith(" "))
+        return F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 1_000_000)), "\n")
+
+    return F.transform(parts, lambda h, i: F.struct(i.alias("hunk"), side(h, "-").alias("old_text"), side(h, "+").alias("new_text")))
