@@ -1,6 +1,5 @@
 """Sources, sinks, sampling, sections, vectors, preferences, services, stream, entry points."""
 
-import importlib.util
 import json
 
 import pandas as pd
@@ -155,5 +154,3 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() == 9
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 80
-    if importlib.util.find_spec("tropelens.llm"):
-        assert any(q.startswith("op1_") for q in entry.queries())
