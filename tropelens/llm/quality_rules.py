@@ -68,6 +68,7 @@ def quality_rules(
     max_repeat_percent: int = 50,
     max_symbol_percent: int = 25,
     max_dup_line_percent: int = 30,
+    min_dup_lines: int = 3,
     blocked_rate: float = 0.5,
     watched_rate: float = 0.05,
 ) -> DataFrame:
@@ -85,7 +86,7 @@ def quality_rules(
     measured = with_measures(base, "__text").drop("__text")
     n = F.col("n_words")
     few, repeats = n < min_words, 100 * F.col("n_repeat_words") > max_repeat_percent * n
-    symbols, dup = 100 * F.col("n_symbols") > max_symbol_percent * n, 100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("n_lines")
+    symbols, dup = 100 * F.col("n_symbols") > max_symbol_percent * n, (F.col("n_dup_lines") >= min_dup_lines) & (100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("n_lines"))
     measured = measured.withColumns({"base_failed": few | repeats, "n_failed": sum(x.cast("int") for x in (few, repeats, symbols, dup))})
     measured = written(measured.withColumn("__host", site_key(F.col("host"))), "quality")
 
@@ -128,7 +129,7 @@ m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t,
   coalesce(l.n - l.m, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w0 LEFT JOIN l USING (rid) LEFT JOIN rep USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  (n_words < 50)::INT + (100 * n_repeat_words > 50 * n_words)::INT + (100 * n_symbols > 25 * n_words)::INT + (100 * n_dup_lines > 30 * n_lines)::INT AS n_failed FROM m),
+  (n_words < 50)::INT + (100 * n_repeat_words > 50 * n_words)::INT + (100 * n_symbols > 25 * n_words)::INT + (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::INT AS n_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (n_failed > 0)::DOUBLE AS k FROM f GROUP BY source),
 p AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS rate, avg(k / n) * (1 - avg(k / n)) AS spread, var_pop(k / n) AS v FROM h),
 s AS (SELECT rate, CASE WHEN v = 0 OR spread <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(2.0::DOUBLE, spread / v - 1)) END AS strength FROM p),
