@@ -93,12 +93,13 @@ def normalised_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.squeezed(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("cut_sensitivity", r"WITH c AS (SELECT doc_id, text, contains(text, chr(10)) AS cut, CASE WHEN contains(text, chr(10)) THEN regexp_extract(text, '(?s)^(.*)\n', 1) ELSE text END AS body FROM documents) SELECT cut, count(*)::BIGINT AS n, sum(length(body))::BIGINT AS kept, sum(length(text))::BIGINT AS total FROM c GROUP BY ROLLUP (cut)")
+@query("cut_sensitivity", r"WITH c AS (SELECT doc_id, text, contains(text, chr(10)) AS cut, CASE WHEN contains(text, chr(10)) THEN regexp_extract(text, '(?s)^(.*)\n', 1) ELSE text END AS body FROM documents) SELECT coalesce(cut::VARCHAR, 'all') AS cut, count(*)::BIGINT AS n, sum(length(body))::BIGINT AS kept, sum(length(text))::BIGINT AS total FROM c GROUP BY ROLLUP (cut)")
 def cut_sensitivity(spark, d):
     """Lengths with the last line cut off, for documents that have several lines, the others, and all."""
     t = F.col("text")
     rows = table(spark, d, "documents").select(F.contains(t, F.lit("\n")).alias("cut"), F.length(F.when(F.contains(t, F.lit("\n")), F.regexp_extract(t, r"(?s)^(.*)\n", 1)).otherwise(t)).alias("kept"), F.length(t).alias("total"))
-    return rounded(rows.rollup("cut").agg(F.count(F.lit(1)).alias("n"), F.sum("kept").alias("kept"), F.sum("total").alias("total")))
+    out = rows.rollup("cut").agg(F.count(F.lit(1)).alias("n"), F.sum("kept").alias("kept"), F.sum("total").alias("total"))
+    return rounded(out.withColumn("cut", F.coalesce(F.col("cut").cast("string"), F.lit("all"))))
 
 
 @query("html_sections", r"SELECT page_id, len(regexp_extract_all(html, '<h1>'))::BIGINT AS headings, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
