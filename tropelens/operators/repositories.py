@@ -72,22 +72,27 @@ def file_kind(path: Column) -> Column:
 def packed(files: DataFrame, budget: int, shares: dict[str, float], repo: str = "repo") -> DataFrame:
     """Files taken into a bundle of `budget` characters per repository, in order of `rank`: a file that doesn't fit in its
     kind's share or in what is left is skipped, and later ones are still tried. A repository's file list (without contents)
-    goes through one task."""
-    rows = files.select(repo, "path", "kind", "rank", "size")
-
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        left, of, keep = budget, {k: budget * s for k, s in shares.items()}, []
-        for row in part.sort_values(["rank", "path"]).itertuples():
-            room = min(left, of.get(row.kind, left))
-            if row.size <= room:
-                keep.append(row.Index)
-                left -= row.size
-                if row.kind in of:
-                    of[row.kind] -= row.size
-        return part.loc[keep]
-
-    taken = rows.groupBy(repo).applyInPandas(take, rows.schema)
-    return files.join(taken.select(repo, "path"), [repo, "path"], "left_semi")
+    passes through one task in order, batch by batch: only what is left of the budget is held."""
+    rows = files.select(repo, "path", "kind", "rank", "size").where(F.col("size").isNotNull())
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, left, of = object(), 0.0, {}
+        for batch in batches:
+            keep = []
+            for name, kind, size in zip(batch[repo], batch["kind"], batch["size"], strict=True):
+                name = None if pd.isna(name) else name
+                if name != now:
+                    now, left, of = name, budget, {k: budget * s for k, s in shares.items()}
+                fits = size <= min(left, of.get(kind, left))
+                if fits:
+                    left -= size
+                    if kind in of:
+                        of[kind] -= size
+                keep.append(fits)
+            yield batch[keep]
+
+    taken = rows.repartition(F.col(repo)).sortWithinPartitions(repo, "rank", "path").mapInPandas(take, rows.schema)
+    return files.join(taken.select(repo, "path").distinct(), [repo, "path"], "left_semi")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 10) -> DataFrame:

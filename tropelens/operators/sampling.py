@@ -68,3 +68,41 @@ def draw_batch(pool: DataFrame, registry: DataFrame, batch: str, source: str, ke
         return pool.join(known.select(source, *keys), [source, *keys], "left_semi"), registry.limit(0)
     drawn = even_split(pool.join(registry.select(source, *keys), [source, *keys], "left_anti"), source, keys, n, sources, seed)
     return drawn, drawn.select(F.lit(batch).alias("batch"), source, *keys)
+
+
+def few_shot(rows: DataFrame, label: str, keys: list[str], k: int, seed: int = 13) -> tuple[DataFrame, DataFrame]:
+    """(k examples of each label, the other rows): examples are never judged."""
+    examples = stratified(rows.where(F.col(label).isNotNull()), label, keys, k, seed)
+    return examples, rows.join(examples.select(*keys), keys, "left_anti")
+
+
+def balanced(rows: DataFrame, group: str, removed: str, keys: list[str], seed: int = 13) -> DataFrame:
+    """All removed rows and, in each group, as many kept ones at most."""
+    rows = rows.withColumn("__gone", F.coalesce(F.col(removed).cast("boolean"), F.lit(False)))
+    gone = rows.where("__gone").groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__most"))
+    order = F.row_number().over(Window.partitionBy(group, "__gone").orderBy(hash_order(seed, *keys), *keys))
+    ranked = rows.withColumn("__n", order).join(gone, F.col(group).eqNullSafe(F.col("__group")))
+    return ranked.where(F.col("__gone") | (F.col("__n") <= F.col("__most"))).drop("__gone", "__n", "__group", "__most")
+
+
+def annotator_order(assigned: DataFrame, key: str, who: str, seed: int = 13) -> DataFrame:
+    """Assigned items (a row per annotator and item) with their `place`, from 0, in the annotator's own order."""
+    w = Window.partitionBy(who).orderBy(hash_order(seed, who, key), key)
+    return assigned.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+
+
+def vicinity(sentences: DataFrame, items: DataFrame, size: int, good, key: str = "doc_id", pos: str = "pos", text: str = "sentence", shifts: int = 4, seed: int = 13) -> DataFrame:
+    """(key, item_pos, side, start, passage): for each item (key, item_pos) the first usable window of `size` sentences near it.
+
+    Windows start a sentence away from the item's neighbours and move off by up to shifts - 1 sentences; which side is
+    tried first is a hash's choice. `good` maps a passage column to a boolean. Items without a usable window have no row.
+    """
+    away = Window.partitionBy(key).orderBy(pos).rowsBetween(0, size - 1)
+    windows = sentences.withColumn("__parts", F.collect_list(text).over(away)).where(F.size("__parts") == size)
+    windows = windows.select(F.col(key).alias("__key"), F.col(pos).alias("start"), F.array_join("__parts", " ").alias("passage"))
+    flip = F.substring(hash_order(seed, key, "item_pos"), 1, 1) < "8"
+    tries = items.select(key, "item_pos", F.explode(F.sequence(F.lit(0), F.lit(2 * shifts - 1))).alias("try"), flip.alias("__flip"))
+    shift, before = F.floor(F.col("try") / 2).cast("int"), (F.col("try") % 2 == 0) == F.col("__flip")
+    tries = tries.withColumn("side", F.when(before, "before").otherwise("after")).withColumn("__at", F.when(before, F.col("item_pos") - 2 - size - shift).otherwise(F.col("item_pos") + 2 + shift))
+    found = tries.join(windows, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("start"))).where(good(F.col("passage")))
+    return found.groupBy(key, "item_pos").agg(F.min_by(F.struct("side", "start", "passage"), "try").alias("w")).select(key, "item_pos", "w.*")

@@ -96,3 +96,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
         out = found if out is None else out.union(found)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def unseen_texts(rows: DataFrame, cache: DataFrame | None, text: str = "text") -> DataFrame:
+    """(text_key, text): each normalised text that the cache (text_key, embedding) doesn't have, once."""
+    plain = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
+    texts = rows.where(F.col(text).isNotNull()).select(F.sha1(plain).alias("text_key"), plain.alias("text")).dropDuplicates(["text_key"])
+    return texts if cache is None else texts.join(cache.select("text_key"), "text_key", "left_anti")
+
+
+def with_embeddings(rows: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
+    """rows with the cached embedding of their text; null where there is none."""
+    keyed = rows.withColumn("text_key", F.sha1(F.trim(F.regexp_replace(F.col(text), r"\s+", " "))))
+    return keyed.join(cache.select("text_key", "embedding"), "text_key", "left").drop("text_key")
+
+
+def context_similarity(items: DataFrame, context: DataFrame, key: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """(key, n, nearest, mean): cosine of each item's vector with those of its context sentences (same key)."""
+    a = unit_vectors(items.select(key, vector), vector).select(key, F.col(vector).alias("__a"))
+    b = unit_vectors(context.select(key, vector), vector).select(key, F.col(vector).alias("__b"))
+    sims = a.join(b, key).select(key, dot(F.col("__a"), F.col("__b")).alias("s"))
+    return sims.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("nearest"), F.avg("s").alias("mean"))
