@@ -2,7 +2,8 @@
 
 The index is sharded by document: each shard (a block of whole documents) holds posting lists, term -> sorted positions,
 for the terms of the test windows. Test windows go to every shard in blocks of bounded size; a window's lists are
-intersected, shifted by the terms' offsets, from the term that is rarest in the shard on. Nothing is shuffled, and a
+intersected, shifted by the terms' offsets, from the term that is rarest in all documents on: so neither order nor
+result depends on how documents are dealt. Only counts of test terms are shuffled, summed within each task, and a
 passage that a third of all documents share costs each shard its own part only.
 """
 
@@ -41,6 +42,12 @@ class TestWindows:
         self.owners = [sorted(owners[r]) for r in rows]
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.matrix = np.array([r + (-1,) * (width - len(r)) for r in rows], dtype=np.int64).reshape(-1, width)
+        self.order = np.tile(np.arange(width), (len(rows), 1))
+
+    def rank(self, counts: np.ndarray) -> None:
+        """Orders each window's offsets by its terms' counts in all documents, rarest first; padding comes last."""
+        if len(self.matrix):
+            self.order = np.argsort(np.where(self.matrix >= 0, counts[self.matrix], np.iinfo(np.int64).max), axis=1, kind="stable")
 
 
 def expanded(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,15 +86,16 @@ class Shard:
         """(window numbers, start positions, positions of the rarest term, exact) of all exact occurrences, and of the
         places in proximity.
 
-        A window is in proximity where its two rarest terms stand within `slop` places of their due distance, but the
-        phrase as a whole doesn't match.
+        A window is in proximity where its two rarest terms (in all documents; the earlier ones on ties) stand within
+        `slop` places of their due distance, but the phrase as a whole doesn't match.
         """
         m = windows.matrix
-        counts = np.where(m >= 0, self.count[m] if len(self.count) else 0, np.iinfo(np.int64).max)
-        live = np.flatnonzero(counts.min(axis=1) > 0) if len(m) else np.empty(0, dtype=np.int64)
-        order = np.argsort(counts[live], axis=1, kind="stable")  # rarest first
+        present = np.append(self.count, 1) > 0  # the padding, -1, is no obstacle
+        pair = np.take_along_axis(m, windows.order[:, :2], axis=1)
+        live = np.flatnonzero(present[pair].all(axis=1)) if len(m) else np.empty(0, dtype=np.int64)
+        order = windows.order[live]
         rare = order[:, 0]
-        lists = counts[live, rare]
+        lists = self.count[m[live, rare]] if len(live) else np.empty(0, dtype=np.int64)
         ends = np.cumsum(lists)
         for k in range(0, int(ends[-1]) if len(ends) else 0, chunk):  # slices of the lists, however long one is
             lo = np.maximum(0, k - (ends - lists))
@@ -200,8 +208,33 @@ def contamination(
     return out.drop("__bytes", "__items").withColumnRenamed("__spans", "hit_spans")
 
 
+def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
+    """How often each term of a block stands in all documents: a number a term, summed within each task first."""
+    total = np.zeros(len(terms), dtype=np.int64)
+    if not terms:
+        return total
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, n = shared.value.get, np.zeros(len(shared.value), dtype=np.int64)
+        for batch in batches:
+            for text in batch["__bytes"]:
+                ids = [i for i in map(known, words_of(text)) if i is not None]
+                if ids:
+                    np.add.at(n, ids, 1)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"term": at, "n": n[at]})
+
+    sums = docs.select("__bytes").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    for row in sums.toLocalIterator():
+        total[row["term"]] = row["n"]
+    shared.unpersist()
+    return total
+
+
 def one_block(docs: DataFrame, windows: TestWindows, slop: int) -> DataFrame:
     """Adds one block's findings to __spans, __items and n_near. The block is what each task holds of the benchmark."""
+    windows.rank(term_counts(docs, windows.terms))
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -233,3 +266,23 @@ def shards(batch: pd.DataFrame, column: str, most: int = SHARD_BYTES) -> Iterato
 def query(spark, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs.select("doc_id", "text"), items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g))),
+h AS (SELECT rid, i, p.n, item_id FROM p JOIN g ON p.g = g.g AND p.n = g.n),
+k AS (SELECT rid, count(DISTINCT spot) AS n FROM (SELECT rid, unnest(range(i, i + n)) AS spot FROM (SELECT DISTINCT rid, i, n FROM h)) GROUP BY rid),
+m AS (SELECT rid, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h) GROUP BY rid),
+t AS (SELECT rid, w[i] AS x, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT x, count(*) AS n FROM t GROUP BY x),
+o AS (SELECT g, list(j ORDER BY coalesce(c.n, 0), j) AS js, list(x ORDER BY coalesce(c.n, 0), j) AS xs
+  FROM (SELECT g, string_split(g, ' ')[j] AS x, j FROM (SELECT g, unnest(range(1, n + 1)) AS j FROM (SELECT DISTINCT g, n FROM g))) LEFT JOIN c USING (x) GROUP BY g),
+near AS (SELECT a.rid, count(DISTINCT o.g) AS n FROM o JOIN t a ON a.x = o.xs[1] JOIN t b ON b.rid = a.rid AND b.x = o.xs[2] AND b.i - a.i - (o.js[2] - o.js[1]) BETWEEN -3 AND 3
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.rid = a.rid AND p.g = o.g AND p.i = a.i - o.js[1] + 1) GROUP BY a.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(m.s, '')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated, coalesce(near.n, 0)::BIGINT AS n_near
+FROM d LEFT JOIN k USING (rid) LEFT JOIN m USING (rid) LEFT JOIN near USING (rid)
+"""
