@@ -1,5 +1,6 @@
 """Passages, changes, repositories."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tropelens.operators import compare, passages, repositories
@@ -48,3 +49,12 @@ def test_repositories(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
     assert {(r["node"], r["depth"]) for r in repositories.reachable(edges, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert repositories.outline("class A:\n  def f(self): pass\n") == ["1: class A", "2: function f"] and repositories.outline("(") == []
+
+
+def test_reachable_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(23)] + [(23, 5), (23, None)], "a long, b long")
+    starts = spark.createDataFrame([(0,)], "node long")
+    got = sorted((r["node"], r["depth"]) for r in repositories.reachable(edges, starts).where("node is not null").collect())
+    assert got == [(k, k) for k in range(24)]
+    with pytest.raises(RuntimeError):
+        repositories.reachable(edges, starts, most_steps=4)

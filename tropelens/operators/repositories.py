@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,16 +96,29 @@ def packed(files: DataFrame, budget: int, shares: dict[str, float], repo: str =
     return files.join(taken.select(repo, "path").distinct(), [repo, "path"], "left_semi")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 10) -> DataFrame:
-    """(node, depth) by breadth-first search along imports (a -> b): each round joins only the newest nodes."""
-    seen = starts.select("node", F.lit(0).alias("depth")).distinct()
-    new = seen
-    for step in range(1, most_steps + 1):
-        nxt = new.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        new = nxt.select("node", F.lit(step).alias("depth")).persist()
-        if new.limit(1).count() == 0:
-            break
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and checkpointed: later plans start from its rows."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # a session without a shared folder (local tests)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tropelens-"))
+    return df.checkpoint()
+
+
+def reachable(edges: DataFrame, starts: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """(node, depth) by breadth-first search along imports (a -> b): each round joins only the newest nodes, until there
+    are no new ones. With most_steps, a search that isn't done after so many rounds raises an error."""
+    seen = new = settled(starts.select("node", F.lit(0).alias("depth")).distinct())
+    step = 0
+    while not new.isEmpty():
+        step += 1
+        nxt = new.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        known = seen.select(F.col("node").alias("__seen"))
+        new = settled(nxt.join(known, F.col("node").eqNullSafe(F.col("__seen")), "left_anti").select("node", F.lit(step).alias("depth")))
+        if most_steps is not None and step > most_steps and not new.isEmpty():
+            raise RuntimeError(f"nodes are still being found after {most_steps} rounds")
         seen = seen.union(new)
+        if step % 10 == 0:  # else the plan grows with every level
+            seen = settled(seen.repartition("node"))
     return seen
 
 
