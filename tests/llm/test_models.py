@@ -88,6 +88,34 @@ def test_marginals_against_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
 
 
+def test_marginals_of_long_texts():
+    """Texts of several pieces, one empty, tagged side by side: as plain forward-backward over each whole text."""
+    rng = np.random.default_rng(3)
+    tagger = object.__new__(toxicity.Tagger)
+    tagger.trans = np.array([[1.5, -1.0], [-2.0, 2.5]])
+    sizes = [300, 0, 64, 65, 10, 129, 1]
+    texts = [[f"w{k}" for k in rng.integers(0, 50, n)] for n in sizes]
+    emissions = {f"w{k}": x for k, x in enumerate(rng.normal(size=50))}
+    want_pairs = np.zeros((2, 2))
+    t = np.exp(tagger.trans)
+    for words, got in zip(texts, tagger.tag(texts, emissions), strict=True):
+        e = [np.array([1.0, np.exp(emissions[w])]) for w in words]
+        f, b = [x.copy() for x in e], [np.ones(2) for _ in e]
+        for k in range(1, len(e)):
+            f[k] = (f[k - 1] @ t) * e[k]
+            f[k] /= f[k].sum()
+        for k in range(len(e) - 2, -1, -1):
+            b[k] = t @ (e[k + 1] * b[k + 1])
+            b[k] /= b[k].sum()
+        assert len(got) == len(words) and np.allclose(got, [(x * y)[1] / (x * y).sum() for x, y in zip(f, b, strict=True)])
+        for k in range(1, len(e)):
+            m = f[k - 1][:, None] * t * (e[k] * b[k])
+            want_pairs += m / m.sum()
+    flat = [np.array([emissions[w] for w in d]) for d in texts]
+    _, pairs = toxicity.marginals(np.concatenate([toxicity.chained(x, 0.0) for x in flat]), tagger.trans, np.array(sizes))
+    assert np.allclose(pairs, want_pairs)
+
+
 def test_quality(spark, corpus):
     table, marks, _, truth = corpus
     got = {r["doc_id"]: r for r in quality_classifier.quality(table, marks).collect()}

@@ -21,7 +21,7 @@ from tropelens.llm.language import fold
 
 #: Bounds of the training sample: documents of either label, and characters of one document.
 TRAIN_DOCS, TRAIN_CHARS = 1_200, 100_000
-#: Chains restart after so many tokens: the recursion runs over all chains of a batch at once.
+#: Tokens of one piece of a chain: the recursion runs over all pieces of a batch at once, and messages pass between them.
 CHAIN = 64
 #: Words remembered between batches.
 CACHE_WORDS = 200_000
@@ -55,36 +55,73 @@ class Emissions(dict):
         return value
 
 
-def marginals(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over chains of equal length.
+def marginals(scores: np.ndarray, trans: np.ndarray, sizes: np.ndarray | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over whole chains, each laid out in one or more rows (pieces) of equal length.
 
-    scores: chains x CHAIN, the toxic tag's score (the other has 0; padding has -50). trans[a, b]: score of tag b after a.
-    Returns P(toxic) of each token, and the expected transitions of each kind summed over all, both in probabilities.
+    scores: pieces x length, the toxic tag's score (the other has 0). trans[a, b]: score of tag b after a. sizes: tokens of
+    each chain, which fills as many successive rows as it needs; what is left of its last row is padding. By default each
+    row is a chain. A piece's steps are multiplied to a 2x2 matrix first; with it the messages pass from piece to piece, so
+    the marginals are those of the whole chain. Returns P(toxic) of each token, and the expected transitions of each kind
+    summed over all (zeros without `count`), both in probabilities.
     """
     n, length = scores.shape
-    e, t = np.exp(np.clip(scores, -50, 50)), np.exp(trans)
+    sizes = np.full(n, length) if sizes is None else np.asarray(sizes)
+    rows = -(-sizes // length)
+    head = np.cumsum(rows) - rows
+    place = np.arange(n) - np.repeat(head, rows)
+    first = place == 0
+    real = (place * length + np.arange(length)[:, None]) < np.repeat(sizes, rows)  # length x pieces, as all that follows
+    full = real.all(axis=1)
+    e, t = np.ascontiguousarray(np.exp(np.clip(scores, -50, 50)).T), np.exp(trans)
+
+    def forward(a0: np.ndarray, a1: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n0, n1 = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * e[k]
+        if k == 0:
+            n0, n1 = np.where(first, a0, n0), np.where(first, a1 * e[0], n1)
+        return (n0, n1) if full[k] else (np.where(real[k], n0, a0), np.where(real[k], n1, a1))
+
+    in0, in1, out0, out1 = np.full(n, 1.0), np.full(n, 1.0), np.full(n, 1.0), np.full(n, 1.0)
+    longest = int(rows.max()) if len(rows) else 0
+    if longest > 1:
+        p00, p01, p10, p11 = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
+        for k in range(length):
+            (p00, p01), (p10, p11) = forward(p00, p01, k), forward(p10, p11, k)
+            total = p00 + p01 + p10 + p11
+            p00, p01, p10, p11 = p00 / total, p01 / total, p10 / total, p11 / total
+        order = np.argsort(-rows, kind="stable")
+        heads, more = head[order], np.searchsorted(-rows[order], -np.arange(longest), side="left")  # chains of over k rows: more[k]
+        for k in range(1, longest):
+            r = heads[: more[k]] + k - 1
+            x0, x1 = in0[r] * p00[r] + in1[r] * p10[r], in0[r] * p01[r] + in1[r] * p11[r]
+            in0[r + 1], in1[r + 1] = x0 / (x0 + x1), x1 / (x0 + x1)
+        for k in range(longest - 1, 0, -1):
+            r = heads[: more[k]] + k
+            x0, x1 = p00[r] * out0[r] + p01[r] * out1[r], p10[r] * out0[r] + p11[r] * out1[r]
+            out0[r - 1], out1[r - 1] = x0 / (x0 + x1), x1 / (x0 + x1)
     f0, f1 = np.empty_like(e), np.empty_like(e)
-    a0, a1 = np.ones(n), e[:, 0].copy()
+    a0, a1 = in0, in1
     for k in range(length):
-        if k:
-            a0, a1 = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * e[:, k]
+        a0, a1 = forward(a0, a1, k)
         total = a0 + a1
         a0, a1 = a0 / total, a1 / total
-        f0[:, k], f1[:, k] = a0, a1
+        f0[k], f1[k] = a0, a1
     p, pairs = np.empty_like(e), np.zeros((2, 2))
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = out0, out1
     for k in range(length - 1, -1, -1):
-        z = f0[:, k] * b0 + f1[:, k] * b1
-        p[:, k] = f1[:, k] * b1 / z
+        x0, x1 = f0[k] * b0, f1[k] * b1
+        p[k] = x1 / (x0 + x1)
+        x1 = e[k] * b1
+        if count:
+            l0, l1, used = (f0[k - 1], f1[k - 1], real[k]) if k else (in0, in1, real[0] & ~first)
+            m00, m01, m10, m11 = l0 * t[0, 0] * b0, l0 * t[0, 1] * x1, l1 * t[1, 0] * b0, l1 * t[1, 1] * x1
+            s = np.where(used, 1 / (m00 + m01 + m10 + m11), 0.0)
+            pairs += [[m00 @ s, m01 @ s], [m10 @ s, m11 @ s]]
         if k:
-            x0, x1 = b0, e[:, k] * b1
-            m00, m01, m10, m11 = f0[:, k - 1] * t[0, 0] * x0, f0[:, k - 1] * t[0, 1] * x1, f1[:, k - 1] * t[1, 0] * x0, f1[:, k - 1] * t[1, 1] * x1
-            s = m00 + m01 + m10 + m11
-            pairs += [[(m00 / s).sum(), (m01 / s).sum()], [(m10 / s).sum(), (m11 / s).sum()]]
-            b0, b1 = t[0, 0] * x0 + t[0, 1] * x1, t[1, 0] * x0 + t[1, 1] * x1
-            total = b0 + b1
-            b0, b1 = b0 / total, b1 / total
-    return p, pairs
+            x0, x1 = t[0, 0] * b0 + t[0, 1] * x1, t[1, 0] * b0 + t[1, 1] * x1
+            total = x0 + x1
+            x0, x1 = x0 / total, x1 / total
+            b0, b1 = (x0, x1) if full[k] else (np.where(real[k], x0, b0), np.where(real[k], x1, b1))
+    return p.T, pairs
 
 
 def chained(values: np.ndarray, fill: float) -> np.ndarray:
@@ -123,18 +160,13 @@ def fit_crf(docs: list[list[str]], labels: list[np.ndarray], rounds: int = 30, r
             rows.append(k)
             slots.append(known.setdefault(f, len(known)))
     rows, slots, size = np.array(rows, dtype=int), np.array(slots, dtype=int), len(known)
-    real = token >= 0
-    gold, next_real = np.zeros((2, 2)), real[:, 1:]
-    for a in (0, 1):
-        for b in (0, 1):
-            gold[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & next_real).sum()
+    real, sizes = token >= 0, np.array([len(x) for x in ids])
+    gold = sum(np.bincount((2 * x[:-1] + x[1:]).astype(int), minlength=4) for x in labels).reshape(2, 2).astype(float)
     w, bias, trans = np.zeros(size), -4.0, np.zeros((2, 2))
     gw, gb, gt = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    padding = float((~next_real).sum())
     for _ in range(rounds):
         emit = bias + np.bincount(rows, weights=w[slots], minlength=len(vocabulary))
-        p, pairs = marginals(np.where(real, emit[token], -50.0), trans)
-        pairs[0, 0] -= padding  # next to nothing else happens there
+        p, pairs = marginals(np.where(real, emit[token], 0.0), trans, sizes)
         diff = np.where(real, y - p, 0.0)
         by_token = np.bincount(token[real], weights=diff[real], minlength=len(vocabulary))
         step = np.bincount(slots, weights=by_token[rows], minlength=size) - l2 * w
@@ -183,8 +215,8 @@ class Tagger:
         sizes = [len(d) for d in docs]
         if not sum(sizes):
             return [np.empty(0) for _ in docs]
-        rows = [chained(np.fromiter(map(emissions.__getitem__, d), dtype=float, count=len(d)), -50.0) for d in docs]
-        p, _ = marginals(np.concatenate(rows), self.trans)
+        rows = [chained(np.fromiter(map(emissions.__getitem__, d), dtype=float, count=len(d)), 0.0) for d in docs]
+        p, _ = marginals(np.concatenate(rows), self.trans, np.array(sizes), count=False)
         out, at = [], 0
         for n, r in zip(sizes, rows, strict=True):
             out.append(p[at : at + len(r)].reshape(-1)[:n])
@@ -237,7 +269,7 @@ def toxicity(
 
     Learned from at most train_docs labelled documents of each label whose fold (crc32 of the id) isn't `held` and whose
     text has at most train_chars characters; labels, language, source and id are never inputs of a score. Texts are
-    scored whole, in chains of 64 tokens. Null and empty texts get the score of a text without a toxic token; with one
+    scored whole, each as one chain. Null and empty texts get the score of a text without a toxic token; with one
     label or none to learn from every score is that label's share (0 for none). Repeated rows are each scored; an empty
     table gives an empty result; extra columns are ignored; ids labelled twice count as toxic if one label says so.
     """
