@@ -139,6 +139,23 @@ def test_proximity(spark):
     assert got == {1: (10, 0), 2: (0, 1), 3: (0, 0)}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 1])
+def test_proximity_over_all_terms(spark, block):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    w = item.split()
+    changed = [(k, " ".join(["so", *w[:k], "other", *w[k + 1 :], "on"])) for k in range(10)]
+    more = [(20, "x " + item), (21, "so alpha beta gamma delta of the epsilon zeta eta theta iota kappa"), (22, "alpha beta one two three four five six seven eight"), (23, " ".join(reversed(w))), (24, " ".join([*w[:3], "one", "two", "three", *w[6:]]))]
+    docs_ = spark.createDataFrame(changed + more, "doc_id long, text string")
+    out = decontaminate.contamination(docs_, spark.createDataFrame([(1, item), (2, item)], "item_id long, text string"), block_windows=block)
+    got = {r["doc_id"]: r for r in out.collect()}
+    for k in range(10):
+        assert got[k]["near_items"] == ["1", "2"] and got[k]["near_spans"] == [1 + (k == 0), 11 - (k == 9)] and got[k]["n_hit"] == 0
+    assert got[20]["near_items"] == [] and got[20]["near_spans"] == [] and got[20]["n_hit"] == 10
+    assert got[21]["near_items"] == ["1", "2"] and got[21]["near_spans"] == [1, 13]
+    assert all(got[k]["near_items"] == [] and got[k]["near_spans"] == [] for k in (22, 23, 24))
+    assert got[21]["n_near"] == 1  # a window of two blocks counts once
+
+
 def test_licenses(spark):
     table, rows = docs(spark)
     extra = [

@@ -9,6 +9,7 @@ passage that a third of all documents share costs each shard its own part only.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,9 @@ class TestWindows:
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.matrix = np.array([r + (-1,) * (width - len(r)) for r in rows], dtype=np.int64).reshape(-1, width)
         self.order = np.tile(np.arange(width), (len(rows), 1))
+        names = list(self.terms)
+        digests = (hashlib.blake2b(b" ".join(names[i] for i in r), digest_size=8).digest() for r in rows)
+        self.keys = np.array([int.from_bytes(x, "big", signed=True) for x in digests], dtype=np.int64)  # the same in all blocks
 
     def rank(self, counts: np.ndarray) -> None:
         """Orders each window's offsets by its terms' counts in all documents, rarest first; padding comes last."""
@@ -74,6 +78,14 @@ class Shard:
         self.postings = at[order]
         self.count = np.bincount(self.tokens[at], minlength=len(terms))
         self.first = np.cumsum(self.count) - self.count
+        self.stride = len(self.tokens) + 1
+        self.keys = self.tokens[self.postings] * self.stride + self.postings
+
+    def within(self, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The first position of each term's list from lo to hi, or -1."""
+        at = np.searchsorted(self.keys, term * self.stride + lo)
+        found = np.append(self.keys, np.iinfo(np.int64).max)[at]
+        return np.where(found <= term * self.stride + hi, found - term * self.stride, -1)
 
     def token(self, at: np.ndarray) -> np.ndarray:
         ok = (at >= 0) & (at < len(self.tokens))
@@ -121,23 +133,89 @@ class Shard:
             keep = exact | near
             yield live[rows[keep]], start[keep], seen[keep], exact[keep]
 
-    def report(self, windows: TestWindows, slop: int, before: np.ndarray) -> tuple[np.ndarray, list[set[str]], np.ndarray]:
-        """Hit flags of all tokens (with those of earlier blocks), and of each document the items and the near windows."""
+    def near_search(self, windows: TestWindows, slop: int, exact: np.ndarray, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+        """(window numbers, first and last position) of the places where a window stands with changes.
+
+        One in five of a window's terms may lack (of ten, two). Starting from each place of its rarest terms, one more than
+        may lack, the others must stand within `slop` places of their due places in the same document, and so many terms
+        must come in the window's order. exact: window * stride + start of the exact occurrences, ordered; a place at most
+        `slop` beside one of the same window is no other find.
+        """
+        m, sizes, spare = windows.matrix, windows.sizes, windows.sizes // 5
+        present = np.append(self.count, 0) > 0
+        live = np.flatnonzero((sizes > 1) & (present[m].sum(axis=1) >= sizes - spare)) if len(m) else np.empty(0, dtype=np.int64)
+        for rank in range(int(spare[live].max()) + 1 if len(live) else 0):
+            some = live[spare[live] >= rank]
+            anchor = windows.order[some, rank]
+            lists = self.count[m[some, anchor]]
+            ends = np.cumsum(lists)
+            for k in range(0, int(ends[-1]) if len(ends) else 0, chunk):
+                lo = np.maximum(0, k - (ends - lists))
+                n = np.clip(np.minimum(ends, k + chunk) - np.maximum(ends - lists, k), 0, None)
+                rows, at = expanded(self.first[m[some, anchor]] + lo, n)
+                w, seen = some[rows], self.postings[at]
+                start, first, last, lacking = seen - anchor[rows], seen, seen, np.zeros(len(rows), dtype=np.int64)
+                doc = self.doc_of(seen)
+                begin, end = self.doc_start[doc], self.doc_start[doc + 1] - 2
+                for step in range(windows.width):
+                    if step == rank:
+                        continue
+                    offset = windows.order[w, step]
+                    term, due = m[w, offset], start + offset
+                    got = self.within(np.maximum(term, 0), np.maximum(due - slop, begin), np.minimum(due + slop, end))
+                    got = np.where(term >= 0, got, -1)
+                    lacking = lacking + ((term >= 0) & (got < 0))
+                    first, last = np.where(got >= 0, np.minimum(first, got), first), np.maximum(last, got)
+                    left = lacking <= spare[w]
+                    w, start, first, last, lacking, begin, end = (x[left] for x in (w, start, first, last, lacking, begin, end))
+                key = w * self.stride + start
+                other = np.append(exact, np.iinfo(np.int64).max)[np.searchsorted(exact, key - slop)] > key + slop
+                w, start, first, last, begin, end = (x[other] for x in (w, start, first, last, begin, end))
+                ordered = self.in_order(m[w], start - slop, begin, end, windows.width + 2 * slop) >= sizes[w] - spare[w]
+                yield w[ordered], first[ordered], last[ordered]
+
+    def in_order(self, rows: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+        """How many terms of each row come in order, each at a place of its own, among the `length` places from start."""
+        best = np.zeros((length + 1, len(rows)), dtype=np.int64)
+        places = start + np.arange(length)[:, None]
+        inside = (places >= begin) & (places <= end)
+        tokens = np.where(inside, self.tokens[np.where(inside, places, 0)], -1) if len(rows) else np.empty((length, 0))
+        for j in range(rows.shape[1]):
+            same = (tokens == rows[:, j]) & (rows[:, j] >= 0)
+            now = np.zeros_like(best)
+            now[1:] = np.maximum(best[1:], best[:-1] + same)
+            best = np.maximum.accumulate(now, axis=0)
+        return best[-1]
+
+    def report(self, windows: TestWindows, slop: int, before: np.ndarray, near_before: np.ndarray) -> tuple[np.ndarray, list[set[str]], list[list[int]], np.ndarray, list[set[str]]]:
+        """Hit flags of all tokens (with those of earlier blocks), of each document the items and the keys of windows whose
+        rarest pair is near, then flags and items of the places with changes."""
         n, size = len(self.n_words), max(1, len(windows.sizes))
         marks = np.zeros(len(self.tokens) + 1, dtype=np.int64)
-        pairs, near_pairs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        pairs, near_pairs, exacts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for window, start, seen, exact in self.search(windows, slop):
             w, s = window[exact], start[exact]
             np.add.at(marks, s, 1)
             np.add.at(marks, s + windows.sizes[w], -1)
+            exacts.append(w * self.stride + s)
             doc = self.doc_of(seen)
             pairs.append(np.unique(doc[exact] * size + w))
             near_pairs.append(np.unique(doc[~exact] * size + window[~exact]))
         items: list[set[str]] = [set() for _ in range(n)]
         for pair in np.unique(np.concatenate(pairs)):
             items[pair // size].update(windows.owners[pair % size])
-        near = np.bincount(np.unique(np.concatenate(near_pairs)) // size, minlength=n)
-        return before | (np.cumsum(marks[:-1]) > 0), items, near
+        keys: list[list[int]] = [[] for _ in range(n)]
+        for pair in np.unique(np.concatenate(near_pairs)):
+            keys[pair // size].append(int(windows.keys[pair % size]))
+        near_marks, near_pairs = np.zeros(len(self.tokens) + 1, dtype=np.int64), [np.empty(0, dtype=np.int64)]
+        for w, first, last in self.near_search(windows, slop, np.unique(np.concatenate(exacts))) if slop else ():
+            np.add.at(near_marks, first, 1)
+            np.add.at(near_marks, last + 1, -1)
+            near_pairs.append(np.unique(self.doc_of(first) * size + w))
+        near_items: list[set[str]] = [set() for _ in range(n)]
+        for pair in np.unique(np.concatenate(near_pairs)):
+            near_items[pair // size].update(windows.owners[pair % size])
+        return before | (np.cumsum(marks[:-1]) > 0), items, keys, near_before | (np.cumsum(near_marks[:-1]) > 0), near_items
 
     def spans(self, hit: np.ndarray) -> list[list[int]]:
         """Per document the hit runs as start, end, start, end ... in word numbers."""
@@ -180,10 +258,12 @@ def contamination(
     slop: int = 3,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """docs with n_words, n_hit, hit_spans, n_items, items, items_sha256, contaminated and n_near added.
+    """docs with n_words, n_hit, hit_spans, n_items, items, items_sha256, contaminated, n_near, near_items and near_spans added.
 
     A window is `width` consecutive words of a test item, or a shorter item as a whole. A document's words inside exact
-    occurrences are hit; items are those with an occurring window. n_near counts windows found in proximity only.
+    occurrences are hit; items are those with an occurring window. n_near counts the windows whose two rarest terms are in
+    proximity, without the phrase as a whole. near_items and near_spans (as hit_spans) are the items and places of windows
+    with changes: at least four in five of their terms, in order, within `slop` of their due places (see near_search).
 
     The benchmark is a query set: its blocks, each bounded by block_windows, are broadcast one after the other, and each
     block's pass over the documents adds to the columns; n_hit counts the union of the blocks' hit words. hit_spans has
@@ -193,9 +273,9 @@ def contamination(
     empty string; repeated rows are each reported; a benchmark without windows hits nothing. Columns of docs are kept,
     those with names of added columns are replaced.
     """
-    names = ("n_words", "n_hit", "n_items", "items", "items_sha256", "n_near", "contaminated", "hit_spans")
+    names = ("n_words", "n_hit", "n_items", "items", "items_sha256", "n_near", "contaminated", "hit_spans", "near_items", "near_spans")
     out = docs.select(*[c for c in docs.columns if c not in names], as_bytes(F.col(text_col)).alias("__bytes"))
-    out = out.withColumns({"__spans": F.array().cast("array<long>"), "__items": F.array().cast("array<string>"), "n_near": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long")})
+    out = out.withColumns({"__spans": F.array().cast("array<long>"), "__items": F.array().cast("array<string>"), "__near": F.array().cast("array<long>"), "near_spans": F.array().cast("array<long>"), "near_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
     first = True
     for windows in benchmark_blocks(benchmark, item_col, item_text_col, width, block_windows):
         out = one_block(out if first else written(out, "block"), windows, slop)
@@ -203,9 +283,9 @@ def contamination(
     if first:
         out = one_block(out, TestWindows([], width), slop)
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("__spans") - 1), F.lit(0).cast("long"), lambda n, k: n + F.when(k % 2 == 1, 1).otherwise(-1) * F.element_at("__spans", k + 1))
-    out = out.withColumns({"n_hit": F.when(F.size("__spans") > 0, n_hit).otherwise(0), "items": F.array_sort("__items"), "n_items": F.size("__items").cast("long")})
+    out = out.withColumns({"n_hit": F.when(F.size("__spans") > 0, n_hit).otherwise(0), "items": F.array_sort("__items"), "n_items": F.size("__items").cast("long"), "n_near": F.size("__near").cast("long"), "near_items": F.array_sort("near_items")})
     out = out.withColumns({"items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated": F.col("n_hit") > 0})
-    return out.drop("__bytes", "__items").withColumnRenamed("__spans", "hit_spans")
+    return out.drop("__bytes", "__items", "__near").withColumnRenamed("__spans", "hit_spans")
 
 
 def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
@@ -233,23 +313,25 @@ def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
 
 
 def one_block(docs: DataFrame, windows: TestWindows, slop: int) -> DataFrame:
-    """Adds one block's findings to __spans, __items and n_near. The block is what each task holds of the benchmark."""
+    """Adds one block's findings to __spans, __items, __near, near_spans and near_items. The block is what each task holds of the benchmark."""
     windows.rank(term_counts(docs, windows.terms))
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
-    def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         windows = shared.value
-        for texts, before in batches:
+        for texts, before, near_before in batches:
             out = []
-            for part in shards(pd.DataFrame({"text": texts, "spans": before}), "text"):
+            for part in shards(pd.DataFrame({"text": texts, "spans": before, "near_spans": near_before}), "text"):
                 shard = Shard(list(part["text"]), windows.terms)
-                hit, items, near = shard.report(windows, slop, shard.flags(list(part["spans"])))
-                out += zip(shard.n_words, shard.spans(hit), [sorted(x) for x in items], near.tolist(), strict=True)
-            yield pd.DataFrame(out, columns=["n_words", "spans", "items", "near"])
-
-    scanner = F.pandas_udf(scan, "n_words long, spans array<long>, items array<string>, near long", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
-    out = docs.withColumn("__found", scanner("__bytes", "__spans"))
-    found = {"n_words": F.col("__found.n_words"), "__spans": F.col("__found.spans"), "__items": F.array_union("__items", "__found.items"), "n_near": F.col("n_near") + F.col("__found.near")}
+                hit, items, keys, near, near_items = shard.report(windows, slop, shard.flags(list(part["spans"])), shard.flags(list(part["near_spans"])))
+                out += zip(shard.n_words, shard.spans(hit), [sorted(x) for x in items], keys, shard.spans(near), [sorted(x) for x in near_items], strict=True)
+            yield pd.DataFrame(out, columns=["n_words", "spans", "items", "near", "near_spans", "near_items"])
+
+    kind = "n_words long, spans array<long>, items array<string>, near array<long>, near_spans array<long>, near_items array<string>"
+    scanner = F.pandas_udf(scan, kind, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    out = docs.withColumn("__found", scanner("__bytes", "__spans", "near_spans"))
+    found = {"n_words": F.col("__found.n_words"), "__spans": F.col("__found.spans"), "near_spans": F.col("__found.near_spans")}
+    found |= {a: F.array_union(a, f"__found.{b}") for a, b in (("__items", "items"), ("__near", "near"), ("near_items", "near_items"))}
     return out.withColumns(found).drop("__found")
 
 
