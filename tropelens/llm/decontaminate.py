@@ -1,10 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by document: each shard (a block of whole documents) holds posting lists, term -> sorted positions,
-for the terms of the test windows. Test windows go to every shard in blocks of bounded size; a window's lists are
-intersected, shifted by the terms' offsets, from the term that is rarest in all documents on: so neither order nor
-result depends on how documents are dealt. Only counts of test terms are shuffled, summed within each task, and a
-passage that a third of all documents share costs each shard its own part only.
+The index is sharded by document and transient: each task builds it in memory for a block of whole documents, with the
+positions of the test windows' terms only, anew for each benchmark block. Test windows go to every shard in blocks of
+bounded size. A window is searched from the places of the term that is rarest in all documents on, and its further words
+are read at their offsets: so neither order nor result depends on how documents are dealt. Only counts of test terms are
+shuffled, summed within each task, and a passage that a third of all documents share costs each shard its own part only.
 """
 
 from __future__ import annotations
