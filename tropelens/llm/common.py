@@ -17,11 +17,17 @@ ALNUM_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without one (local tests) gets a temporary folder."""
+    """The folder that driver and executors share. Only a session on one machine (tests) may go without and gets a
+    temporary folder; on a cluster a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tropelens-")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="tropelens-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
