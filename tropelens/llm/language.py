@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tropelens.llm.common import written
+
 BUCKETS = 1 << 15
-#: Bound of the training sample, in documents. Counts of n-grams barely change beyond.
-TRAIN_DOCS = 20_000
+#: Bound of the training sample, in distinct texts of each language. Counts of n-grams barely change beyond.
+TRAIN_DOCS = 5_000
 CHUNK_CHARS = 1 << 19
 MIX = np.uint32(2654435761)
 
@@ -51,39 +53,55 @@ def count_ngrams(text: str) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, train_docs: int) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities as a matrix bucket x language) from rows with text and language.
+def training_texts(rows: DataFrame, train_docs: int) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, hash, share of one row) of the texts to learn from, and how many rows each language has.
+
+    rows: lang, hash, without nulls. Every language has its own rate: all its texts while there are at most train_docs, so
+    a rare one is learned as it stands, else about train_docs by hash. A text's weight is shared by the rows that repeat
+    it. Counting moves a hash a text; the result has about train_docs rows a language.
+    """
+    texts = written(rows.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n")), "texts")
+    sizes = {r["lang"]: (r["texts"], r["rows"]) for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).collect()}
+    large = [(lang, -(-n // train_docs)) for lang, (n, _) in sizes.items() if n > train_docs]
+    step = F.lit(1)
+    if large:
+        step = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in large for x in pair)), F.col("lang")), F.lit(1))
+    chosen = texts.where(F.pmod("hash", step) == 0).select("lang", "hash", (1.0 / F.col("n")).alias("share"))
+    return chosen, {lang: n for lang, (_, n) in sizes.items()}
+
+
+def train(docs: DataFrame, text_col: str, lang_col: str, train_docs: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log-probabilities as a matrix bucket x language, log priors) from rows with text and language.
 
-    The sample is by hash of the text and holds about train_docs documents, whole. Tasks count n-grams by language,
-    Spark sums the counts; the driver gets at most one row per language and bucket.
+    The priors are the languages' shares of all learnable rows. N-grams are counted over the chosen texts, whole: tasks
+    count them by language, Spark sums the counts, and the driver gets at most one row per language and bucket.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = docs.where(F.col(lang_col).isNotNull()).select(lang_col).count()
-    if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(-(-n // train_docs))) == 0)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    chosen, sizes = training_texts(rows.select("lang", "hash"), train_docs)
+    sample = rows.join(F.broadcast(chosen), ["lang", "hash"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                sums[lang] = sums.get(lang, 0) + count_ngrams(text)
-                docs_of[lang] = docs_of.get(lang, 0) + 1
+            for (lang, _), part in batch.groupby(["lang", "hash"], sort=False):
+                sums[lang] = sums.get(lang, 0.0) + count_ngrams(part["text"].iloc[0]) * part["share"].sum()
         for lang, total in sums.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1), "n": np.append(total[at], docs_of[lang])})
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
-    got = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
+    got = sample.mapInPandas(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(sizes)
     counts = np.zeros((BUCKETS, len(langs)))
-    grams = got[got["bucket"] >= 0]
-    counts[grams["bucket"].to_numpy(dtype=int), np.searchsorted(langs, grams["lang"])] = grams["n"] if len(grams) else 0
-    return langs, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
+    if len(got):
+        counts[got["bucket"].to_numpy(dtype=int), np.searchsorted(langs, got["lang"])] = got["n"].round(6)
+    prior = np.array([sizes[lang] for lang in langs], dtype=float)
+    return langs, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32), np.log(prior / max(1.0, prior.sum()))
 
 
-def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndarray]) -> tuple[list[str], list[float]]:
+def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndarray], prior: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and score of each text. A batch's n-grams lie in one array; each language's log-probabilities are looked
-    up for the n-grams that occur and summed by document."""
+    up for the n-grams that occur and summed by document; the log prior is added to the sum tempered to 60 n-grams."""
     named, scores = ["und"] * len(texts), [0.0] * len(texts)
     sums, sizes, parts, owner, fill = np.zeros((len(texts), len(langs))), np.zeros(len(texts)), [], [], 0
 
@@ -110,7 +128,7 @@ def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndar
     if parts and langs:
         settle()
     if langs:
-        mean = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, 60)[:, None]
+        mean = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, 60)[:, None] + prior
         odds = np.exp(mean - mean.max(axis=1, keepdims=True))
         odds /= odds.sum(axis=1, keepdims=True)
         best = odds.argmax(axis=1)
@@ -123,14 +141,15 @@ def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndar
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, folds: int = 4, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """One row per document: id, held_out, lang_pred and score (the posterior of the language, tempered to 60 n-grams).
 
-    Learned from documents with text and language whose fold (crc32 of the id) isn't `held`; the language column, the
-    source and the id are never inputs of a prediction. `und` with score 0 where the text is null, empty or without a
-    letter, or where nothing could be learned. Equal scores: the language that sorts first. Repeated rows are each
-    scored; an empty table gives an empty result; extra columns are ignored.
+    Learned from documents with text and language whose fold (crc32 of the id) isn't `held`, from about train_docs distinct
+    texts of each language (all that a rare one has); the language column, the source and the id are never inputs of a
+    prediction. `und` with score 0 where the text is null, empty or without a letter, or where nothing could be learned.
+    Equal scores: the language that sorts first. Very long texts are counted and scored whole, in pieces. Repeated rows are
+    each scored; an empty table gives an empty result; extra columns are ignored.
     """
     is_held = fold(F.col(id_col), folds) == held
-    langs, matrix = train(docs.where(~is_held), text_col, lang_col, train_docs)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, [np.ascontiguousarray(matrix[:, k]) for k in range(len(langs))]))
+    langs, matrix, prior = train(docs.where(~is_held), text_col, lang_col, train_docs)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, [np.ascontiguousarray(matrix[:, k]) for k in range(len(langs))], prior))
 
     @F.pandas_udf("lang_pred string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
