@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import site_key, white_words, written
+from tropelens.llm.common import partitions, site_key, white_words, written
 
 
 def size_class(size: Column) -> Column:
@@ -47,49 +47,53 @@ def mix_counts(
     weights: tuple[float, ...] = (5, 2, 1),
     most: float = 3.0,
     seed: int = 7,
-    bin_rows: int = 20_000,
+    bin_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per document: id, source, size (words), source_size, target, copies and taken = copies * size.
 
     Within a source a document's expected copies are target / source_size. Documents stand in the order of size class,
-    hash of the id and id; with the prefix sums c of the expected copies and a random offset u of the source, a document
-    is emitted once for each integer that c + u passes. The order keeps every stretch of sizes near its share.
+    hash of the id, size, hash of the text and id; with the prefix sums c of the expected copies and a random offset u of
+    the source, a document is emitted once for each integer that c + u passes. The order keeps every stretch of sizes near
+    its share, and leaves only rows apart that are equal in id, size and text: which of those is taken makes no difference.
 
-    No window ever holds a whole source: a source is cut into bins by size class and leading hash digits, as many as the
-    count of rows asks for; rows are numbered within bins, and the bins' counts are summed up beside that.
+    No window ever holds a whole source: rows are dealt in ranges of that order, of about bin_rows each, and numbered
+    within their range; the ranges' counts are summed up beside that. A row number is the last part of the order, so that
+    ranges split repeated rows and rows with null or equal ids as well.
 
     Null text: size 0. Null source: a source of its own, named last. Null ids hash as an empty string. Repeated rows
     each count. A source without words has target 0. Extra columns are ignored. Reruns agree: the seed fixes all.
     """
+    text = F.col(text_col).cast("string")
     narrow = docs.select(
         F.col(id_col).alias("__id"),
         F.col(source_col).cast("string").alias("source"),
-        F.size(white_words(F.col(text_col).cast("string"))).cast("long").alias("size"),
+        F.size(white_words(text)).cast("long").alias("size"),
+        F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 16).alias("__text"),
     )
     narrow = narrow.withColumns(
         {"source_key": site_key(F.col("source")), "__class": size_class(F.col("size")), "__hash": F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary"))}
     )
     narrow = written(narrow, "sizes")
-    rows, digits = narrow.count(), 0
-    while rows > bin_rows * 16**digits and digits < 8:
-        digits += 1
-    narrow = narrow.withColumn("__bin", F.substring("__hash", 1, digits) if digits else F.lit(""))
+    order = ["__class", "__hash", "size", "__text", F.col("__id").asc_nulls_first(), "__row"]
+    ranges = max(partitions(docs.sparkSession), -(-narrow.count() // bin_rows))
+    dealt = narrow.withColumn("__row", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(ranges, "source_key", *order)
+    dealt = written(dealt.withColumn("__bin", F.spark_partition_id()), "dealt")
 
-    bins = narrow.groupBy("source_key", "source", "__class", "__bin").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__size"))
+    bins = dealt.groupBy("source_key", "source", "__bin").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__size"))
     sizes = bins.groupBy("source_key", "source").agg(F.sum("__size").alias("source_size"))
     plan = targets(sizes, weights, most).select(
         "source_key", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"), unit(F.col("source_key"), seed).alias("__u")
     )
-    before = Window.partitionBy("source_key").orderBy("__class", "__bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("source_key", "__class", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")).join(plan, "source_key")
+    before = Window.partitionBy("source_key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("source_key", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")).join(plan, "source_key")
 
-    keys = ["source_key", "__class", "__bin"]
-    ranked = narrow.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", "__id")))
+    keys = ["source_key", "__bin"]
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = ranked.join(bins, keys)
     c = (F.col("__before") + F.col("__rank")).cast("double")
     copies = F.floor(c * F.col("__rate") + F.col("__u")) - F.floor((c - 1) * F.col("__rate") + F.col("__u"))
     out = out.withColumn("copies", copies.cast("long"))
-    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("__text").alias("text_hash"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS th, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio, sum(source_size) OVER ()::DOUBLE AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER q, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER q, 0)) AS level FROM r
@@ -106,7 +110,7 @@ v AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT level FROM v) * w, cap)) END AS target,
   ('0x' || substr(md5('7:' || coalesce('1' || source, '0')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM l),
 o AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 16 + floor(size / pow(2.0, greatest(length(bin(size)) - 4, 0))), md5(coalesce(doc_id::VARCHAR, '')), doc_id)::DOUBLE AS c
+  row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 16 + floor(size / pow(2.0, greatest(length(bin(size)) - 4, 0))), md5(coalesce(doc_id::VARCHAR, '')), size, th, doc_id NULLS FIRST)::DOUBLE AS c
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(c * rate + u) - floor((c - 1) * rate + u)))::BIGINT AS taken FROM o
 """
