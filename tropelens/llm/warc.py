@@ -11,12 +11,13 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import scratch_path, written
+from tropelens.llm.common import BROADCAST_BYTES, partitions, scratch_path, written
 
 # Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
@@ -35,12 +36,13 @@ def filesystem(uri: str):
 
 
 def record_id(page_id: str | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+    """A URN of the page's id, percent-encoded; pages without an id have a name space of their own."""
+    return "<urn:x-nopage:0>" if page_id is None else f"<urn:x-page:{quote(page_id, safe='')}>"
 
 
 def page_of(urn: str) -> str | None:
-    tail = urn.strip("<>").rsplit(":", 1)[1]
-    return None if tail == "null" else tail
+    kind, tail = urn.strip("<>").rsplit(":", 1)
+    return None if kind == "urn:x-nopage" else unquote(tail)
 
 
 def make_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
@@ -179,12 +181,17 @@ def read_record(folder: str, place) -> tuple[dict[str, str], bytes]:
     return head, block
 
 
-def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """A row for each record of the bundles that the index names, read frame by frame through the seek tables.
+def read_bundles(index: DataFrame, folder: str, task_bytes: int = 32 << 20) -> DataFrame:
+    """A row for each record of the bundles that the index names, read frame by frame through the seek tables: page_id and
+    refers_to as strings, payload_bytes, payload_digest, record_type.
 
-    Responses are digested anew from their payload; a revisit's digest and length come from its own headers.
+    Responses are digested anew from their payload; a revisit's digest and length come from its own headers. Frames are
+    dealt to as many tasks as their summed size asks for, about task_bytes each, and never to fewer than the cores known.
     """
-    frames = index.select("bundle", "frame").distinct()
+    spark = index.sparkSession
+    frames = index.groupBy("bundle", "frame").agg(F.max("frame_bytes").alias("frame_bytes"))
+    total = frames.agg(F.sum("frame_bytes").alias("bytes")).first()["bytes"] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, partitions(spark), -(-total // task_bytes))
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -207,17 +214,19 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                             rows.append((page, length if revisit else len(block) - cut, digest, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if revisit else None))
                         yield pd.DataFrame(rows, columns=names)
 
-    found = frames.repartition(F.col("bundle"), F.floor(F.col("frame") / 16)).mapInPandas(unpack, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return found.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
+    dealt = frames.select("bundle", "frame").repartition(tasks, F.col("bundle"), F.floor(F.col("frame") / 4))
+    return dealt.mapInPandas(unpack, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """The records to write: which page is the first with its payload, and which others refer to it."""
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= least_bytes
     keys = base.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = written(keys.where("n > 1").select("digest", "first"), "firsts")
+    if firsts.count() * 160 <= BROADCAST_BYTES:  # a digest, an id and their overhead
+        firsts = F.broadcast(firsts)
     out = base.join(firsts, "digest", "left")
     revisit = F.coalesce(large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     return out.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
@@ -227,12 +236,16 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     """Writes all pages as WARC bundles and returns what a reader finds in them, a row per page.
 
     Among pages with equal payloads of at least least_bytes, the one with the smallest id is the response and the others
-    revisit it. Null html: an empty payload. Null id: written as such, and never the first of its payload unless all ids
-    are null. Repeated rows: each gets a record; rows that repeat the smallest id are all responses. Null url: no target
-    URI. An empty table writes no bundle. Extra columns are ignored.
+    revisit it. Ids may be numbers or strings and come back in their own type. Null html: an empty payload. Null id: written
+    as such, and never the first of its payload unless all ids are null. Repeated rows: each gets a record; rows that repeat
+    the smallest id are all responses. Null url: no target URI. An empty table writes no bundle. Extra columns are ignored.
+    A payload is a Spark value and so under 2 GiB; a frame holds at most that and frame_bytes, within the 32 bits of the
+    seek table. The list of repeated payloads is broadcast if it is proven small; else pages are joined with it by digest.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return read_bundles(write_bundles(with_revisits(pages, id_col, url_col, html_col, least_bytes), folder), folder)
+    kind = pages.schema[id_col].dataType
+    found = read_bundles(write_bundles(with_revisits(pages, id_col, url_col, html_col, least_bytes), folder), folder)
+    return found.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
