@@ -3,7 +3,8 @@
 Documents have labels, tokens don't. A bounded sample of labelled documents gives the token labels: in toxic documents a
 token is labelled toxic if it, or one of its beginnings, is far more frequent over toxic than over other documents. The
 field learns tags from these labelled tokens (the words themselves, beginnings and ends, and the tag before), forward-
-backward gives every token's marginal, and a small logistic model turns a document's marginals into its score.
+backward gives every token's marginal, and a small logistic model turns a document's marginals into its score. That model
+is fitted on marginals from fields that were trained on the other half of the sample.
 """
 
 from __future__ import annotations
@@ -205,10 +206,18 @@ class Tagger:
 
     def __init__(self, docs: list[str], toxic: list[int]):
         tokens, y = [d.split() for d in docs], np.array(toxic, dtype=int)
-        self.weights, self.bias, self.trans = fit_crf(tokens, token_labels(tokens, y))
         self.prior = float(y.mean()) if len(y) else 0.0
-        p = self.tag(tokens, Emissions(self.weights, self.bias))
-        self.logistic = fit_logistic(np.array([summary(x) for x in p]), y) if len(set(toxic)) == 2 else None
+        seen = np.zeros((len(y), 3))
+        for half in (0, 1):  # the document model learns from marginals of texts that their field hasn't seen
+            rest, own = np.arange(half, len(y), 2), np.arange(1 - half, len(y), 2)
+            self.learn([tokens[k] for k in own], y[own])
+            for k, p in zip(rest, self.tag([tokens[k] for k in rest], Emissions(self.weights, self.bias)), strict=True):
+                seen[k] = summary(p)
+        self.logistic = fit_logistic(seen, y) if len(set(toxic)) == 2 else None
+        self.learn(tokens, y)
+
+    def learn(self, tokens: list[list[str]], y: np.ndarray) -> None:
+        self.weights, self.bias, self.trans = fit_crf(tokens, token_labels(tokens, y))
 
     def tag(self, docs: list[list[str]], emissions: Emissions) -> list[np.ndarray]:
         """The marginals of each document's tokens."""
@@ -245,12 +254,14 @@ def offending(text: str, p: np.ndarray) -> list[str]:
 
 
 def training_docs(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held: int, folds: int, most: int, chars: int) -> tuple[list[str], list[int]]:
-    """At most `most` whole documents of each label from the folds that are learned from, by hash of the id."""
+    """At most `most` whole documents of each label from the folds that are learned from, by hash of the id; of rows that
+    share an id one text, so that repeated ids don't lift the bound."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != held)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     order = F.xxhash64(F.col(id_col))
     picked = {int(y): [r[0] for r in marked.where(F.col("y") == y).orderBy(order, id_col).select(id_col).limit(most).collect()] for y in (0, 1)}
     wanted = docs.sparkSession.createDataFrame([(k, y) for y, ids in picked.items() for k in ids], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, y int")
-    rows = docs.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= chars)).join(F.broadcast(wanted), id_col).orderBy(id_col, "text").select("text", "y").toPandas()
+    rows = docs.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= chars)).join(F.broadcast(wanted), id_col)
+    rows = rows.groupBy(id_col, "y").agg(F.min("text").alias("text")).orderBy(id_col).select("text", "y").toPandas()
     return list(rows["text"]), [int(y) for y in rows["y"]]
 
 
@@ -271,7 +282,8 @@ def toxicity(
     text has at most train_chars characters; labels, language, source and id are never inputs of a score. Texts are
     scored whole, each as one chain. Null and empty texts get the score of a text without a toxic token; with one
     label or none to learn from every score is that label's share (0 for none). Repeated rows are each scored; an empty
-    table gives an empty result; extra columns are ignored; ids labelled twice count as toxic if one label says so.
+    table gives an empty result; extra columns are ignored; ids labelled twice count as toxic if one label says so; of
+    repeated ids one text is learned from, the one that sorts first. Equal hashes of ids: the smaller id is taken.
     """
     tagger = Tagger(*training_docs(docs, labels, id_col, text_col, label_col, held, folds, train_docs, train_chars))
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
