@@ -6,20 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tropelens.llm.common import written
 from tropelens.llm.language import fold
 
-#: Bounds of what is learned from: labelled documents of either label, unlabelled documents, characters of one document.
-TRAIN_DOCS, POOL_DOCS, TRAIN_CHARS = 1_500, 3_000, 100_000
-TEXT_DIM, META_DIM, META_PLAIN = 2048, 64, 16
+#: Bounds of what is fitted: labelled documents of either label, documents that one view tells the other of each label in
+#: a round, characters of one labelled document.
+TRAIN_DOCS, TOLD_DOCS, TRAIN_CHARS = 1_500, 300, 100_000
+GRAMS, TEXT_PLAIN, META_DIM, META_PLAIN = 2048, 10, 64, 12
+TEXT_DIM = GRAMS + TEXT_PLAIN
 CHUNK = 1 << 20
 
 
 def text_view(text: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte 2- and 3-grams: the content, whatever its length."""
-    total = np.zeros(TEXT_DIM, dtype=np.int64)
+    """The content, whatever its length: square roots of the shares of hashed byte 2- and 3-grams, then shares of kinds of
+    characters, the length and variety of words, and the entropy of their first bytes."""
+    total = np.zeros(GRAMS, dtype=np.int64)
     data = np.frombuffer(text, dtype=np.uint8)
     with np.errstate(over="ignore"):
         for k in range(0, max(1, len(data) - 2), CHUNK):
@@ -27,8 +31,23 @@ def text_view(text: bytes) -> np.ndarray:
             two = b[:-1] * np.uint32(256) + b[1:]
             three = two[:-1] * np.uint32(256) + b[2:]
             for gram in (two, three):
-                total += np.bincount((gram * np.uint32(2654435761)) >> np.uint32(21), minlength=TEXT_DIM)
-    return np.sqrt(total / max(1, total.sum())).astype(np.float32)
+                total += np.bincount((gram * np.uint32(2654435761)) >> np.uint32(21), minlength=GRAMS)
+    c, words = np.bincount(data, minlength=256) / max(1, len(data)), text.split()
+    first = np.bincount(np.frombuffer(b"".join([w[:1] for w in words]), dtype=np.uint8), minlength=256) / max(1, len(words))
+    first = first[first > 0]
+    plain = [
+        min(len(text) / max(1, len(words)), 30) / 10,
+        len(set(words)) / max(1, len(words)),
+        5 * c[65:91].sum(),
+        5 * c[48:58].sum(),
+        5 * (c[33:39].sum() + c[42] + c[60:63].sum() + c[124]),
+        5 * (c[44] + c[46]),
+        c[97:123].sum(),
+        c[128:].sum(),
+        c[32] * 5,
+        -(first * np.log(first)).sum() / 3 if len(first) else 0.0,
+    ]
+    return np.concatenate([np.sqrt(total / max(1, total.sum())), plain]).astype(np.float32)
 
 
 def slot(kind: str, value: str | None) -> int:
@@ -38,29 +57,24 @@ def slot(kind: str, value: str | None) -> int:
 
 
 def meta_view(text: bytes, lang: str | None, source: str | None) -> np.ndarray:
-    """What is known of the page beside its wording: source, language, length and layout."""
+    """What is known of the page beside its wording: source, language, length and layout (lines only, no words or letters)."""
     out = np.zeros(META_DIM, dtype=np.float32)
-    n = len(text)
-    lines, words = text.split(b"\n"), text.split()
-    c = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256) / max(1, n)
-    starts = {w[:1] for w in words[:50]}
+    lines = text.split(b"\n")
+    sizes = np.array([len(x) for x in lines], dtype=float)
+    blank = sum(not x.strip() for x in lines) / len(lines)
     plain = [
-        np.log1p(n) / 10,
-        np.log1p(len(words)) / 10,
+        np.log1p(len(text)) / 10,
         np.log1p(len(lines)) / 5,
-        np.log1p(n / len(lines)) / 8,
-        min(n / max(1, len(words)), 30) / 10,
-        len(set(words)) / max(1, len(words)),
+        np.log1p(sizes.mean()) / 8,
+        np.log1p(sizes.std()) / 8,
+        np.log1p(sizes.max()) / 10,
+        np.log1p(sizes.min()) / 8,
         len(set(lines)) / len(lines),
-        5 * c[65:91].sum(),
-        5 * c[48:58].sum(),
-        5 * (c[33:39].sum() + c[42] + c[60:63].sum() + c[124]),
-        5 * (c[44] + c[46]),
-        c[97:123].sum(),
-        c[128:].sum(),
-        c[32] * 5,
-        len(starts) / 20,
-        float(n == 0),
+        blank,
+        float((sizes < 40).mean()),
+        float(sum(x[:1] in (b" ", b"\t") for x in lines) / len(lines)),
+        float(len(lines) == 1),
+        float(len(text) == 0),
     ]
     out[:META_PLAIN] = plain
     out[slot("lang", lang)] = out[slot("source", source)] = 0.3
@@ -96,34 +110,43 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2,
 
 
 class CoTrained:
-    """Two views' classifiers after the rounds, their calibration, and the combination."""
+    """Two views' classifiers, what each has been told by the other, their calibration and the combination."""
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], share: float, rounds: int = 4, confident: float = 0.97, most: int = 150):
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, share: float):
         """share: the share of label 1 among all labelled documents (the sample has the labels evenly)."""
         ones = max(1, int(y.sum()))
-        weight = np.where(y == 1, share / ones, (1 - share) / max(1, len(y) - ones)) * len(y)
-        test = np.arange(len(y)) % 4 == 0  # kept for calibration
-        given: list[dict[int, int]] = [{}, {}]  # what each view has been told about the pool
+        self.views, self.y = views, y
+        self.weight = np.where(y == 1, share / ones, (1 - share) / max(1, len(y) - ones)) * len(y)
+        self.test = np.arange(len(y)) % 4 == 0  # kept for calibration
+        self.told: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]  # per view: text hash -> (label, features)
+        self.sure = np.zeros((2, 2), dtype=np.int64)  # documents that a view was sure of in the last round, by label
+        self.refit()
+
+    def refit(self) -> None:
         self.weights = []
-        for turn in range(rounds + 1):
-            self.weights = []
-            for x, extra, told in zip(views, pool, given, strict=True):
-                rows = list(told)
-                xs, ys = np.concatenate([x[~test], extra[rows]]), np.concatenate([y[~test], [told[r] for r in rows]])
-                ws = np.concatenate([np.ones((~test).sum()), np.full(len(rows), 0.5)])
-                self.weights.append(fit(xs, ys, ws))
-            if turn == rounds or not len(pool[0]):
-                break
-            for me, other in ((0, 1), (1, 0)):
-                p = 1 / (1 + np.exp(-logit(pool[me], self.weights[me])))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    order = [r for r in np.argsort(-sure, kind="stable")[: most * (turn + 1)] if sure[r] >= confident and r not in given[other]]
-                    given[other].update((int(r), label) for r in order[:most])
-        self.told = [len(g) for g in given]
-        z = [logit(x[test], w) for x, w in zip(views, self.weights, strict=True)]
-        self.scales = [platt(v[:, None], y[test], weight[test]) for v in z]
-        both = np.column_stack([s[0] + s[1] * v for s, v in zip(self.scales, z, strict=True)])
-        self.final = platt(both, y[test], weight[test])
+        for x, told in zip(self.views, self.told, strict=True):
+            extra = [told[h] for h in sorted(told)]
+            xs = np.concatenate([x[~self.test], *(f[None] for _, f in extra)])
+            ys = np.concatenate([self.y[~self.test], np.array([label for label, _ in extra], dtype=float)])
+            self.weights.append(fit(xs, ys, np.concatenate([np.ones((~self.test).sum()), np.full(len(extra), 0.5)])))
+        z = [logit(x[self.test], w) for x, w in zip(self.views, self.weights, strict=True)]
+        y, weight = self.y[self.test], self.weight[self.test]
+        self.scales = [platt(v[:, None], y, weight) for v in z]
+        self.final = platt(np.column_stack([s[0] + s[1] * v for s, v in zip(self.scales, z, strict=True)]), y, weight)
+
+    def scorer(self) -> "Scorer":
+        return Scorer(self.weights, self.scales, self.final)
+
+
+class Scorer:
+    """What the executors need: each view's weights and scale, and the combination."""
+
+    def __init__(self, weights: list[np.ndarray], scales: list[np.ndarray], final: np.ndarray):
+        self.weights, self.scales, self.final = weights, scales, final
+
+    def each(self, views: list[np.ndarray]) -> list[np.ndarray]:
+        """Either view's own probability of label 1, labels taken as equally frequent."""
+        return [1 / (1 + np.exp(-logit(x, w))) for x, w in zip(views, self.weights, strict=True)]
 
     def score(self, views: list[np.ndarray]) -> np.ndarray:
         both = np.column_stack([s[0] + s[1] * logit(x, w) for s, x, w in zip(self.scales, views, self.weights, strict=True)])
@@ -136,8 +159,74 @@ def views_of(batch: pd.DataFrame) -> list[np.ndarray]:
     return [text, meta.reshape(len(batch), META_DIM)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, held: int, folds: int, train_docs: int, pool_docs: int, chars: int) -> CoTrained | None:
-    """docs: id, __text, __lang, __source. Features are made by the executors; the driver gets a bounded number of them."""
+def parts_of(batch: pd.DataFrame, rows: int = 500) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(batch), rows):
+        yield batch.iloc[start : start + rows]
+
+
+def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(__key, __y) and both views as bytes."""
+    for batch in batches:
+        for part in parts_of(batch):
+            text, meta = views_of(part)
+            yield pd.DataFrame({"key": part["__key"].to_numpy(), "y": part["__y"].to_numpy(), "text": [r.astype(np.float16).tobytes() for r in text], "meta": [r.tobytes() for r in meta]})
+
+
+def features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, labels, views) of a bounded number of rows, one for each key."""
+    rows = rows.groupBy("__key", "__y").agg(F.min(F.struct("__text", "__lang", "__source")).alias("__r")).select("__key", "__y", "__r.*")
+    got = rows.mapInPandas(featured, "key long, y int, text binary, meta binary").toPandas().sort_values(["key", "y"], kind="stable")
+    text = np.frombuffer(b"".join(got["text"]), dtype=np.float16).reshape(-1, TEXT_DIM).astype(np.float32)
+    meta = np.frombuffer(b"".join(got["meta"]), dtype=np.float32).reshape(-1, META_DIM)
+    return got["key"].to_numpy(dtype=np.int64), got["y"].to_numpy(dtype=int), [text, meta]
+
+
+def exchange(model: CoTrained, pool: DataFrame, confident: float, most: int) -> None:
+    """One round: both views score every document of the pool, and each tells the other at most `most` more documents of each
+    label, the first in the order of their texts' hashes among all that it is surest of.
+
+    pool: __key (hash of the text), __text, __lang, __source. A task returns no more than `most` hashes a view and label.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((model.scorer(), [set(t) for t in model.told]))
+
+    def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, known = shared.value
+        best: dict[tuple[int, int], set[int]] = {(me, label): set() for me in (0, 1) for label in (0, 1)}
+        seen = dict.fromkeys(best, 0)
+        for batch in batches:
+            for part in parts_of(batch):
+                keys = part["__key"].to_numpy()
+                for me, p in enumerate(scorer.each(views_of(part))):
+                    for label, q in ((1, p), (0, 1 - p)):
+                        found = keys[q >= confident]
+                        seen[me, label] += len(found)
+                        best[me, label].update(k for k in found.tolist() if k not in known[1 - me])
+                        if len(best[me, label]) > 4 * most:
+                            best[me, label] = set(sorted(best[me, label])[:most])
+        for (me, label), keys in best.items():
+            first = sorted(keys)[:most]
+            yield pd.DataFrame({"me": me, "label": label, "key": pd.array([None, *first], dtype="Int64"), "n": [seen[me, label]] + [0] * len(first)})
+
+    got = written(pool.mapInPandas(sure, "me int, label int, key long, n long"), "sure")
+    model.sure = np.zeros((2, 2), dtype=np.int64)
+    for r in got.groupBy("me", "label").agg(F.sum("n").alias("n")).collect():
+        model.sure[r["me"], r["label"]] = r["n"]
+    distinct = got.where("key is not null").select("me", "label", "key").distinct()
+    picked = distinct.withColumn("at", F.row_number().over(Window.partitionBy("me", "label").orderBy("key"))).where(F.col("at") <= most).select("me", "label", "key").collect()
+    if not picked:
+        return
+    wanted = pool.sparkSession.createDataFrame([(k,) for k in sorted({r["key"] for r in picked})], "__key long")
+    rows = pool.join(F.broadcast(wanted), "__key").withColumn("__y", F.lit(-1))
+    at, _, views = features(rows)
+    place = {int(k): i for i, k in enumerate(at)}
+    for r in picked:
+        other = 1 - r["me"]
+        model.told[other].setdefault(r["key"], (r["label"], views[other][place[r["key"]]]))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, held: int, folds: int, train_docs: int, told_docs: int, chars: int, rounds: int, confident: float) -> CoTrained | None:
+    """docs: id, __text, __lang, __source. The labelled sample and what views tell each other is bounded; the pool of
+    unlabelled documents isn't: every round reads all documents of the folds that are learned from."""
     spark = docs.sparkSession
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != held)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -145,28 +234,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, held:
         return None
     order = F.xxhash64(F.col(id_col))
     picked = [(r[0], y) for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy(order, id_col).select(id_col).limit(train_docs).collect()]
-    pool = docs.where(fold(F.col(id_col), folds) != held).select(id_col).orderBy(F.xxhash64(F.lit("pool"), F.col(id_col)), id_col).limit(pool_docs).collect()
-    known = {k for k, _ in picked}
-    wanted = picked + [(r[0], -1) for r in pool if r[0] is not None and r[0] not in known]
-    wanted = spark.createDataFrame(wanted, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __y int").dropDuplicates([id_col])
-
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start : start + 500]
-                text, meta = views_of(part)
-                yield pd.DataFrame({"id": part["__id"].to_numpy(), "y": part["__y"].to_numpy(), "text": [r.astype(np.float16).tobytes() for r in text], "meta": [r.tobytes() for r in meta]})
-
-    rows = docs.where(F.length("__text") <= chars).join(F.broadcast(wanted), id_col)
-    rows = rows.select(F.col(id_col).cast("string").alias("__id"), "__y", "__text", "__lang", "__source").mapInPandas(featured, "id string, y int, text binary, meta binary")
-    got = rows.toPandas().sort_values(["id", "text"], kind="stable")
-    text = np.frombuffer(b"".join(got["text"]), dtype=np.float16).reshape(-1, TEXT_DIM).astype(np.float32)
-    meta = np.frombuffer(b"".join(got["meta"]), dtype=np.float32).reshape(-1, META_DIM)
-    y = got["y"].to_numpy(dtype=int)
-    if len(set(y[y >= 0])) < 2:
+    wanted = F.broadcast(spark.createDataFrame(picked, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __y int"))
+    marked_rows = docs.where(F.length("__text") <= chars).join(wanted, id_col)
+    _, y, views = features(marked_rows.groupBy(id_col, "__y").agg(F.min(F.struct("__text", "__lang", "__source")).alias("__r")).select(F.xxhash64(id_col).alias("__key"), "__y", "__r.*"))
+    if len(set(y)) < 2:
         return None
-    mix = np.random.default_rng(5).permutation(np.flatnonzero(y >= 0))
-    return CoTrained([text[mix], meta[mix]], y[mix], [text[y < 0], meta[y < 0]], shares[1] / (shares[0] + shares[1]))
+    mix = np.random.default_rng(5).permutation(len(y))
+    model = CoTrained([v[mix] for v in views], y[mix], shares[1] / (shares[0] + shares[1]))
+    pool = docs.where(fold(F.col(id_col), folds) != held).join(wanted, id_col, "left_anti").select(F.xxhash64("__text").alias("__key"), "__text", "__lang", "__source")
+    for _ in range(rounds):
+        exchange(model, pool, confident, told_docs)
+        model.refit()
+    return model
 
 
 def quality(
@@ -180,35 +259,40 @@ def quality(
     held: int = 0,
     folds: int = 5,
     train_docs: int = TRAIN_DOCS,
-    pool_docs: int = POOL_DOCS,
+    told_docs: int = TOLD_DOCS,
     train_chars: int = TRAIN_CHARS,
+    rounds: int = 2,
+    confident: float = 0.97,
     least: float = 0.5,
 ) -> DataFrame:
     """docs with held_out, score (probability of label 1) and kept (score >= least) added.
 
     The text view (hashed byte n-grams) and the page view (source, language, length, layout) are first learned from at most
-    train_docs documents of each label, of the folds (crc32 of the id) other than `held`. For some rounds each then labels
-    the documents of an unlabelled pool (at most pool_docs) of which it is surest, for the other to learn from. Both are
-    calibrated on a part of the labelled sample that neither saw, and the calibrated views combined score all documents.
-
-    Null text counts as empty; null language or source is a value of its own; repeated rows are each scored; an id
-    labelled twice counts as 0 if one label says so; with fewer than two labels to learn from every score is 1. Columns of
-    docs are kept; held_out, score and kept replace columns of these names.
+    train_docs documents of each label, of the folds (crc32 of the id) other than `held`. In each round both then score all
+    other documents of these folds, and each tells the other up to told_docs texts a label of which it is `confident`, to
+    learn from. Both are calibrated on a part of the labelled sample that neither saw, and the calibrated views combined
+    score all documents, whole.
+
+    Null text counts as empty; null language or source is a value of its own; repeated rows are each scored, and learned
+    from once; an id labelled twice counts as 0 if one label says so; with fewer than two labels to learn from every score is
+    1. Ties: of equal hashes the smaller id is taken; a score equal to `least` is kept. Labelled texts of over train_chars
+    characters are left out of training only. Columns of docs are kept; held_out, score and kept replace columns of these
+    names.
     """
     data = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"), F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"))
-    model = learn(data, labels, id_col, label_col, held, folds, train_docs, pool_docs, train_chars)
+    model = learn(data, labels, id_col, label_col, held, folds, train_docs, told_docs, train_chars, rounds, confident)
     docs = docs.withColumn("held_out", fold(F.col(id_col), folds) == held)
     if model is None:
         return docs.withColumns({"score": F.lit(1.0), "kept": F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())
 
     def score(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.Series:
         batch, out = pd.DataFrame({"__text": texts, "__lang": langs, "__source": sources}), []
-        for start in range(0, len(batch), 500):
-            out.append(shared.value.score(views_of(batch.iloc[start : start + 500])))
+        for part in parts_of(batch):
+            out.append(shared.value.score(views_of(part)))
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    scorer = F.pandas_udf(score, "double")
+    scorer = F.pandas_udf(score, "double").asNondeterministic()  # never evaluated twice
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     docs = docs.withColumn("score", scorer(text, F.col(lang_col).cast("string"), F.col(source_col).cast("string")))
     return docs.withColumn("kept", F.col("score") >= least)
