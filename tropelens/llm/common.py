@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when a count or sum has shown it to be at most this large.
 BROADCAST_BYTES = 64 << 20
+#: Words whose hashes a task remembers.
+CACHE_WORDS = 150_000
 #: Letters lower-cased, every ASCII byte that is no letter or digit turned into a space.
 ALNUM_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
 
@@ -83,3 +89,37 @@ def site_key(site: Column) -> Column:
 def as_bytes(text: Column) -> Column:
     """UTF-8 bytes for Arrow: no decoding on the way to Python."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, plans that are run send Python so many rows at a time at most: for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def shards(batch: pd.DataFrame, column: str, most: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    """Cuts a batch into blocks of rows with at most about `most` bytes of text; a longer text is a block of its own."""
+    sizes = batch[column].str.len().to_numpy(dtype=np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.iloc[start:stop]
+        start = stop

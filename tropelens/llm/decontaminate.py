@@ -1,10 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by document and transient: each task builds it in memory for a block of whole documents, with the
-positions of the test windows' terms only, anew for each benchmark block. Test windows go to every shard in blocks of
-bounded size. A window is searched from the places of the term that is rarest in all documents on, and its further words
-are read at their offsets: so neither order nor result depends on how documents are dealt. Only counts of test terms are
-shuffled, summed within each task, and a passage that a third of all documents share costs each shard its own part only.
+The documents are read once: each task writes the token postings of its documents to the shared folder, a row for each
+shard of about a megabyte of whole documents, with the sorted hashes of its terms, the list of positions of each term, and
+where its documents begin. Test windows meet the stored shards in blocks of bounded size. A window is searched from the
+list of the term that is rarest in all documents on; the lists of its further terms, shifted by their offsets, are
+intersected with it one after the other. So neither order nor result depends on how documents are dealt, a further block
+reads postings only, and a passage that a third of all documents share costs each shard its own part only. Findings are
+kept by a 128-bit hash of the text, once for equal texts, and joined to the documents at the end.
+
+Terms are compared under 64-bit hashes: a collision could take one word for another, with a chance of about terms^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import ALNUM_BYTES, as_bytes, written
+from tropelens.llm.common import ALNUM_BYTES, WordHashes, as_bytes, shards, small_batches, written
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 #: Test windows of one block: what a task holds of the benchmark at once.
-BLOCK_WINDOWS = 1 << 20
+BLOCK_WINDOWS = 1 << 18
+INDEX = "keys binary, doc_start binary, terms binary, first binary, positions binary"
+FOUND = "k1 long, k2 long, spans array<long>, items array<string>, near array<long>, near_spans array<long>, near_items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -47,6 +53,17 @@ class TestWindows:
         names = list(self.terms)
         digests = (hashlib.blake2b(b" ".join(names[i] for i in r), digest_size=8).digest() for r in rows)
         self.keys = np.array([int.from_bytes(x, "big", signed=True) for x in digests], dtype=np.int64)  # the same in all blocks
+        known = WordHashes()
+        hashes = np.array([known[w] for w in names], dtype=np.uint64)
+        self.by_hash = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.by_hash]
+
+    def meet(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers of the block, places in `terms`) of the terms that a shard has too."""
+        at = np.searchsorted(self.hashes, terms)
+        same = np.append(self.hashes, np.uint64(0))[at] == terms
+        same &= at < len(self.hashes)
+        return self.by_hash[at[same]], np.flatnonzero(same)
 
     def rank(self, counts: np.ndarray) -> None:
         """Orders each window's offsets by its terms' counts in all documents, rarest first; padding comes last."""
@@ -61,40 +78,67 @@ def expanded(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return rows, np.arange(len(rows)) - first[rows] + starts[rows]
 
 
-class Shard:
-    """Positional inverted index of some documents, over the terms of the test windows."""
+def shard_row(keys: list[tuple[int, int]], texts: list[bytes], hashes: WordHashes) -> tuple[bytes, ...]:
+    """One shard of the index: the documents' keys and first positions, the terms, and their lists one after the other.
+    Documents are one position apart, so that no window crosses them."""
+    parts, at, starts = [], [], [0]
+    for text in texts:
+        words = words_of(text)
+        parts.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+        at.append(np.arange(starts[-1], starts[-1] + len(words), dtype=np.int32))
+        starts.append(starts[-1] + len(words) + 1)
+    tokens, at = np.concatenate(parts), np.concatenate(at)
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+    ends = np.append(first, len(tokens)).astype(np.int32)
+    return np.array(keys, dtype=np.int64).tobytes(), np.array(starts, dtype=np.int32).tobytes(), tokens[first].tobytes(), ends.tobytes(), at[order].tobytes()
+
+
+def positional_index(docs: DataFrame) -> DataFrame:
+    """docs (k1, k2, text binary) -> the written index, a row a shard. Texts without words have no place in it."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in shards(batch, "text", SHARD_BYTES):
+                yield pd.DataFrame([shard_row(list(zip(part["k1"], part["k2"], strict=True)), list(part["text"]), hashes)], columns=[x.split()[0] for x in INDEX.split(", ")])
 
-    def __init__(self, texts: list[bytes], terms: dict[bytes, int]):
-        known, parts, self.n_words = terms.get, [], []
-        for text in texts:
-            words = words_of(text)
-            self.n_words.append(len(words))
-            parts.append(np.fromiter((known(w, -1) for w in words), dtype=np.int64, count=len(words)))
-            parts.append(np.array([-1]))  # no window crosses documents
-        self.tokens = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-        self.doc_start = np.cumsum([0] + [n + 1 for n in self.n_words])
-        at = np.flatnonzero(self.tokens >= 0)
-        order = np.argsort(self.tokens[at], kind="stable")
-        self.postings = at[order]
-        self.count = np.bincount(self.tokens[at], minlength=len(terms))
+    return written(docs.mapInPandas(build, INDEX), "postings")
+
+
+class Shard:
+    """A stored shard, as far as a block's terms go: lists of positions by term number."""
+
+    def __init__(self, row, windows: TestWindows):
+        self.doc_keys = np.frombuffer(row.keys, dtype=np.int64).reshape(-1, 2)
+        self.doc_start = np.frombuffer(row.doc_start, dtype=np.int32).astype(np.int64)
+        self.length = int(self.doc_start[-1])
+        term, place = windows.meet(np.frombuffer(row.terms, dtype=np.uint64))
+        order = np.argsort(term, kind="stable")
+        term, place = term[order], place[order]
+        ends = np.frombuffer(row.first, dtype=np.int32).astype(np.int64)
+        sizes = ends[place + 1] - ends[place]
+        rows, at = expanded(ends[place], sizes)
+        self.postings = np.frombuffer(row.positions, dtype=np.int32)[at].astype(np.int64)
+        self.count = np.zeros(len(windows.terms), dtype=np.int64)
+        self.count[term] = sizes
         self.first = np.cumsum(self.count) - self.count
-        self.stride = len(self.tokens) + 1
-        self.keys = self.tokens[self.postings] * self.stride + self.postings
+        self.stride = self.length + 1
+        self.keys = term[rows] * self.stride + self.postings
+        self.term_at = term[rows]
 
     def within(self, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first position of each term's list from lo to hi, or -1."""
+        lo = np.maximum(lo, 0)
         at = np.searchsorted(self.keys, term * self.stride + lo)
         found = np.append(self.keys, np.iinfo(np.int64).max)[at]
-        return np.where(found <= term * self.stride + hi, found - term * self.stride, -1)
-
-    def token(self, at: np.ndarray) -> np.ndarray:
-        ok = (at >= 0) & (at < len(self.tokens))
-        return np.where(ok, self.tokens[np.where(ok, at, 0)], -1) if len(self.tokens) else np.full(len(at), -1)
+        return np.where(found <= term * self.stride + np.minimum(hi, self.length), found - term * self.stride, -1)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_start, at, side="right") - 1
 
-    def search(self, windows: TestWindows, slop: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    def search(self, windows: TestWindows, slop: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
         """(window numbers, start positions, positions of the rarest term, exact) of all exact occurrences, and of the
         places in proximity.
 
@@ -113,22 +157,21 @@ class Shard:
             lo = np.maximum(0, k - (ends - lists))
             n = np.clip(np.minimum(ends, k + chunk) - np.maximum(ends - lists, k), 0, None)
             rows, at = expanded(self.first[m[live, rare]] + lo, n)
-            start = self.postings[at] - rare[rows]
-            exact, left = np.ones(len(rows), dtype=bool), np.arange(len(rows))
+            seen = self.postings[at]
+            start = seen - rare[rows]
+            exact, left = start >= 0, np.flatnonzero(start >= 0)
             for step in range(1, windows.width):  # the next rarest term's list, shifted by its offset
                 offset = order[rows[left], step]
-                term = m[live[rows[left]], offset]
-                ok = (term < 0) | (self.token(start[left] + offset) == term)
+                term, due = m[live[rows[left]], offset], start[left] + offset
+                ok = (term < 0) | (self.within(np.maximum(term, 0), due, due) >= 0)
                 exact[left[~ok]] = False
                 left = left[ok]
-            near, seen = np.zeros(len(rows), dtype=bool), self.postings[at]
+            near = np.zeros(len(rows), dtype=bool)
             if windows.width > 1 and slop:
                 second = order[rows, 1]
-                term = m[live[rows], second]
-                doc = self.doc_of(seen)
-                for shift in range(-slop, slop + 1):
-                    there = start + second + shift
-                    near |= (term >= 0) & (self.token(there) == term) & (self.doc_of(there) == doc)
+                term, doc = m[live[rows], second], self.doc_of(seen)
+                lo, hi = np.maximum(start + second - slop, self.doc_start[doc]), np.minimum(start + second + slop, self.doc_start[doc + 1] - 2)
+                near = (term >= 0) & (lo <= hi) & (self.within(np.maximum(term, 0), lo, hi) >= 0)
             near &= ~exact
             keep = exact | near
             yield live[rows[keep]], start[keep], seen[keep], exact[keep]
@@ -177,9 +220,14 @@ class Shard:
     def in_order(self, rows: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
         """How many terms of each row come in order, each at a place of its own, among the `length` places from start."""
         best = np.zeros((length + 1, len(rows)), dtype=np.int64)
+        if not len(rows):
+            return best[-1]
+        if not hasattr(self, "tokens"):  # the block's terms at their places
+            self.tokens = np.full(self.length, -1)
+            self.tokens[self.postings] = self.term_at
         places = start + np.arange(length)[:, None]
         inside = (places >= begin) & (places <= end)
-        tokens = np.where(inside, self.tokens[np.where(inside, places, 0)], -1) if len(rows) else np.empty((length, 0))
+        tokens = np.where(inside, self.tokens[np.where(inside, places, 0)], -1)
         for j in range(rows.shape[1]):
             same = (tokens == rows[:, j]) & (rows[:, j] >= 0)
             now = np.zeros_like(best)
@@ -187,12 +235,13 @@ class Shard:
             best = np.maximum.accumulate(now, axis=0)
         return best[-1]
 
-    def report(self, windows: TestWindows, slop: int, before: np.ndarray, near_before: np.ndarray) -> tuple[np.ndarray, list[set[str]], list[list[int]], np.ndarray, list[set[str]]]:
-        """Hit flags of all tokens (with those of earlier blocks), of each document the items and the keys of windows whose
-        rarest pair is near, then flags and items of the places with changes."""
-        n, size = len(self.n_words), max(1, len(windows.sizes))
-        marks = np.zeros(len(self.tokens) + 1, dtype=np.int64)
-        pairs, near_pairs, exacts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    def report(self, windows: TestWindows, slop: int) -> Iterator[tuple]:
+        """Rows of FOUND: a document's spans of hit words, its items, the keys of windows whose rarest pair is near, then
+        spans and items of the places with changes. Documents without any have no row, repeated ones have one."""
+        size, n = max(1, len(windows.sizes)), len(self.doc_keys)
+        marks, near_marks = np.zeros(self.length + 1, dtype=np.int64), np.zeros(self.length + 1, dtype=np.int64)
+        none = np.empty(0, dtype=np.int64)
+        pairs, near_pairs, change_pairs, exacts = [none], [none], [none], [none]
         for window, start, seen, exact in self.search(windows, slop):
             w, s = window[exact], start[exact]
             np.add.at(marks, s, 1)
@@ -201,38 +250,33 @@ class Shard:
             doc = self.doc_of(seen)
             pairs.append(np.unique(doc[exact] * size + w))
             near_pairs.append(np.unique(doc[~exact] * size + window[~exact]))
-        items: list[set[str]] = [set() for _ in range(n)]
-        for pair in np.unique(np.concatenate(pairs)):
-            items[pair // size].update(windows.owners[pair % size])
-        keys: list[list[int]] = [[] for _ in range(n)]
-        for pair in np.unique(np.concatenate(near_pairs)):
-            keys[pair // size].append(int(windows.keys[pair % size]))
-        near_marks, near_pairs = np.zeros(len(self.tokens) + 1, dtype=np.int64), [np.empty(0, dtype=np.int64)]
         for w, first, last in self.near_search(windows, slop, np.unique(np.concatenate(exacts))) if slop else ():
             np.add.at(near_marks, first, 1)
             np.add.at(near_marks, last + 1, -1)
-            near_pairs.append(np.unique(self.doc_of(first) * size + w))
-        near_items: list[set[str]] = [set() for _ in range(n)]
+            change_pairs.append(np.unique(self.doc_of(first) * size + w))
+        items, near_items = ({d: set() for d in range(n)} for _ in range(2))
+        keys: list[list[int]] = [[] for _ in range(n)]
+        for found, out in ((pairs, items), (change_pairs, near_items)):
+            for pair in np.unique(np.concatenate(found)):
+                out[int(pair // size)].update(windows.owners[pair % size])
         for pair in np.unique(np.concatenate(near_pairs)):
-            near_items[pair // size].update(windows.owners[pair % size])
-        return before | (np.cumsum(marks[:-1]) > 0), items, keys, near_before | (np.cumsum(near_marks[:-1]) > 0), near_items
-
-    def spans(self, hit: np.ndarray) -> list[list[int]]:
+            keys[pair // size].append(int(windows.keys[pair % size]))
+        spans, near_spans = self.spans(np.cumsum(marks[:-1]) > 0), self.spans(np.cumsum(near_marks[:-1]) > 0)
+        done = set()
+        for d in range(n):
+            key = (int(self.doc_keys[d, 0]), int(self.doc_keys[d, 1]))
+            if (items[d] or keys[d] or near_items[d]) and key not in done:
+                done.add(key)
+                yield (*key, spans.get(d, []), sorted(items[d]), keys[d], near_spans.get(d, []), sorted(near_items[d]))
+
+    def spans(self, hit: np.ndarray) -> dict[int, list[int]]:
         """Per document the hit runs as start, end, start, end ... in word numbers."""
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-        doc = self.doc_of(edges[::2])
-        out: list[list[int]] = [[] for _ in self.n_words]
-        for d, a, b in zip(doc, edges[::2], edges[1::2], strict=True):
-            out[d] += [int(a - self.doc_start[d]), int(b - self.doc_start[d])]
+        out: dict[int, list[int]] = {}
+        for d, a, b in zip(self.doc_of(edges[::2]).tolist(), edges[::2], edges[1::2], strict=True):
+            out.setdefault(d, []).extend((int(a - self.doc_start[d]), int(b - self.doc_start[d])))
         return out
 
-    def flags(self, spans: list) -> np.ndarray:
-        hit = np.zeros(len(self.tokens), dtype=bool)
-        for k, runs in enumerate(spans):
-            for a, b in zip(runs[::2], runs[1::2], strict=True):
-                hit[self.doc_start[k] + a : self.doc_start[k] + b] = True
-        return hit
-
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_windows: int) -> Iterator[TestWindows]:
     """The test items in blocks of at most about block_windows windows, one at a time on the driver."""
@@ -265,84 +309,111 @@ def contamination(
     proximity, without the phrase as a whole. near_items and near_spans (as hit_spans) are the items and places of windows
     with changes: at least four in five of their terms, in order, within `slop` of their due places (see near_search).
 
-    The benchmark is a query set: its blocks, each bounded by block_windows, are broadcast one after the other, and each
-    block's pass over the documents adds to the columns; n_hit counts the union of the blocks' hit words. hit_spans has
-    the hit runs as word numbers: start, end, start, end ...
+    The benchmark is a query set: its blocks, each bounded by block_windows, meet the stored index one after the other, and
+    the findings of all blocks are joined to the documents at the end; no block reads or moves a document. n_hit counts the
+    union of the blocks' hit words. hit_spans has the hit runs as word numbers: start, end, start, end ...
 
     Null and empty texts have no words and no hits; items without words have no windows; a null item id counts as the
-    empty string; repeated rows are each reported; a benchmark without windows hits nothing. Columns of docs are kept,
-    those with names of added columns are replaced.
+    empty string; repeated rows are each reported; very long texts are a shard of their own; ties of term counts go to the
+    earlier word; a benchmark without windows hits nothing. Columns of docs are kept, those with names of added columns are
+    replaced.
     """
     names = ("n_words", "n_hit", "n_items", "items", "items_sha256", "n_near", "contaminated", "hit_spans", "near_items", "near_spans")
-    out = docs.select(*[c for c in docs.columns if c not in names], as_bytes(F.col(text_col)).alias("__bytes"))
-    out = out.withColumns({"__spans": F.array().cast("array<long>"), "__items": F.array().cast("array<string>"), "__near": F.array().cast("array<long>"), "near_spans": F.array().cast("array<long>"), "near_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
-    first = True
-    for windows in benchmark_blocks(benchmark, item_col, item_text_col, width, block_windows):
-        out = one_block(out if first else written(out, "block"), windows, slop)
-        first = False
-    if first:
-        out = one_block(out, TestWindows([], width), slop)
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("__spans") - 1), F.lit(0).cast("long"), lambda n, k: n + F.when(k % 2 == 1, 1).otherwise(-1) * F.element_at("__spans", k + 1))
-    out = out.withColumns({"n_hit": F.when(F.size("__spans") > 0, n_hit).otherwise(0), "items": F.array_sort("__items"), "n_items": F.size("__items").cast("long"), "n_near": F.size("__near").cast("long"), "near_items": F.array_sort("near_items")})
-    out = out.withColumns({"items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated": F.col("n_hit") > 0})
-    return out.drop("__bytes", "__items", "__near").withColumnRenamed("__spans", "hit_spans")
-
-
-def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    """How often each term of a block stands in all documents: a number a term, summed within each task first."""
-    total = np.zeros(len(terms), dtype=np.int64)
-    if not terms:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(17), text)})
+    index = positional_index(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), as_bytes(F.col(text_col)).alias("text")).where("octet_length(text) > 0"))
+    blocks = [block_findings(index, windows, slop) for windows in benchmark_blocks(benchmark, item_col, item_text_col, width, block_windows)]
+    found = merged(blocks) if blocks else docs.sparkSession.createDataFrame([], FOUND)
+    found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.struct(*[x.split()[0] for x in FOUND.split(", ")[2:]]).alias("__found"))
+    keyed = keyed.select(*[c for c in docs.columns if c not in names], "__k1", "__k2", F.regexp_count(text, F.lit(ITEM_WORD)).cast("long").alias("n_words"))
+    out = keyed.join(found, ["__k1", "__k2"], "left")
+
+    def got(name: str, kind: str) -> Column:
+        return F.coalesce(F.col(f"__found.{name}"), F.array().cast(f"array<{kind}>"))
+
+    out = out.withColumns(
+        {
+            "hit_spans": got("spans", "long"),
+            "items": got("items", "string"),
+            "near_items": got("near_items", "string"),
+            "near_spans": got("near_spans", "long"),
+            "n_near": F.size(got("near", "long")).cast("long"),
+        }
+    )
+    ends = F.aggregate(F.transform("hit_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda n, x: n + x)
+    out = out.withColumns({"n_hit": ends, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256)})
+    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("__k1", "__k2", "__found")
+
+
+#: A word of a document or item, before letters are lower-cased.
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def term_counts(index: DataFrame, windows: TestWindows) -> np.ndarray:
+    """How often each term of a block stands in all documents, from the lengths of its lists: summed within each task first."""
+    total = np.zeros(len(windows.terms), dtype=np.int64)
+    if not len(total):
         return total
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = index.sparkSession.sparkContext.broadcast(windows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, n = shared.value.get, np.zeros(len(shared.value), dtype=np.int64)
+        windows = shared.value
+        n = np.zeros(len(windows.terms), dtype=np.int64)
         for batch in batches:
-            for text in batch["__bytes"]:
-                ids = [i for i in map(known, words_of(text)) if i is not None]
-                if ids:
-                    np.add.at(n, ids, 1)
+            for terms, first in zip(batch["terms"], batch["first"], strict=True):
+                term, place = windows.meet(np.frombuffer(terms, dtype=np.uint64))
+                n[term] += np.diff(np.frombuffer(first, dtype=np.int32))[place]
         at = np.flatnonzero(n)
         yield pd.DataFrame({"term": at, "n": n[at]})
 
-    sums = docs.select("__bytes").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    for row in sums.toLocalIterator():
-        total[row["term"]] = row["n"]
+    with small_batches(index.sparkSession, 64):
+        for row in index.select("terms", "first").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+            total[row["term"]] = row["n"]
     shared.unpersist()
     return total
 
 
-def one_block(docs: DataFrame, windows: TestWindows, slop: int) -> DataFrame:
-    """Adds one block's findings to __spans, __items, __near, near_spans and near_items. The block is what each task holds of the benchmark."""
-    windows.rank(term_counts(docs, windows.terms))
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def block_findings(index: DataFrame, windows: TestWindows, slop: int) -> DataFrame:
+    """Rows of FOUND for one block, a row for each different text, written."""
+    windows.rank(term_counts(index, windows))
+    shared = index.sparkSession.sparkContext.broadcast(windows)
 
-    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = shared.value
-        for texts, before, near_before in batches:
-            out = []
-            for part in shards(pd.DataFrame({"text": texts, "spans": before, "near_spans": near_before}), "text"):
-                shard = Shard(list(part["text"]), windows.terms)
-                hit, items, keys, near, near_items = shard.report(windows, slop, shard.flags(list(part["spans"])), shard.flags(list(part["near_spans"])))
-                out += zip(shard.n_words, shard.spans(hit), [sorted(x) for x in items], keys, shard.spans(near), [sorted(x) for x in near_items], strict=True)
-            yield pd.DataFrame(out, columns=["n_words", "spans", "items", "near", "near_spans", "near_items"])
-
-    kind = "n_words long, spans array<long>, items array<string>, near array<long>, near_spans array<long>, near_items array<string>"
-    scanner = F.pandas_udf(scan, kind, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
-    out = docs.withColumn("__found", scanner("__bytes", "__spans", "near_spans"))
-    found = {"n_words": F.col("__found.n_words"), "__spans": F.col("__found.spans"), "near_spans": F.col("__found.near_spans")}
-    found |= {a: F.array_union(a, f"__found.{b}") for a, b in (("__items", "items"), ("__near", "near"), ("near_items", "near_items"))}
-    return out.withColumns(found).drop("__found")
-
-
-def shards(batch: pd.DataFrame, column: str, most: int = SHARD_BYTES) -> Iterator[pd.DataFrame]:
-    """Cuts a batch into blocks of rows with at most about `most` bytes of text; a longer text is a block of its own."""
-    sizes = batch[column].str.len().to_numpy(dtype=np.int64)
-    ends, start = np.cumsum(sizes), 0
-    while start < len(batch):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
-        yield batch.iloc[start:stop]
-        start = stop
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([found for row in batch.itertuples(index=False) for found in Shard(row, windows).report(windows, slop)], columns=names)
+
+    with small_batches(index.sparkSession, 8):
+        found = index.mapInPandas(search, FOUND)
+        values = [x.split()[0] for x in FOUND.split(", ")[2:]]
+        return written(found.groupBy("k1", "k2").agg(F.first(F.struct(*values)).alias("v")).select("k1", "k2", "v.*"), "findings")
+
+
+def merged(blocks: list[DataFrame]) -> DataFrame:
+    """The findings of all blocks, a row for each different text: spans are united, items and keys counted once."""
+    if len(blocks) == 1:
+        return blocks[0].withColumns({"items": F.array_sort("items"), "near_items": F.array_sort("near_items")})
+    rows = blocks[0]
+    for block in blocks[1:]:
+        rows = rows.union(block)
+    sets = {c: F.array_distinct(F.flatten(F.collect_list(c))) for c in ("items", "near", "near_items")}
+    runs = {c: F.flatten(F.collect_list(F.transform(F.filter(c, lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("a"), F.get(c, 2 * i + 1).alias("b"))))) for c in ("spans", "near_spans")}
+    out = rows.groupBy("k1", "k2").agg(*(x.alias(c) for c, x in (sets | runs).items()))
+    out = out.withColumns({"items": F.array_sort("items"), "near_items": F.array_sort("near_items"), "spans": united("spans"), "near_spans": united("near_spans")})
+    return out.select(*[x.split()[0] for x in FOUND.split(", ")])
+
+
+def united(column: str) -> Column:
+    """array<struct<a, b>> of runs -> start, end, start, end ... of their union."""
+    none = F.array().cast("array<bigint>")
+
+    def add(out: Column, run: Column) -> Column:
+        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(-1))
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.greatest(last, run["b"])))
+        return F.when((F.size(out) > 0) & (run["a"] <= last), longer).otherwise(F.concat(out, F.array(run["a"], run["b"])))
+
+    return F.aggregate(F.array_sort(column), none, add)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
