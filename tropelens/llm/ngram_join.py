@@ -20,31 +20,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import as_bytes, partitions, release, written
+from tropelens.llm.common import CACHE_WORDS, WordHashes, as_bytes, partitions, release, shards, written
 from tropelens.llm.components import connected_components
-from tropelens.llm.decontaminate import shards
 
 #: Text of one block in a task: more lanes take larger blocks, so that packed arrays don't get too short.
 BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 24 << 20
-CACHE_WORDS = 150_000
+#: Text whose shingles one lane takes: its arrays are a few times that.
+LANE_BYTES = 32 << 20
 SIGNATURE = 64
 FREQUENT = np.iinfo(np.int32).max
 # Odd multipliers of the places in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -72,11 +60,12 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)))))
 
 
-def lanes(spark: SparkSession) -> list[int]:
-    """For each shuffle partition a key that Spark's hash sends there: packed arrays are dealt out evenly."""
-    p = partitions(spark)
+def lanes(spark: SparkSession, text_bytes: int, lane_bytes: int) -> tuple[int, list[int]]:
+    """(number of partitions, a key for each that Spark's hash sends there): packed arrays are dealt out evenly, to one lane
+    for lane_bytes of text, so that what a task holds doesn't grow with the input; at least to the shuffle partitions set."""
+    p = max(partitions(spark), -(-text_bytes // lane_bytes))
     found = spark.range(0, 16 * p + 64).groupBy(F.pmod(F.hash("id"), F.lit(p)).alias("to")).agg(F.min("id").alias("id")).orderBy("to").collect()
-    return [r["id"] for r in found]
+    return p, [r["id"] for r in found]
 
 
 def packed(lane: np.ndarray, keys: list[int], kind: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -103,14 +92,13 @@ def tables(batch: pd.DataFrame, kind: int, *types: type) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(part[c]), dtype=t) for c, t in zip("abc", types, strict=False)]
 
 
-def frequent_shingles(docs: DataFrame, width: int, sample_docs: int, share: float) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int, width: int, sample_docs: int, share: float) -> np.ndarray:
     """Shingles of at least `share` of a bounded sample of documents, sorted.
 
     They only change where a shingle's entries are dealt (with their class instead of with each other) and put it last in
     the order, the same way in every class; results are the same with any set. So no task gathers a shingle that a large
     share of all documents has.
     """
-    n = docs.count()
     step = -(-n // sample_docs) if n else 1
     rows = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(step)) == 0)
 
@@ -127,17 +115,18 @@ def frequent_shingles(docs: DataFrame, width: int, sample_docs: int, share: floa
     return np.sort(got["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_share: float = 0.004) -> DataFrame:
+def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_share: float = 0.004, lane_bytes: int = LANE_BYTES) -> DataFrame:
     """docs (id long, text binary) -> one written table of two kinds of rows:
 
     members: (id, class, n_shingles); candidates: (class, n_shingles, n_single, shingles, signature) where shingles are
     those that other classes have too, rare first, and n_single is the number of all others.
     """
     spark = docs.sparkSession
-    keys = lanes(spark)
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    p, keys = lanes(spark, total["bytes"] or 0, lane_bytes)
     n_lanes = len(keys)
     block = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, n_lanes << 15))
-    common = spark.sparkContext.broadcast(frequent_shingles(docs, width, sample_docs, frequent_share))
+    common = spark.sparkContext.broadcast(frequent_shingles(docs, total["n"], width, sample_docs, frequent_share))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen, frequent = WordHashes(), set(), common.value
@@ -231,7 +220,6 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
         release()
         return pd.concat([out, pd.DataFrame(rows, columns=out.columns)]) if rows else out
 
-    p = partitions(spark)
     moved = docs.mapInPandas(hashed, PACKED).repartition(p, "lane")
     found = moved.groupBy("lane").applyInPandas(counted, PACKED).repartition(p, "lane")
     schema = "id long, class long, n_shingles long, n_single long, shingles array<long>, signature array<int>"
@@ -271,16 +259,27 @@ def star_pairs(rows: DataFrame, hot_entries: int, salts: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def bucket_pairs(rows: DataFrame, apart: bool) -> DataFrame:
+def bucket_pairs(rows: DataFrame, apart: bool, part: int = 2_000) -> DataFrame:
     """Pairs of classes that share a prefix shingle and pass the filters; with `apart`, only of different components.
 
-    Length: the smaller set has at least three quarters of the larger one's size. Positional: after the shared shingle
-    enough of both sets is left; single shingles, which stand first, can't be shared. Suffix: the sets fall into 64 parts
-    by hash, and the parts' smaller counts together bound the intersection.
+    Length: the smaller set has at least three quarters of the larger one's size; classes meet in bands of a factor 4/3 of
+    their size, their own and the next. Positional: after the shared shingle enough of both sets is left; single
+    shingles, which stand first, can't be shared. Suffix: the sets fall into 64 parts by hash, and the parts' smaller
+    counts together bound the intersection.
+
+    A band of a bucket with more than `part` classes is split: one side is dealt to slices of that size by hash, the other
+    goes to every slice, so that no task has all of its pairs.
     """
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = rows.withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("int"))
+    sizes = rows.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("__n"))
+    hot = sizes.where(F.col("__n") > part).select("shingle", "band", F.ceil(F.col("__n") / part).cast("int").alias("slices"))
+    hot = written(hot, "hot")
+    x = rows.join(hot, ["shingle", "band"], "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("slices"))).cast("int"))
+    y = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(hot, ["shingle", "band"], "left")
+    y = y.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    x, y = x.alias("x"), y.alias("y")
     n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class"))
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.class") < F.col("y.class"))
     if apart:
         on &= F.col("x.component") != F.col("y.component")
     on &= 4 * F.least(n, m) >= 3 * F.greatest(n, m)
@@ -305,8 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when the Jaccard similarity of their sets of distinct `width`-word shingles (A-Z lower-cased; a
     shorter text is one shingle as a whole) is 0.75 or more. Null, empty and blank texts have no shingles and link with
     nothing. Repeated rows are each returned, and link as documents with equal sets do. Ids are whole numbers; a row with
-    a null id gets its n_shingles, links nothing and has a null component. An empty table gives an empty result. Extra
-    columns are ignored. Shingles and classes are compared under 64-bit hashes.
+    a null id gets its n_shingles, links nothing and has a null component. An empty table gives an empty result. Very long
+    texts are hashed whole; ties in the order of shingles go by their hash. Extra columns are ignored. Shingles and classes
+    are compared under 64-bit hashes.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(F.col(text_col)).alias("text"))
     table = classes(base.where("id is not null"), width)
@@ -324,14 +324,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = connected_components(first.where("linked").select("a", "b").union(second.select("a", "b")))
 
     full = members.where("n_shingles > 0")
-    grouped = full.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    out = grouped.join(least, "component").select("id", "n_shingles", "component_id", F.col("class").alias("class_id"))
+    of_class = class_components(full, linked)
+    out = full.join(of_class, "class").select("id", "n_shingles", "component_id", F.col("class").alias("class_id"))
     blank = members.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     nameless = base.where("id is null").select("id", unnamed_count(F.col("text"), width).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return out.union(blank).union(nameless).withColumnRenamed("id", id_col)
 
 
+def class_components(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(class, component_id) of all classes, written: the smallest id of the class's component.
+
+    Ids are reduced within classes and classes within components before they meet, and both sides of each join are plain
+    tables: a class or component with a large share of all rows is then split by Spark's own handling of skewed joins.
+    """
+    first = members.groupBy("class").agg(F.min("id").alias("first"))
+    first = written(first.join(linked.select(F.col("node").alias("class"), "component"), "class", "left"), "firsts")
+    several = first.where("component is not null")
+    least = written(several.groupBy("component").agg(F.min("first").alias("component_id")), "least")
+    alone = first.where("component is null").select("class", F.col("first").alias("component_id"))
+    return written(several.join(least, "component").select("class", "component_id").union(alone), "of_class")
+
+
 def unnamed_count(text: Column, width: int) -> Column:
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
