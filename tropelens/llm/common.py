@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when a count or sum has shown it to be at most this large.
 BROADCAST_BYTES = 64 << 20
-#: Words whose hashes a task remembers.
-CACHE_WORDS = 150_000
 #: Letters lower-cased, every ASCII byte that is no letter or digit turned into a space.
 ALNUM_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
+#: Letters lower-cased, white space turned into spaces.
+WHITE_BYTES = bytes((c + 32 if 65 <= c <= 90 else 32 if chr(c) in WHITE else c) for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +42,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tropelens/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, is computed once and outlives any executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -103,16 +103,42 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of the texts in order, number of words of each text).
+
+    table folds bytes; words are runs of what isn't a space then. Eight bytes of all words are mixed in at a time; words of
+    over 256 bytes are hashed one by one.
+    """
+    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join([b" ".join(texts).translate(table), b" " * 9]), dtype=np.uint8)
+    word = np.zeros(len(data), dtype=np.int8)
+    word[1:-7] = data[:-8] != 32
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.arange(len(starts))
+    for k in range(0, min(int(size.max(initial=0)), 256), 8):
+        at = at[size[at] > k] if k else at
+        part = eight[starts[at] + k] & MASKS[np.minimum(size[at] - k, 8)]
+        h[at] = mixed(h[at] ^ part)
+    for i in np.flatnonzero(size > 256):
         import xxhash
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]].tobytes())
+    ends = np.searchsorted(starts, np.cumsum(lengths))
+    return h, np.diff(ends, prepend=0)
+
+
+#: The first 0 to 8 bytes of a little-endian number.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def shards(batch: pd.DataFrame, column: str, most: int = 8 << 20) -> Iterator[pd.DataFrame]:

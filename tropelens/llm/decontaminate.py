@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The documents are read once: each task writes the token postings of its documents to the shared folder, a row for each
-shard of about a megabyte of whole documents, with the sorted hashes of its terms, the list of positions of each term, and
+shard of about two megabytes of whole documents, with the sorted hashes of its terms, the list of positions of each term, and
 where its documents begin. Test windows meet the stored shards in blocks of bounded size. A window is searched from the
 list of the term that is rarest in all documents on; the lists of its further terms, shifted by their offsets, are
 intersected with it one after the other. So neither order nor result depends on how documents are dealt, a further block
@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import ALNUM_BYTES, WordHashes, as_bytes, shards, small_batches, written
+from tropelens.llm.common import ALNUM_BYTES, as_bytes, shards, small_batches, word_hashes, written
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 #: Test windows of one block: what a task holds of the benchmark at once.
 BLOCK_WINDOWS = 1 << 18
-INDEX = "keys binary, doc_start binary, terms binary, first binary, positions binary"
+INDEX = "keys binary, doc_start binary, terms binary, sizes binary, positions binary"
+#: Rows are large: the writer looks at its buffer every few rows.
+WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "1"}
 FOUND = "k1 long, k2 long, spans array<long>, items array<string>, near array<long>, near_spans array<long>, near_items array<string>"
 
 
@@ -53,8 +55,7 @@ class TestWindows:
         names = list(self.terms)
         digests = (hashlib.blake2b(b" ".join(names[i] for i in r), digest_size=8).digest() for r in rows)
         self.keys = np.array([int.from_bytes(x, "big", signed=True) for x in digests], dtype=np.int64)  # the same in all blocks
-        known = WordHashes()
-        hashes = np.array([known[w] for w in names], dtype=np.uint64)
+        hashes, _ = word_hashes(names, ALNUM_BYTES)
         self.by_hash = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.by_hash]
 
@@ -78,33 +79,37 @@ def expanded(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return rows, np.arange(len(rows)) - first[rows] + starts[rows]
 
 
-def shard_row(keys: list[tuple[int, int]], texts: list[bytes], hashes: WordHashes) -> tuple[bytes, ...]:
-    """One shard of the index: the documents' keys and first positions, the terms, and their lists one after the other.
-    Documents are one position apart, so that no window crosses them."""
-    parts, at, starts = [], [], [0]
-    for text in texts:
-        words = words_of(text)
-        parts.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
-        at.append(np.arange(starts[-1], starts[-1] + len(words), dtype=np.int32))
-        starts.append(starts[-1] + len(words) + 1)
-    tokens, at = np.concatenate(parts), np.concatenate(at)
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: first all lowest bytes, and so on. The high ones repeat, so that files get small."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").reshape(-1).astype(np.int64)
+
+
+def shard_row(keys: list[tuple[int, int]], texts: list[bytes]) -> tuple[bytes, ...]:
+    """One shard of the index: the documents' keys and first positions, the terms, the lengths of their lists, and the lists
+    one after the other. Documents are one position apart, so that no window crosses them."""
+    tokens, counts = word_hashes(texts, ALNUM_BYTES)
+    starts = np.concatenate([[0], np.cumsum(counts + 1)])
+    at = np.arange(len(tokens)) + np.repeat(np.arange(len(texts)), counts)
     order = np.argsort(tokens, kind="stable")
     tokens = tokens[order]
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
-    ends = np.append(first, len(tokens)).astype(np.int32)
-    return np.array(keys, dtype=np.int64).tobytes(), np.array(starts, dtype=np.int32).tobytes(), tokens[first].tobytes(), ends.tobytes(), at[order].tobytes()
+    sizes = np.diff(np.append(first, len(tokens)))
+    return np.array(keys, dtype=np.int64).tobytes(), planes(starts), tokens[first].tobytes(), planes(sizes), planes(at[order])
 
 
 def positional_index(docs: DataFrame) -> DataFrame:
     """docs (k1, k2, text binary) -> the written index, a row a shard. Texts without words have no place in it."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             for part in shards(batch, "text", SHARD_BYTES):
-                yield pd.DataFrame([shard_row(list(zip(part["k1"], part["k2"], strict=True)), list(part["text"]), hashes)], columns=[x.split()[0] for x in INDEX.split(", ")])
+                yield pd.DataFrame([shard_row(list(zip(part["k1"], part["k2"], strict=True)), list(part["text"]))], columns=[x.split()[0] for x in INDEX.split(", ")])
 
-    return written(docs.mapInPandas(build, INDEX), "postings")
+    return written(docs.mapInPandas(build, INDEX), "postings", **WRITE)
 
 
 class Shard:
@@ -112,15 +117,15 @@ class Shard:
 
     def __init__(self, row, windows: TestWindows):
         self.doc_keys = np.frombuffer(row.keys, dtype=np.int64).reshape(-1, 2)
-        self.doc_start = np.frombuffer(row.doc_start, dtype=np.int32).astype(np.int64)
+        self.doc_start = numbers(row.doc_start)
         self.length = int(self.doc_start[-1])
         term, place = windows.meet(np.frombuffer(row.terms, dtype=np.uint64))
         order = np.argsort(term, kind="stable")
         term, place = term[order], place[order]
-        ends = np.frombuffer(row.first, dtype=np.int32).astype(np.int64)
-        sizes = ends[place + 1] - ends[place]
-        rows, at = expanded(ends[place], sizes)
-        self.postings = np.frombuffer(row.positions, dtype=np.int32)[at].astype(np.int64)
+        all_sizes = numbers(row.sizes)
+        sizes, first = all_sizes[place], (np.cumsum(all_sizes) - all_sizes)[place]
+        rows, at = expanded(first, sizes)
+        self.postings = numbers(row.positions)[at]
         self.count = np.zeros(len(windows.terms), dtype=np.int64)
         self.count[term] = sizes
         self.first = np.cumsum(self.count) - self.count
@@ -325,7 +330,7 @@ def contamination(
     blocks = [block_findings(index, windows, slop) for windows in benchmark_blocks(benchmark, item_col, item_text_col, width, block_windows)]
     found = merged(blocks) if blocks else docs.sparkSession.createDataFrame([], FOUND)
     found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.struct(*[x.split()[0] for x in FOUND.split(", ")[2:]]).alias("__found"))
-    keyed = keyed.select(*[c for c in docs.columns if c not in names], "__k1", "__k2", F.regexp_count(text, F.lit(ITEM_WORD)).cast("long").alias("n_words"))
+    keyed = keyed.select(*[c for c in docs.columns if c not in names], "__k1", "__k2", word_count(text).alias("n_words"))
     out = keyed.join(found, ["__k1", "__k2"], "left")
 
     def got(name: str, kind: str) -> Column:
@@ -345,8 +350,15 @@ def contamination(
     return out.withColumn("contaminated", F.col("n_hit") > 0).drop("__k1", "__k2", "__found")
 
 
-#: A word of a document or item, before letters are lower-cased.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The bytes that part words, one by one: the engine tests such a class by a bit set.
+PARTING = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text that isn't null, from the runs of what parts them."""
+    ends = [F.substring(text, 1, 1), F.right(text, F.lit(1))]
+    outside = sum(x.rlike(f"[{PARTING}]").cast("long") for x in ends)
+    return F.when(text == "", F.lit(0)).otherwise(F.regexp_count(text, F.lit(f"[{PARTING}]++")) + 1 - outside).cast("long")
 
 
 def term_counts(index: DataFrame, windows: TestWindows) -> np.ndarray:
@@ -360,14 +372,14 @@ def term_counts(index: DataFrame, windows: TestWindows) -> np.ndarray:
         windows = shared.value
         n = np.zeros(len(windows.terms), dtype=np.int64)
         for batch in batches:
-            for terms, first in zip(batch["terms"], batch["first"], strict=True):
+            for terms, sizes in zip(batch["terms"], batch["sizes"], strict=True):
                 term, place = windows.meet(np.frombuffer(terms, dtype=np.uint64))
-                n[term] += np.diff(np.frombuffer(first, dtype=np.int32))[place]
+                n[term] += numbers(sizes)[place]
         at = np.flatnonzero(n)
         yield pd.DataFrame({"term": at, "n": n[at]})
 
     with small_batches(index.sparkSession, 64):
-        for row in index.select("terms", "first").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        for row in index.select("terms", "sizes").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
             total[row["term"]] = row["n"]
     shared.unpersist()
     return total

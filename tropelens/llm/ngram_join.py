@@ -20,37 +20,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import CACHE_WORDS, WordHashes, as_bytes, partitions, release, shards, written
+from tropelens.llm.common import WHITE_BYTES, as_bytes, mixed, partitions, release, shards, word_hashes, written
 from tropelens.llm.components import connected_components
 
 #: Text of one block in a task: more lanes take larger blocks, so that packed arrays don't get too short.
 BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 24 << 20
 #: Text whose shingles one lane takes: its arrays are a few times that.
 LANE_BYTES = 32 << 20
+#: Classes that a task remembers, so that it sends copies once.
+SEEN_CLASSES = 150_000
 SIGNATURE = 64
 FREQUENT = np.iinfo(np.int32).max
 # Odd multipliers of the places in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_set(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; fewer words than `width` are one shingle of their own kind."""
-    words = text.lower().split()  # on bytes both are ASCII only: A-Z, and the six white characters
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    span = min(width, len(h))
-    n = len(h) - span + 1
-    total = np.full(n, span, dtype=np.uint64)
-    for k in range(span):
-        total = mixed(total + h[k : k + n] * PLACES[k % len(PLACES)])
-    return np.unique(total)
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; fewer words than `width` are one shingle of their own
+    kind, no words are none. A-Z are lower-cased, words are parted by the six ASCII white characters."""
+    h, counts = word_hashes(texts, WHITE_BYTES)
+    ends = np.cumsum(counts)
+    out = []
+    total = np.full(max(0, len(h) - width + 1), width, dtype=np.uint64)
+    for k in range(width if len(total) else 0):
+        total = mixed(total + h[k : k + len(total)] * PLACES[k % len(PLACES)])
+    for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+        if n >= width:
+            out.append(np.unique(total[end - n : end - width + 1]))
+        elif n:
+            short = np.full(1, n, dtype=np.uint64)
+            for k in range(n):
+                short = mixed(short + h[end - n + k : end - n + k + 1] * PLACES[k % len(PLACES)])
+            out.append(short)
+        else:
+            out.append(np.empty(0, dtype=np.uint64))
+    return out
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -103,10 +107,9 @@ def frequent_shingles(docs: DataFrame, n: int, width: int, sample_docs: int, sha
     rows = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(step)) == 0)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            for part in shards(batch, "text"):
-                found = [shingle_set(t, width, hashes) for t in part["text"]]
+            for part in shards(batch, "text", BLOCK_BYTES):
+                found = shingle_sets(list(part["text"]), width)
                 values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), [])
                 yield pd.DataFrame({"h": values.view(np.int64), "n": counts}).astype({"n": "int64"})
 
@@ -129,18 +132,17 @@ def classes(docs: DataFrame, width: int, sample_docs: int = 5_000, frequent_shar
     common = spark.sparkContext.broadcast(frequent_shingles(docs, total["n"], width, sample_docs, frequent_share))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen, frequent = WordHashes(), set(), common.value
+        seen, frequent = set(), common.value
         for batch in batches:
             for part in shards(batch, "text", block):
                 ids, nodes, sizes, own, owners = [], [], [], [], []
-                for key, text in zip(part["id"], part["text"], strict=True):
-                    s = shingle_set(text, width, hashes)
+                for key, s in zip(part["id"], (s for small in shards(part, "text", BLOCK_BYTES) for s in shingle_sets(list(small["text"]), width)), strict=True):
                     node = set_hash(s) if len(s) else 0
                     ids.append(key)
                     nodes.append(node)
                     sizes.append(len(s))
                     if len(s) and node not in seen:  # copies add nothing
-                        if len(seen) >= CACHE_WORDS:
+                        if len(seen) >= SEEN_CLASSES:
                             seen.clear()
                         seen.add(node)
                         own.append(s)
@@ -348,8 +350,7 @@ def class_components(members: DataFrame, linked: DataFrame) -> DataFrame:
 def unnamed_count(text: Column, width: int) -> Column:
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        hashes = WordHashes()
-        return pd.Series([len(shingle_set(t, width, hashes)) for t in texts], dtype="int64")
+        return pd.Series([len(s) for part in shards(pd.DataFrame({"text": texts}), "text", BLOCK_BYTES) for s in shingle_sets(list(part["text"]), width)], dtype="int64")
 
     return count(text)
 
