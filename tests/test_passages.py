@@ -19,13 +19,24 @@ def test_plain(spark):
     assert one(spark, passages.usable, "word " * 50) and not one(spark, passages.usable, "word " * 20) and not one(spark, passages.usable, None)
 
 
+def test_redaction_spares_prices_and_finds_names(spark):
+    assert one(spark, passages.redact_math, r"costs \$5 or \$6 and $x$") == r"costs \$5 or \$6 and [redacted]"
+    assert one(spark, passages.redact_math, "$" + "y" * 300 + "$") == "$" + "y" * 300 + "$"
+    assert one(spark, passages.redact_author_years, "As Smith and Doe (2020) and (see Roe et al., 2019; x) (in 2020) say") == "As [redacted] and [redacted] (in 2020) say"
+    assert one(spark, passages.pdf_plain, "As Doe (2020) re-\nuse it in con28 Proceedings of the Nth Meeting of the Association for Computational Linguistics struction") == "As [redacted] reuse it in construction"
+    assert not one(spark, passages.usable, "word " * 50 + "and , more") and not one(spark, passages.usable, ". " + "word " * 50) and not one(spark, passages.usable, "word " * 50 + "() x")
+
+
 def test_delete_clause():
-    cut = lambda s: passages.delete_clause(s, s.lower().index("rather than"))
-    assert cut("We use trees rather than lists.") == "We use trees."
-    assert cut("We use trees, rather than lists.") == "We use trees."
-    assert cut("We use trees rather than lists, and win.") == "We use trees, and win."
-    assert cut("Rather than lists, we use trees.") == "We use trees."
-    assert cut("Rather than lists.") is None
+    def cut(s, y):
+        at = s.lower().index("rather than")
+        return passages.delete_clause(s, at, at + 11, y)
+
+    assert cut("We use trees rather than lists.", "lists") == "We use trees."
+    assert cut("We use trees, rather than lists, and win.", "lists") == "We use trees and win."
+    assert cut("We use trees rather than lists, and win.", "lists") == "We use trees, and win."
+    assert cut("Rather than lists, we use trees.", "lists") == "We use trees."
+    assert cut("Rather than lists", "lists") is None and cut("We use trees rather than lists.", "heaps") is None
 
 
 def test_changes(spark):

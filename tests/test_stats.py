@@ -41,7 +41,7 @@ def test_ranks(spark):
     flipped = ranking.mann_whitney(rows.withColumn("v", -F.col("v")), "v", "y").first()
     assert flipped["auc"] == pytest.approx(1 - r["auc"])
     d = spark.createDataFrame([(x,) for x in (2, -1, 0, 3, -1, 4)], "d int")
-    assert tuple(ranking.signed_ranks(d, "d").first()) == (5, 12.0, 3.0)
+    assert tuple(ranking.signed_ranks(d, "d").first())[:3] == (5, 12.0, 3.0)
     n = spark.range(12)
     assert [r["slice"] for r in ranking.order_slices(n.withColumn("g", F.lit(1)), ["g"], ["id"]).orderBy("id").collect()] == [0, 0, 1, 1, 2, 2, 2, 3, 3, 4, 4, 4]
     assert [r["run"] for r in spark.createDataFrame([(1, x) for x in (1, 2, 3, 7, 8, 20)], "g int, at int").transform(lambda t: ranking.longest_runs(t, ["g"], "at")).select(F.col("longest").alias("run")).collect()] == [3]

@@ -33,6 +33,32 @@ def positive_agreement(both: Column, a: Column, b: Column) -> Column:
     return F.when(a + b > 0, 2 * both / (a + b))
 
 
+#: Coefficients of a rational approximation of the complementary error function, from the constant term on.
+TAIL = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def upper_tail(z: Column) -> Column:
+    """P(normal > z), with a relative error below 1.2e-7."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    power = F.lit(TAIL[-1])
+    for c in reversed(TAIL[:-1]):
+        power = c + t * power
+    half = 0.5 * t * F.exp(-x * x + power)
+    return F.when(z >= 0, half).otherwise(1 - half)
+
+
+def tail_sql(z: str) -> str:
+    """upper_tail() for another engine."""
+    x = f"(abs({z}) / sqrt(2::DOUBLE))"
+    t = f"(1 / (1 + 0.5::DOUBLE * {x}))"
+    power = f"{TAIL[-1]}::DOUBLE"
+    for c in reversed(TAIL[:-1]):
+        power = f"({c}::DOUBLE + {t} * {power})"
+    half = f"(0.5::DOUBLE * {t} * exp(-{x} * {x} + {power}))"
+    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END)"
+
+
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Expressions of sentence ends, tokens and the placeholder.
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 SENTENCE_END_WIDE = r"(?<=[.!?])\s+(?=[A-Z0-9\[(])"
 LEX_TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)*|[^\sa-z0-9]"
@@ -82,10 +83,10 @@ def redact_gaps(text: Column) -> Column:
 
 
 def strip_references(text: Column) -> tuple[Column, Column]:
-    """(text before the last line that is only References, Reference or Bibliography; whether there was one). A form feed
+    """(text before the last line that is only References, Reference or Bibliography, with or without a dot; whether there was one). A form feed
     ends a line as a newline does."""
-    head = F.regexp_extract(text, r"(?is)^(.*(?:^|[\n\f]))[ \t]*(?:references?|bibliography)[ \t]*(?:[\n\f]|$)", 1)
-    cut = F.coalesce(text.rlike(r"(?is)(?:^|[\n\f])[ \t]*(?:references?|bibliography)[ \t]*(?:[\n\f]|$)"), F.lit(False))
+    head = F.regexp_extract(text, r"(?is)^(.*(?:^|[\n\f]))[ \t]*(?:references?|bibliography)\.?[ \t]*(?:[\n\f]|$)", 1)
+    cut = F.coalesce(text.rlike(r"(?is)(?:^|[\n\f])[ \t]*(?:references?|bibliography)\.?[ \t]*(?:[\n\f]|$)"), F.lit(False))
     return F.when(cut, head).otherwise(text), cut
 
 

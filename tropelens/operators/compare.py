@@ -50,21 +50,16 @@ def best_matches(left: DataFrame, right: DataFrame, block: str, a: str, b: str,
 def classify_change(old: Column, new: Column, phrase: str = r"(?iU)\brather than\b") -> Column:
     """added, removed, removed_surgical, reworded or none.
 
-    A removal is surgical if a run of six to five of the last 15 words before the phrase still stands in the new text, case
-    and edge punctuation aside; with fewer words before it, all of them.
+    A removal is surgical if five successive words of the last 15 before the phrase still stand in the new text, case and
+    the marks at the run's ends aside; with fewer words before the phrase, all of them.
     """
     had, has = old.rlike(phrase), new.rlike(phrase)
-    before = F.lower(F.regexp_extract(old, phrase.replace("(?iU)", "(?isU)^(.*?)"), 1))
-    words = F.filter(F.transform(F.split(F.trim(before), r"\s+"), lambda w: F.btrim(w, F.lit(",.;:()"))), lambda w: w != "")
-    tail = F.slice(words, F.greatest(F.size(words) - 14, F.lit(1)), 15)
-    plain = F.array_join(F.filter(F.transform(F.split(F.lower(new), r"\s+"), lambda w: F.btrim(w, F.lit(",.;:()"))), lambda w: w != ""), " ")
-    plain = F.concat(F.lit(" "), plain, F.lit(" "))
-
-    def survives(n: Column) -> Column:
-        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(tail) - n + 1, F.lit(1))), lambda i: F.contains(plain, F.concat(F.lit(" "), F.array_join(F.slice(tail, i, n), " "), F.lit(" "))))
-
+    before = F.regexp_extract(old, phrase.replace("(?iU)", "(?isU)^(.*?)"), 1)
+    words = F.filter(F.split(before, r"(?U)\s+"), lambda w: w != "")
+    tail, text = F.slice(words, F.greatest(F.size(words) - 14, F.lit(1)), 15), F.lower(new)
     least = F.least(F.lit(5), F.size(tail))
-    surgical = (F.size(tail) > 0) & survives(least)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tail) - least + 1, F.lit(1))), lambda i: F.lower(F.btrim(F.array_join(F.slice(tail, i, least), " "), F.lit(",.;:()"))))
+    surgical = (F.size(tail) > 0) & F.exists(runs, lambda r: (r != "") & F.contains(text, r))
     return (
         F.when(had & ~has, F.when(surgical, "removed_surgical").otherwise("removed"))
         .when(~had & has, "added")
@@ -78,7 +73,8 @@ def git_hunks(diff: Column) -> Column:
     parts = F.filter(F.split(diff, r"(?m)^(?=@@ )"), lambda h: h.startswith("@@ "))
 
     def side(h: Column, mark: str) -> Column:
-        lines = F.filter(F.slice(F.split(h, "\n"), 2, 1_000_000), lambda x: x.startswith(mark) | x.startswith(" "))
-        return F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 1_000_000)), "\n")
+        lines = F.split(h, "\n")
+        lines = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x.startswith(mark) | x.startswith(" "))
+        return F.array_join(F.transform(lines, lambda x: F.right(x, F.length(x) - 1)), "\n")
 
     return F.transform(parts, lambda h, i: F.struct(i.alias("hunk"), side(h, "-").alias("old_text"), side(h, "+").alias("new_text")))

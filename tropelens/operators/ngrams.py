@@ -18,9 +18,10 @@ def positions(rows: DataFrame, key: str, n: int, tokens: str = "tokens") -> Data
     return rows.select(key, F.posexplode(ngrams(F.col(tokens), n)).alias("at", "gram"))
 
 
-def small_side(rows: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """rows, marked for broadcast if a count shows that they are few; else Spark joins them by key."""
-    return F.broadcast(rows) if rows.limit(most_rows + 1).count() <= most_rows else rows
+def small_side(rows: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """rows, marked for broadcast if their summed size is shown to be small; else Spark joins them by key."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0)) + 64  # with an object's overhead
+    return F.broadcast(rows) if (rows.agg(F.sum(size).alias("b")).first()["b"] or 0) <= most_bytes else rows
 
 
 def shared(a: DataFrame, b: DataFrame, key_a: str, key_b: str, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tropelens.functions.stats import upper_tail
+
 
 def average_rank(value: str | Column, by: list[str] | None = None) -> Column:
     """Rank with ties sharing the mean of their places."""
@@ -13,48 +15,87 @@ def average_rank(value: str | Column, by: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*parts).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*parts, value)) - 1) / 2.0
 
 
-def global_average_rank(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """rows with __rank, without a window over all rows: values are counted, the counts are summed up in order, and the
-    ranks come back by value. Only distinct values meet in the running sum."""
+def rows_below(counts: DataFrame, value: str, n: str, by: list[str] | None = None, pieces: int = 128) -> DataFrame:
+    """counts (a row a value) with __below: the sum of n over smaller values of the group.
+
+    Values are cut at about equal quantiles into pieces; sums run inside a piece, and the pieces' totals before it are added.
+    So no window holds more than its part of the distinct values, and the result is the same with any cuts.
+    """
     keys = by or []
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("__rank", F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2.0)
-    return rows.join(ranks.drop("__n"), [*keys, value])
+    cuts = counts.agg(F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 10_000).alias("c")).first()["c"] or []
+    ends = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    rows = counts.withColumn("__piece", F.size(F.filter(ends, lambda x: x < F.col(value))))
+    totals = rows.groupBy(*keys, "__piece").agg(F.sum(n).alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    totals = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__piece"])), "__before")
+    inside = Window.partitionBy(*keys, "__piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    on = F.lit(True)
+    for i, k in enumerate([*keys, "__piece"]):
+        on &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = rows.join(totals if keys else F.broadcast(totals), on)  # without groups there are at most `pieces` totals
+    return out.withColumn("__below", F.col("__in") + F.col("__before")).drop("__piece", "__in", "__before", *(f"__k{i}" for i in range(len(keys) + 1)))
 
 
 def mann_whitney(rows: DataFrame, value: str, positive: str, by: list[str] | None = None) -> DataFrame:
-    """Per group: n1, n0, U of the positives, AUC (ties count a half) and the tie term sum(t^3 - t).
+    """Per group: n1, n0, U of the positives, AUC (ties count a half), the tie term sum(t^3 - t), and p two-sided, greater and
+    less by the normal approximation with tie and continuity correction.
 
     Counts per value are all that is needed, so raw rows are only pre-aggregated, never ranked.
     """
     keys = by or []
     v = rows.groupBy(*keys, value).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("t"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum(F.col("t") - F.col("p")).over(w), F.lit(0)))
+    v = rows_below(v.withColumn("__n", F.col("t") - F.col("p")), value, "__n", keys)
+    p, t = F.col("p").cast("double"), F.col("t").cast("double")
     out = v.groupBy(*keys).agg(
         F.sum("p").alias("n1"),
         F.sum(F.col("t") - F.col("p")).alias("n0"),
-        F.sum(F.col("p") * (F.col("below") + (F.col("t") - F.col("p")) / 2.0)).alias("u"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
+        F.sum(p * (F.col("__below") + (t - p) / 2.0)).alias("u"),
+        F.sum(t * t * t - t).alias("ties"),
+    )
+    n1, n0, u = F.col("n1").cast("double"), F.col("n0").cast("double"), F.col("u")
+    n, both = n1 + n0, (n1 > 0) & (n0 > 0)
+    spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    ok, off = both & (spread > 0), u - n1 * n0 / 2
+    return out.withColumns(
+        {
+            "auc": F.when(both, u / (n1 * n0)),
+            "p": F.when(ok, F.least(F.lit(1.0), 2 * upper_tail((F.abs(off) - 0.5) / spread))),
+            "p_greater": F.when(ok, upper_tail((off - 0.5) / spread)),
+            "p_less": F.when(ok, upper_tail((-off - 0.5) / spread)),
+        }
     )
-    return out.withColumn("auc", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("u") / (F.col("n1") * F.col("n0"))))
 
 
 def signed_ranks(rows: DataFrame, difference: str) -> DataFrame:
-    """n (non-zero differences), W+ and W-."""
-    d = rows.where(F.col(difference) != 0).withColumn("__abs", F.abs(difference))
-    ranked = global_average_rank(d, "__abs")
-    plus = F.when(F.col(difference) > 0, F.col("__rank")).otherwise(0.0)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(plus), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("__rank") - plus), F.lit(0.0)).alias("w_minus"))
+    """n (non-zero differences), W+, W- and the two-sided p without continuity correction. Rows are counted by the size of
+    their difference; ranks are never joined back to them."""
+    d = rows.where(F.col(difference) != 0).groupBy(F.abs(difference).alias("__abs")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(difference) > 0).cast("long")).alias("up"))
+    rank, t = F.col("__below") + (F.col("t") + 1) / 2.0, F.col("t").cast("double")
+    out = rows_below(d, "__abs", "t").agg(
+        F.coalesce(F.sum("t"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.col("up") * rank), F.lit(0.0)).alias("w_plus"),
+        F.coalesce(F.sum((F.col("t") - F.col("up")) * rank), F.lit(0.0)).alias("w_minus"),
+        F.coalesce(F.sum(t * t * t - t), F.lit(0.0)).alias("__ties"),
+    )
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48)
+    p = F.when(spread > 0, F.least(F.lit(1.0), 2 * upper_tail(F.abs(F.col("w_plus") - n * (n + 1) / 4) / spread)))
+    return out.withColumn("p", p).drop("__ties")
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """n and rho of two columns, over rows that have both."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    a = global_average_rank(both, x).withColumnRenamed("__rank", "__rx")
-    b = global_average_rank(a, y)
-    return b.agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__rank").alias("rho"))
+    """n and rho of two columns, over rows that have both. Rows are counted by pair of values; ranks meet those counts."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__c"))
+    for c in ("__x", "__y"):
+        one = rows_below(pairs.groupBy(c).agg(F.sum("__c").alias("__n")), c, "__n")
+        pairs = pairs.join(one.select(c, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(f"{c}r")), c)
+    n = pairs.agg(F.sum("__c").alias("n")).first()["n"] or 0
+    a, b, w = F.col("__xr") - (n + 1) / 2, F.col("__yr") - (n + 1) / 2, F.col("__c")
+    sums = pairs.agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    rho = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
+    return sums.select(F.lit(n).cast("long").alias("n"), rho.alias("rho"))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:

@@ -20,25 +20,42 @@ def unit_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("__norm", norm).withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("__norm"))).drop("__norm")
 
 
-def seed_similarity(rows: DataFrame, seeds: DataFrame, key: str = "vec_id", vector: str = "embedding", most_seeds: int = 10_000) -> DataFrame:
-    """Per row the largest cosine to a seed and that seed's key (smallest on ties). Seeds are a query set: an error if they
-    are more than most_seeds; rows meet them in blocks of a matrix product."""
-    got = seeds.select(key, vector).orderBy(key).limit(most_seeds + 1).toPandas()
-    if len(got) > most_seeds:
-        raise ValueError("too many seeds for one block: split the seed set")
-    matrix = np.array(got[vector].tolist(), dtype=float).reshape(len(got), -1)
-    shared = rows.sparkSession.sparkContext.broadcast((got[key].to_numpy(), matrix))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, m = shared.value
-        for batch in batches:
-            if not len(keys) or not len(batch):
-                continue
-            sims = np.stack(batch[vector].to_numpy()).astype(float) @ m.T
-            at = sims.round(12).argmax(axis=1)
-            yield pd.DataFrame({key: batch[key].to_numpy(), "seed": keys[at], "similarity": sims[np.arange(len(batch)), at]})
-
-    return rows.select(key, vector).mapInPandas(best, f"{key} long, seed long, similarity double")
+def vector_blocks(rows: DataFrame, key: str, vector: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, matrix) of a query set, a bounded block at a time on the driver, in the order of the keys."""
+    keys, values = [], []
+    for row in rows.select(key, vector).orderBy(key).toLocalIterator():
+        keys.append(row[key])
+        values.append(row[vector])
+        if len(keys) == block:
+            yield np.array(keys), np.array(values, dtype=float)
+            keys, values = [], []
+    if keys:
+        yield np.array(keys), np.array(values, dtype=float)
+
+
+def seed_similarity(rows: DataFrame, seeds: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 10_000) -> DataFrame:
+    """Per row the largest cosine to a seed and that seed's key (smallest on ties). Seeds are a query set: rows meet them in
+    blocks of a matrix product, and each row's best of all blocks is taken."""
+    out = None
+    for keys, matrix in vector_blocks(seeds, key, vector, block):
+        shared = rows.sparkSession.sparkContext.broadcast((keys, matrix))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            keys, m = shared.value
+            for batch in batches:
+                if len(batch):
+                    sims = np.stack(batch[vector].to_numpy()).astype(float) @ m.T
+                    at = sims.round(12).argmax(axis=1)
+                    yield pd.DataFrame({key: batch[key].to_numpy(), "seed": keys[at], "similarity": sims[np.arange(len(batch)), at]})
+
+        found = rows.select(key, vector).mapInPandas(best, f"{key} long, seed long, similarity double")
+        out = (found, 1) if out is None else (out[0].union(found), out[1] + 1)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"{key} long, seed long, similarity double")
+    if out[1] == 1:
+        return out[0]
+    first = F.struct((-F.round("similarity", 12)).alias("order"), "seed", "similarity")
+    return out[0].groupBy(key).agg(F.min(first).alias("b")).select(key, "b.seed", "b.similarity")
 
 
 def centroid_sums(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
@@ -72,12 +89,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
 
     Queries go to all rows in blocks; each task returns at most k rows a query, and a window picks among those.
     """
-    got = queries.select(key, vector).orderBy(key).toPandas()
-    out = None
-    for start in range(0, max(1, len(got)), block):
-        part = got.iloc[start : start + block]
-        matrix = np.array(part[vector].tolist(), dtype=float).reshape(len(part), -1)
-        shared = rows.sparkSession.sparkContext.broadcast((part[key].to_numpy(), matrix))
+    out = rows.sparkSession.createDataFrame([], f"query long, {key} long, similarity double")
+    for keys, matrix in vector_blocks(queries, key, vector, block):
+        shared = rows.sparkSession.sparkContext.broadcast((keys, matrix))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, m = shared.value
@@ -87,13 +101,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
                 own = batch[key].to_numpy()
                 sims = m @ np.stack(batch[vector].to_numpy()).astype(float).T
                 sims[ids[:, None] == own[None, :]] = -np.inf
+                found = []
                 for i, row in enumerate(sims.round(9)):
                     at = np.lexsort((own, -row))[:k]
                     at = at[np.isfinite(row[at])]
-                    yield pd.DataFrame({"query": ids[i], key: own[at], "similarity": row[at]})
+                    found.append(pd.DataFrame({"query": ids[i], key: own[at], "similarity": row[at]}))
+                yield pd.concat(found)
 
         found = rows.select(key, vector).mapInPandas(best, f"query long, {key} long, similarity double")
-        out = found if out is None else out.union(found)
+        out = out.union(found)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tropelens.functions import stats
-from tropelens.operators import ranking, sampling
+from tropelens.operators import models, ranking, sampling
 from tropelens.plans.base import query, rounded
 from tropelens.plans.demo import table
 
@@ -100,15 +100,31 @@ def label_fisher(spark, d):
     return spark.createDataFrame(rows, "lang string, a_and_b long, only_a long, only_b long, neither long, p double")
 
 
+def terms(spark, names, fit):
+    return spark.createDataFrame([(n, round(float(a), 6), round(float(b), 6)) for n, a, b in zip(names, *fit, strict=True)], "term string, coefficient double, error double")
+
+
 @query("label_logistic")
 def label_logistic(spark, d):
-    """Logistic regression of A on length and B, errors clustered by source; sums over rows are few enough for the driver."""
-    import numpy as np
+    """Logistic regression of A on length and B, errors clustered by source. Spark adds up gradient and Hessian each step."""
+    rows = labelled(spark, d).select("a", "b", (F.log1p("n_chars") / 10).alias("size"), "source")
+    return terms(spark, ("intercept", "b", "size"), models.logistic(rows, "a", ["b", "size"], "source", ridge=1e-8))
+
+
+@query("label_interaction")
+def label_interaction(spark, d):
+    """The same with the product of length and B: does one effect depend on the other?"""
+    rows = labelled(spark, d).select("a", "b", (F.log1p("n_chars") / 10).alias("size")).withColumn("both", F.col("b") * F.col("size"))
+    return terms(spark, ("intercept", "b", "size", "both"), models.logistic(rows, "a", ["b", "size", "both"], ridge=1e-8))
+
 
-    rows = labelled(spark, d).select("a", "b", (F.log1p("n_chars") / 10).alias("size"), "source").orderBy("doc_id").toPandas()
-    x = np.column_stack([np.ones(len(rows)), rows["b"], rows["size"]]).astype(float)
-    w, se = stats.logistic(x, rows["a"].to_numpy(dtype=float), rows["source"].to_numpy(), ridge=1e-8)
-    return spark.createDataFrame([(n, round(float(a), 6), round(float(b), 6)) for n, a, b in zip(("intercept", "b", "size"), w, se, strict=True)], "term string, coefficient double, error double")
+@query("preference_logit")
+def preference_logit(spark, d):
+    """Conditional logit: what a conversation's chosen (later) answer has more of than the rejected one before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, d, "conversations").where("role = 'assistant'").withColumn("nxt", F.lead("text").over(w)).where("nxt is not null and text is not null")
+    rows = t.select(((F.length("nxt") - F.length("text")) / 100.0).alias("length"), (F.regexp_count("nxt", F.lit(",")) - F.regexp_count("text", F.lit(","))).alias("commas"))
+    return terms(spark, ("length", "commas"), models.conditional_logit(rows, ["length", "commas"]))
 
 
 @query(
@@ -146,7 +162,10 @@ def label_repeats(spark, d):
 @query(
     "mwu_auc",
     f"""WITH {LABELLED}, v AS (SELECT n_chars, sum(a)::DOUBLE AS p, count(*)::DOUBLE AS t FROM l GROUP BY n_chars), b AS (SELECT *, coalesce(sum(t - p) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v)
-    SELECT sum(p)::BIGINT AS n1, sum(t - p)::BIGINT AS n0, round(sum(p * (below + (t - p) / 2)), 6) AS u, sum(t * t * t - t)::BIGINT AS ties, round(sum(p * (below + (t - p) / 2)) / (sum(p) * sum(t - p)), 6) AS auc FROM b""",
+    , s AS (SELECT sum(p) AS n1, sum(t - p) AS n0, sum(p * (below + (t - p) / 2)) AS u, sum(t * t * t - t) AS ties FROM b),
+    z AS (SELECT *, u - n1 * n0 / 2 AS o, sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM s),
+    k AS (SELECT *, (abs(o) - 0.5) / sd AS z2, (o - 0.5) / sd AS zg, (-o - 0.5) / sd AS zl FROM z)
+    SELECT n1::BIGINT AS n1, n0::BIGINT AS n0, round(u, 6) AS u, round(ties, 6) AS ties, round(u / (n1 * n0), 6) AS auc, round(least(1.0::DOUBLE, 2 * {stats.tail_sql("z2")}), 6) AS p, round({stats.tail_sql("zg")}, 6) AS p_greater, round({stats.tail_sql("zl")}, 6) AS p_less FROM k""",
 )
 def mwu_auc(spark, d):
     return rounded(ranking.mann_whitney(labelled(spark, d), "n_chars", "a"))
@@ -156,7 +175,10 @@ def mwu_auc(spark, d):
     "wilcoxon_wplus",
     """WITH x AS (SELECT l_extendedprice / l_quantity - 900 - l_partkey % 100 AS d FROM lineitem), y AS (SELECT round(d, 4) AS d, abs(round(d, 4)) AS m FROM x WHERE round(d, 4) <> 0),
     r AS (SELECT d, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE AS rk FROM y)
-    SELECT count(*)::BIGINT AS n, round(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN d < 0 THEN rk ELSE 0 END), 6) AS w_minus FROM r""",
+    , g AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM y GROUP BY m)),
+    w AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM r),
+    z AS (SELECT w.*, abs(w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w, g)
+    SELECT n::BIGINT AS n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(least(1.0::DOUBLE, 2 * """ + stats.tail_sql("z") + """), 6) AS p FROM z""",
 )
 def wilcoxon_wplus(spark, d):
     rows = table(spark, d, "lineitem").select(F.expr("round(l_extendedprice / l_quantity - 900 - l_partkey % 100, 4)").alias("d"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tropelens.functions import text as tx
 from tropelens.operators import preferences, resampling, sections
 from tropelens.plans.base import query, rounded
 from tropelens.plans.demo import count_sql, demo, demo_sql, table
@@ -15,20 +16,37 @@ HEADED = "concat('Title\n\n', replace(text, '\n', '\n\nMethods\n\n'))"
 
 @query(
     "section_counts",
-    r"WITH x AS (SELECT doc_id, len(string_split(text, chr(10))) - 1 AS n FROM documents WHERE text <> '') SELECT doc_id, n::BIGINT AS sections FROM x WHERE n > 0",
+    r"WITH x AS (SELECT doc_id, len(string_split(text, chr(10))) - 1 AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n::BIGINT AS sections FROM x WHERE n > 0",
 )
 def section_counts(spark, d):
     """Method sections per document."""
-    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", F.expr(HEADED).alias("text"))
+    rows = table(spark, d, "documents").select("doc_id", F.expr(HEADED).alias("text"))
     return sections.section_rows(rows).where("category = 'method'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"))
 
 
-@query("section_lossless", "SELECT count(*)::BIGINT AS docs, count(*)::BIGINT AS whole FROM documents WHERE text <> ''")
-def section_lossless(spark, d):
-    """The sections of a document put together are its text."""
-    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", F.expr(HEADED).alias("text"))
-    back = sections.without_back_matter(sections.section_rows(rows), back=("none",)).select("doc_id", "body")
-    return rows.join(back, "doc_id").agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("text") == F.col("body")).cast("long")).alias("whole"))
+BACKED = "concat(text, '\n\nConclusion\n\nWe end here.\n\nReferences\n\n[1] A book.\n\nMethods\n\nmore')"
+
+
+@query(
+    "back_matter",
+    "SELECT doc_id, length(text)::BIGINT + 53 AS kept, true AS truncated FROM documents WHERE text IS NOT NULL",
+)
+def back_matter(spark, d):
+    """Texts with a conclusion, references and methods put behind them: cut after the references, the last section of the back matter."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.expr(BACKED).alias("text"))
+    out = sections.without_back_matter(sections.section_rows(rows))
+    return rounded(out.select("doc_id", F.length("body").alias("kept"), "truncated"))
+
+
+@query(
+    "stripped_references",
+    "SELECT doc_id, length(text)::BIGINT + 9 AS kept, true AS cut FROM documents WHERE text IS NOT NULL",
+)
+def stripped_references(spark, d):
+    """Texts with two headings of references behind them, cut before the last one."""
+    t = F.concat("text", F.lit("\nFinally\nReferences.\n[1] A book, with References inside a line.\n"))
+    kept, cut = tx.strip_references(t)
+    return rounded(table(spark, d, "documents").where("text is not null").select("doc_id", F.length(kept).alias("kept"), cut.alias("cut")))
 
 
 @query("section_rates")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tropelens.functions.patterns import PATTERNS, match_count, per_thousand, word_count
-from tropelens.functions.stats import wilson
+from tropelens.functions.stats import tail_sql, wilson
 from tropelens.operators import corpus, ranking
 from tropelens.plans.base import query, rounded
 from tropelens.plans.demo import count_sql, demo, demo_sql, words_sql
@@ -41,13 +41,16 @@ def pat_summary_by_source(spark, d):
     f"""WITH {LONG}, r AS (SELECT pattern_id, lang = 'en' AS en, 1000.0::DOUBLE * n / words AS rate FROM long WHERE words > 0),
     v AS (SELECT pattern_id, rate, sum(en::INT)::DOUBLE AS p, count(*)::DOUBLE AS t FROM r GROUP BY ALL),
     b AS (SELECT *, coalesce(sum(t - p) OVER (PARTITION BY pattern_id ORDER BY rate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v)
-    SELECT pattern_id, sum(p)::BIGINT AS n1, sum(t - p)::BIGINT AS n0, round(sum(p * (below + (t - p) / 2)), 6) AS u, round(sum(p * (below + (t - p) / 2)) / (sum(p) * sum(t - p)), 6) AS auc FROM b GROUP BY pattern_id""",
+    , s AS (SELECT pattern_id, sum(p) AS n1, sum(t - p) AS n0, sum(p * (below + (t - p) / 2)) AS u, sum(t * t * t - t) AS ties FROM b GROUP BY pattern_id),
+    z AS (SELECT *, sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM s),
+    k AS (SELECT *, CASE WHEN sd > 0 THEN (abs(u - n1 * n0 / 2) - 0.5) / sd END AS z2 FROM z)
+    SELECT pattern_id, n1::BIGINT AS n1, n0::BIGINT AS n0, round(u, 6) AS u, round(u / (n1 * n0), 6) AS auc, round(CASE WHEN sd > 0 THEN least(1.0::DOUBLE, 2 * {tail_sql("z2")}) END, 6) AS p FROM k""",
 )
 def pat_compare(spark, d):
-    """English against other documents: U and AUC of the rates, per pattern."""
+    """English against other documents: U, AUC and two-sided p of the rates, per pattern."""
     rows = corpus.by_pattern(counts(spark, d)).where("words > 0")
     rows = rows.select("pattern_id", per_thousand(F.col("n"), F.col("words")).alias("rate"), (F.col("lang") == "en").alias("en"))
-    return rounded(ranking.mann_whitney(rows, "rate", "en", ["pattern_id"]).drop("ties"))
+    return rounded(ranking.mann_whitney(rows, "rate", "en", ["pattern_id"]).drop("ties", "p_greater", "p_less"))
 
 
 @query("pat_presence_share", f"WITH {LONG} SELECT lang, pattern_id, count(*)::BIGINT AS docs, sum((n > 0)::INT)::BIGINT AS present FROM long GROUP BY ALL")

@@ -91,7 +91,7 @@ def dropped_headings(spark, d):
     rf"""WITH {demo_sql()}, {SENT}, p AS (SELECT doc_id, pos, string_agg(sentence, ' ') OVER w AS p, count(*) OVER w AS n FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
     SELECT doc_id, pos::BIGINT AS pos FROM p WHERE n = 3 AND len(regexp_extract_all(p, '[^ \t\n\x0B\f\r]+')) BETWEEN 40 AND 160
     AND length(regexp_replace(p, '[^\p{{L}}]', '', 'g')) > 0.7 * length(regexp_replace(p, '{S}', '', 'g'))
-    AND length(p) - length(replace(p, '[redacted]', '')) <= 40 AND NOT regexp_matches(p, '[^ \t\n\x0B\f\r][ \t]{{3,}}[^ \t\n\x0B\f\r]')""",
+    AND length(p) - length(replace(p, '[redacted]', '')) <= 40 AND NOT regexp_matches(p, '\({S}*\)|{S}[,.;:]|^[^\p{{L}}\p{{N}}_]|\({S}*[,;]')""",
 )
 def usable_passages(spark, d):
     """Starts of three sentences that make a usable passage."""
@@ -182,7 +182,7 @@ def bundle_truncation(spark, d):
 
 @query(
     "import_reach",
-    """WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id // 2 AS b FROM documents), r AS (SELECT doc_id AS node, 0 AS depth FROM labels WHERE toxic = 1 UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 10)
+    """WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id // 2 AS b FROM documents), r AS (SELECT doc_id AS node, 0 AS depth FROM labels WHERE toxic = 1 UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE e.a <> e.b)
     SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY node""",
 )
 def import_reach(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tropelens.plans import label_queries, more_queries, pattern_queries, prose_queries, text_queries, vector_queries
+from tropelens.plans import item_queries, label_queries, more_queries, pattern_queries, prose_queries, text_queries, vector_queries
 from tropelens.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "label_queries", "more_queries", "pattern_queries", "prose_queries", "text_queries", "vector_queries"]
+__all__ = ["QUERIES", "SQL", "item_queries", "label_queries", "more_queries", "pattern_queries", "prose_queries", "text_queries", "vector_queries"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tropelens.functions import text as tx
 from tropelens.functions.patterns import space_word_count, word_count
-from tropelens.operators import corpus, ngrams, ranking
+from tropelens.operators import corpus, ngrams, preferences, ranking
+from tropelens.operators.compare import classify_change
 from tropelens.plans.base import query, rounded
 from tropelens.plans.demo import demo, demo_sql, table, words_sql
 
@@ -72,15 +73,17 @@ def licence_classes(spark, d):
 
 @query("last_assistant", "SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def last_assistant(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("turn"))
+    return rows.where("turn is not null").select("conv_id", tx.last_of_role(F.col("m"), "assistant").alias("text"), "turn")
 
 
-@query("preference_pairs", "WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, length(nxt) > length(text) AS later_longer FROM t WHERE nxt IS NOT NULL AND nxt <> text AND nxt <> '' AND text <> ''")
+@query("preference_pairs", "WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations WHERE role = 'assistant'), s AS (SELECT *, length(nxt) - length(text) AS s FROM t WHERE nxt IS NOT NULL) SELECT conv_id, turn, length(CASE WHEN s < 0 THEN text ELSE nxt END)::BIGINT AS chosen, length(CASE WHEN s < 0 THEN nxt ELSE text END)::BIGINT AS rejected, abs(s)::BIGINT AS strength FROM s WHERE s <> 0")
 def preference_pairs(spark, d):
-    """Consecutive answers of a conversation as rejected and chosen; empty and equal ones left out."""
+    """Consecutive answers of a conversation, the longer one chosen; ties left out."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, d, "conversations").where("role = 'assistant'").withColumn("nxt", F.lead("text").over(w))
-    return t.where("nxt is not null and nxt <> text and nxt <> '' and text <> ''").select("conv_id", "turn", (F.length("nxt") > F.length("text")).alias("later_longer"))
+    t = table(spark, d, "conversations").where("role = 'assistant'").withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
+    rows = t.select("conv_id", "turn", F.col("text").alias("response1"), F.col("nxt").alias("response2"), (F.length("nxt") - F.length("text")).alias("strength"))
+    return rounded(preferences.oriented(rows).select("conv_id", "turn", F.length("chosen").alias("chosen"), F.length("rejected").alias("rejected"), "strength"))
 
 
 @query("messages_by_role", "SELECT role, count(*)::BIGINT AS n, count(DISTINCT conv_id)::BIGINT AS conversations, round(avg(length(text)), 6) AS mean_length FROM conversations GROUP BY role")
@@ -179,11 +182,16 @@ def change_sets(spark, d):
     return rows.where("removed + added > 0")
 
 
-@query("change_classes", f"WITH {demo_sql()}, c AS (SELECT lang, contains(v1, 'than') AS was, contains(lower(text), 'rather than') AS is_now, v1 <> text AS changed FROM demo) SELECT lang, CASE WHEN was AND NOT is_now THEN 'removed' WHEN is_now AND NOT was THEN 'added' WHEN was AND is_now AND changed THEN 'reworded' ELSE 'none' END AS kind, count(*)::BIGINT AS n FROM c GROUP BY ALL")
+CHANGE_SQL = r"""c AS (SELECT doc_id, lang, v1, text, regexp_matches(text, '\brather than\b', 'i') AS was, regexp_matches(v1, '\brather than\b', 'i') AS is_now FROM demo),
+w AS (SELECT *, list_filter(regexp_split_to_array(CASE WHEN was THEN regexp_extract(text, '^(.*?)\brather than\b', 1, 'is') ELSE '' END, '\s+'), lambda x: x <> '') AS ws FROM c),
+k AS (SELECT *, ws[greatest(len(ws) - 14, 1):len(ws)] AS tl FROM w), r AS (SELECT *, least(5, len(tl)) AS n FROM k),
+s AS (SELECT *, len(tl) > 0 AND len(list_filter(range(1, greatest(len(tl) - n + 1, 1) + 1), lambda i: trim(array_to_string(tl[i:i + n - 1], ' '), ',.;:()') <> '' AND contains(lower(v1), lower(trim(array_to_string(tl[i:i + n - 1], ' '), ',.;:()'))))) > 0 AS surgical FROM r)"""
+
+
+@query("change_classes", f"WITH {demo_sql()}, {CHANGE_SQL} SELECT lang, CASE WHEN was AND NOT is_now THEN CASE WHEN surgical THEN 'removed_surgical' ELSE 'removed' END WHEN is_now AND NOT was THEN 'added' WHEN was AND is_now AND v1 <> text THEN 'reworded' ELSE 'none' END AS kind, count(*)::BIGINT AS n FROM s GROUP BY ALL")
 def change_classes(spark, d):
-    was, now = F.contains("v1", F.lit("than")), F.contains(F.lower("text"), F.lit("rather than"))
-    kind = F.when(was & ~now, "removed").when(now & ~was, "added").when(was & now & (F.col("v1") != F.col("text")), "reworded").otherwise("none")
-    return demo(spark, d).groupBy("lang", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """From the text with the phrases to the raw one."""
+    return demo(spark, d).groupBy("lang", classify_change(F.col("text"), F.col("v1")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("text_diff")
