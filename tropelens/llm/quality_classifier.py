@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tropelens.llm.common import written
@@ -212,7 +212,7 @@ def exchange(model: CoTrained, pool: DataFrame, confident: float, most: int) ->
     for r in got.groupBy("me", "label").agg(F.sum("n").alias("n")).collect():
         model.sure[r["me"], r["label"]] = r["n"]
     distinct = got.where("key is not null").select("me", "label", "key").distinct()
-    picked = distinct.withColumn("at", F.row_number().over(Window.partitionBy("me", "label").orderBy("key"))).where(F.col("at") <= most).select("me", "label", "key").collect()
+    picked = [r for me in (0, 1) for label in (0, 1) for r in distinct.where((F.col("me") == me) & (F.col("label") == label)).orderBy("key").limit(most).collect()]
     if not picked:
         return
     wanted = pool.sparkSession.createDataFrame([(k,) for k in sorted({r["key"] for r in picked})], "__key long")
