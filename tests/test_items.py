@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tropelens.functions import stats
 from tropelens.functions import text as tx
-from tropelens.operators import compare, items, models, ranking, repositories, sections, vectors
+from tropelens.operators import compare, items, models, ranking, repositories, sampling, sections, vectors
+from tropelens.sources import writers
 
 
 def test_millions_of_ties(spark):
@@ -125,3 +126,51 @@ def test_precision_sample_drops_stale_offsets(spark):
 def test_headings_that_no_category_knows(spark):
     docs = spark.createDataFrame([(1, "Odd Heading\n\ntext.\n\nMethods\n\nmore"), (2, "Odd heading\n\nx.")], "doc_id long, text string")
     assert {r["heading"]: r["n"] for r in sections.unmatched_headings(docs).collect()} == {"odd heading": 2, "more": 1}
+
+
+def test_spread_places_are_those_of_plain_rounding(spark):
+    rows = spark.createDataFrame([(g, v) for g, n in enumerate((1, 4, 5, 6, 8, 11, 23)) for v in range(n)], "g int, v int")
+    for k in (1, 2, 5, 7):
+        got = {(r.g, r.v) for r in sampling.spread(rows, ["g"], ["v"], k).collect()}
+        want = set()
+        for g, n in enumerate((1, 4, 5, 6, 8, 11, 23)):
+            step = (n - 1) / (k - 1) if k > 1 else 0
+            want |= {(g, v) for v in (range(n) if k >= n else [round(i * step) for i in range(k)])}
+        assert got == want
+
+
+def test_english_share_over_spaced_chunks(spark):
+    english, french = "the cat of the house is in the garden and " * 8, "le chat de la maison dort dans son jardin vert " * 8
+    texts = ["\n\n".join([english] * 3 + [french]), "\n \n".join([french, "12 34 56", english]), "too short", "", None, "\n\n".join([english] * 30 + [french] * 30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("chunks", tx.prose_chunks(F.col("text")))
+    rows = rows.withColumn("share", tx.english_share(F.col("chunks")))
+    got = {r.k: r for r in rows.withColumn("verdict", tx.usable_english(F.col("text"), F.col("share"), 50, 0.6)).collect()}
+    a, b = len(english), len(french)
+    assert len(got[0].chunks) == 4 and abs(got[0].share - 3 * a / (3 * a + b)) < 1e-9 and got[0].verdict == "ok"
+    assert len(got[1].chunks) == 2 and got[1].verdict == "non_english"
+    assert got[2].share is None and got[2].verdict == got[3].verdict == got[4].verdict == "no_text" and got[4].chunks is None
+    assert len(got[5].chunks) == 30 and got[5].chunks.count(english) == 15  # places 0, 2, 4 ... of 60
+
+
+def test_corrected_ratios_and_their_gaps(spark):
+    rates = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 3.0), ("b", "x", 0.0), ("b", "y", 1.0), ("c", "y", 1.0), ("d", "x", 1.0), ("d", "y", 2.0)], "pattern_id string, corpus string, rate double")
+    judged = spark.createDataFrame([("a", "x", 8, 10), ("a", "y", 4, 10), ("d", "x", 0, 0)], "pattern_id string, corpus string, k long, n long")
+    got = {r.pattern_id: (r.ratio, r.corrected) for r in items.corrected_ratios(rates, judged, "x", "y").collect()}
+    assert got == {"a": (1.5, pytest.approx(0.75)), "b": (None, None), "d": (2.0, None)}
+
+
+def test_focus_paths_need_a_file_there_or_below(spark):
+    url = "https://github.com/o/r/"
+    links = spark.createDataFrame([("r", url + x) for x in ("tree/main/src/a/", "blob/main/src/a/b.py", "tree/main/src/ab", "tree/dev/sr", "")] + [("q", url + "tree/main/src/a")], "repo string, url string")
+    files = spark.createDataFrame([("r", "src/a/b.py"), ("r", "src/abc/d.py"), ("q", "c.py"), ("q", None)], "repo string, path string")
+    assert {tuple(r) for r in items.focus_paths(links, files).collect()} == {("r", "src/a"), ("r", "src/a/b.py")}
+
+
+def test_text_files_and_markdown(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x\ny|"), ("b", None)], "stem string, text string")
+    writers.text_files(rows, str(tmp_path / "t"))
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "t").rglob("part-*.txt")}
+    assert files == {"stem=a": "x\ny|\n", "stem=b": "\n"}
+    assert writers.markdown_table(rows.orderBy("stem")) == "| stem | text |\n| --- | --- |\n| a | x y\\| |\n| b |  |\n"
+    with pytest.raises(ValueError):
+        writers.markdown_table(rows, 1)

@@ -104,11 +104,61 @@ def license_of(text: Column) -> Column:
     return F.when(text.isNull(), F.lit("NO_LICENSE_FILE")).otherwise(F.coalesce(found, F.lit("unrecognized_license_text")))
 
 
-def usable_english(text: Column, least_words: int = 200) -> Column:
-    """no_text, non_english (CJK characters outweigh Latin words) or ok; a detector may refine ok."""
-    words, latin = F.regexp_count(text, F.lit(r"\p{L}{2,}")), F.regexp_count(text, F.lit(r"\b[A-Za-z]{2,}\b"))
-    cjk = F.regexp_count(text, F.lit(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]"))
-    return F.when(text.isNull() | (words < least_words), F.lit("no_text")).when(cjk / 1.5 > latin, F.lit("non_english")).otherwise(F.lit("ok"))
+# Letter words, Latin words, and the characters of scripts that are written without spaces.
+LETTER_WORD = r"\p{L}{2,}"
+LATIN_WORD = "[A-Za-z]{2,}"
+CJK = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
+#: Frequent English words; the default detector calls a chunk English if they are a tenth of its words.
+FUNCTION_WORDS = "a an and are as at be been but by for from had has have he in is it its not of on or that the their they this to was we were which with".split()
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda it would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def by_function_words(chunk: Column) -> Column:
+    """Stand-in for a language detector: en or other; null for a chunk without words. Function words are whole runs of letters
+    of any script (what a word boundary is differs between engines)."""
+    words, common = F.regexp_count(chunk, F.lit(LETTER_WORD + "|[A-Za-z]")), F.regexp_count(F.lower(chunk), F.lit(rf"(?<!\p{{L}})(?:{'|'.join(FUNCTION_WORDS)})(?!\p{{L}})"))
+    return F.when(words > 0, F.when(10 * common >= words, F.lit("en")).otherwise(F.lit("other")))
+
+
+def prose_chunks(text: Column, least_words: int = 30, most: int = 30) -> Column:
+    """array<string>: paragraphs of at least so many letter words that make up over half of their characters; of more than
+    `most` those at the places int(i * n / most), evenly spaced. Null text: null."""
+
+    def long_enough(p: Column, words: Column) -> Column:
+        return (F.size(words) >= least_words) & (F.length(F.array_join(words, "")) > 0.5 * F.length(F.regexp_replace(p, r"^\s+|\s+$", "")))
+
+    def spaced(kept: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.size(kept) / most)).cast("int"))
+        return F.when(F.size(kept) > most, F.transform(places, lambda i: F.get(kept, i))).otherwise(kept)
+
+    kept = F.filter(F.split(text, r"\n\s*\n"), lambda p: let(F.regexp_extract_all(p, F.lit(LETTER_WORD), F.lit(0)), lambda words: long_enough(p, words)))
+    return let(kept, spaced)
+
+
+def english_share(chunks: Column, detect=by_function_words) -> Column:
+    """The share of characters of chunks that `detect` (a chunk's column -> its language's) calls en, of those it calls
+    anything; null if there are none."""
+    found = F.transform(chunks, lambda c: F.struct(F.length(c).cast("long").alias("size"), detect(c).alias("lang")))
+
+    def add(a: Column, c: Column) -> Column:
+        return F.struct(*((a[k] + F.when(x, c["size"]).otherwise(0)).alias(k) for k, x in (("en", c["lang"] == "en"), ("all", c["lang"].isNotNull()))))
+
+    none = F.lit(0).cast("long")
+    return F.aggregate(found, F.struct(none.alias("en"), none.alias("all")), add, lambda a: F.when(a["all"] > 0, a["en"] / a["all"]))
+
+
+def usable_english(text: Column, share: Column | None = None, least_words: int = 200, least_share: float = 0.5) -> Column:
+    """no_text, non_english (CJK characters outweigh Latin words, or the English share is too small) or ok. share is a column
+    of english_share(), best computed before; without one only the characters decide. Texts without a judged chunk: no_text."""
+    words, latin, cjk = (F.regexp_count(text, F.lit(rx)) for rx in (LETTER_WORD, LATIN_WORD, CJK))
+    out = F.when(text.isNull() | (words < least_words), F.lit("no_text")).when(cjk / 1.5 > latin, F.lit("non_english"))
+    if share is not None:
+        out = out.when(share.isNull(), F.lit("no_text")).when(share < least_share, F.lit("non_english"))
+    return out.otherwise(F.lit("ok"))
 
 
 def heading_category(line: Column) -> Column:

@@ -83,9 +83,10 @@ def focus_paths(links: DataFrame, files: DataFrame) -> DataFrame:
     blob/...), as far as the repository has a file there or below. files has repo and path."""
     path = F.regexp_replace(F.regexp_extract("url", r"(?i)github\.com/[^/]+/[^/]+/(?:tree|blob)/[^/]+/([^?#]+)", 1), r"[./]+$", "")
     wanted = links.select("repo", path.alias("focus")).where("focus <> ''").distinct()
-    there = files.select(F.col("repo").alias("__r"), F.col("path").alias("__p"))
-    inside = (F.col("__p") == F.col("focus")) | F.col("__p").startswith(F.concat("focus", F.lit("/")))
-    return wanted.join(there, (F.col("repo") == F.col("__r")) & inside, "left_semi")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    there = files.select("repo", F.explode(above).alias("focus"))
+    return wanted.join(there, ["repo", "focus"], "left_semi")
 
 
 def prompts(rows: DataFrame, template: str) -> Column:
@@ -135,6 +136,21 @@ def precision_sample(instances: DataFrame, texts: DataFrame, per_cell: int, cell
     return fresh.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_cell).drop("__n")
 
 
+def corrected_ratios(rates: DataFrame, judged: DataFrame, base: str, other: str, pattern: str = "pattern_id", corpus: str = "corpus") -> DataFrame:
+    """rates (pattern, corpus, rate) and judged (pattern, corpus, k of n are instances) -> per pattern that both corpora have a
+    rate of: `ratio` of other's rate to base's, and `corrected`, times other's precision over base's. Null where it would
+    divide by zero or nothing was judged."""
+
+    def of(name: str, value: str):
+        return F.max(F.when(F.col(corpus) == name, F.col(value)))
+
+    raw = rates.groupBy(pattern).agg(of(base, "rate").alias("__r0"), of(other, "rate").alias("__r1")).where("__r0 is not null and __r1 is not null")
+    share = judged.withColumn("__p", F.when(F.col("n") > 0, F.col("k") / F.col("n")))
+    share = share.groupBy(pattern).agg(of(base, "__p").alias("__p0"), of(other, "__p").alias("__p1"))
+    ratio = F.when(F.col("__r0") > 0, F.col("__r1") / F.col("__r0"))
+    return raw.join(share, pattern, "left").select(pattern, ratio.alias("ratio"), F.when(F.col("__p0") > 0, ratio * F.col("__p1") / F.col("__p0")).alias("corrected"))
+
+
 def pilot_table(rates: DataFrame, model: str = "model", stage: str = "stage") -> DataFrame:
     """rates (model, stage, words, n) -> per model: documents, mean words, files with a hit and mean rate of the first draft,
     and the mean rate after revision (null without one). Documents without words have no rate."""

@@ -51,6 +51,18 @@ def spaced(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFram
     return out.where((F.col("__n") <= k) | ((F.floor(first * F.col("__n") / k) == F.col("__p")) & (first < k))).drop("__p", "__n")
 
 
+def spread(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """At most k rows of each group from its first to its last: places round(i * (n - 1) / (k - 1)), halves to even; the first
+    row alone for k = 1. A place is taken if one of the two whole i next to it leads there."""
+    w = Window.partitionBy(*by)
+    out = rows.withColumns({"__p": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(w)})
+    if k == 1:
+        return out.where("__p = 0").drop("__p", "__n")
+    step = (F.col("__n") - 1) / F.lit(float(k - 1))
+    taken = [F.rint(i * step) == F.col("__p") for i in (F.floor(F.col("__p") / step), F.ceil(F.col("__p") / step))]
+    return out.where((F.col("__n") <= k) | taken[0] | taken[1]).drop("__p", "__n")
+
+
 def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the first in order."""
     best = F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order))

@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tropelens.functions.text import let
+
 TOKENS = "array<struct<at int, text string, tag string, pos string, dep string, head int>>"
 NOMINAL, VERBAL = ("NOUN", "PROPN", "PRON", "NUM"), ("VERB", "AUX")
 SUBJECTS = ("nsubj", "nsubjpass", "csubj")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once: inside a lambda it would be computed again for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def placed(tokens: Column) -> Column:
     """The tokens with their place `i` and lower-cased `low`."""
     return F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["at"].alias("at"), F.lower(t["text"]).alias("low"), t["text"].alias("text"), t["tag"].alias("tag"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["head"].alias("head")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tropelens.functions import text as tx
 from tropelens.functions.patterns import PATTERNS, match_count, per_thousand, word_count
-from tropelens.operators import corpus, items, ngrams, passages, ranking, repositories, vectors
+from tropelens.operators import corpus, items, ngrams, passages, ranking, repositories, sampling, vectors
 from tropelens.plans.base import long, query, rounded
 from tropelens.plans.demo import count_sql, demo, demo_sql, table, words_sql
 from tropelens.plans.label_queries import LABELLED, ORDER, labelled
@@ -298,3 +299,49 @@ def knn_permutation(spark, d):
     x = found.join(x, "query").join(y, ["rep", "near"]).groupBy("rep").agg(F.avg((F.col("own") == F.col("label")).cast("int")).alias("x"))
     seen = x.where("rep = 0").first()
     return rounded(items.add_one_p(seen["x"] if seen else 0.0, x.where("rep > 0"), "x"))
+
+
+@query(
+    "sample_spread",
+    """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT doc_id, source FROM r WHERE n <= 8 OR p IN (SELECT round_even(i * ((n - 1) / 7.0::DOUBLE), 0)::BIGINT FROM (SELECT unnest(range(8)) AS i))""",
+)
+def sample_spread(spark, d):
+    """Eight documents of each source, from the shortest to the longest."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return sampling.spread(rows, ["source"], ["n_chars", "doc_id"], 8).select("doc_id", "source")
+
+
+@query(
+    "english_shares",
+    f"""WITH c AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda p: len(regexp_extract_all(p, '\\p{{L}}{{2,}}')) >= 12
+        AND length(array_to_string(regexp_extract_all(p, '\\p{{L}}{{2,}}'), '')) > 0.5 * length(regexp_replace(p, '^\\s+|\\s+$', '', 'g'))) AS kept FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, CASE WHEN len(kept) > 5 THEN list_transform(range(5), lambda i: kept[floor(i * (len(kept) / 5.0::DOUBLE))::BIGINT + 1]) ELSE kept END AS chunks FROM c),
+    s AS (SELECT doc_id, len(chunks) AS chunks, list_sum(list_transform(chunks, lambda x: length(x)))::DOUBLE AS total,
+        list_sum(list_transform(chunks, lambda x: CASE WHEN 10 * len(list_filter(regexp_extract_all(lower(x), '\\\\p{{L}}+'), lambda w: list_contains({tx.FUNCTION_WORDS}, w))) >= len(regexp_extract_all(x, '\\p{{L}}{{2,}}|[A-Za-z]')) THEN length(x) ELSE 0 END))::DOUBLE AS en FROM k)
+    SELECT doc_id, chunks::BIGINT AS chunks, round(en / total, 6) AS share FROM s""".replace("\\\\", "\\"),
+)
+def english_shares(spark, d):
+    """English share of up to five spaced chunks; each line counts as a paragraph here."""
+    rows = table(spark, d, "documents").where("text is not null")
+    chunks = tx.prose_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 12, 5)
+    rows = rows.select("doc_id", chunks.alias("chunks"))
+    return rounded(rows.select("doc_id", F.size("chunks").alias("chunks"), tx.english_share(F.col("chunks")).alias("share")))
+
+
+@query(
+    "corrected_ratios",
+    f"""WITH {demo_sql()}, c AS (SELECT doc_id, lang, {words_sql()} AS w, {count_sql('rather_than')} AS rather_than, {count_sql('instead_of')} AS instead_of FROM demo),
+    l AS (SELECT doc_id, lang, w, 'rather_than' AS pattern_id, rather_than AS n FROM c UNION ALL SELECT doc_id, lang, w, 'instead_of', instead_of FROM c),
+    r AS (SELECT pattern_id, avg(1000.0::DOUBLE * n / w) FILTER (lang = 'en' AND w > 0) AS r0, avg(1000.0::DOUBLE * n / w) FILTER (lang = 'fr' AND w > 0) AS r1 FROM l GROUP BY pattern_id),
+    p AS (SELECT pattern_id, avg((toxic = 0)::INT) FILTER (lang = 'en') AS p0, avg((toxic = 0)::INT) FILTER (lang = 'fr') AS p1 FROM l JOIN labels USING (doc_id) WHERE n > 0 GROUP BY pattern_id)
+    SELECT pattern_id, round(CASE WHEN r0 > 0 THEN r1 / r0 END, 6) AS ratio, round(CASE WHEN r0 > 0 AND p0 > 0 THEN r1 / r0 * p1 / p0 END, 6) AS corrected FROM r LEFT JOIN p USING (pattern_id) WHERE r0 IS NOT NULL AND r1 IS NOT NULL""",
+)
+def corrected_ratios(spark, d):
+    """Rates of French against English documents, corrected by precision; labels stand in for judgements."""
+    pair = [p for p in PATTERNS if p.pattern_id in ("rather_than", "instead_of")]
+    rows = corpus.by_pattern(corpus.doc_counts(demo(spark, d).select("doc_id", F.col("lang").alias("corpus"), "text"), patterns=pair), pair)
+    rates = rows.groupBy("pattern_id", "corpus").agg(F.avg(per_thousand(F.col("n"), F.col("words"))).alias("rate"))
+    judged = rows.where("n > 0").select("doc_id", "pattern_id", "corpus").join(table(spark, d, "labels"), "doc_id")
+    judged = judged.groupBy("pattern_id", "corpus").agg(F.sum((F.col("toxic") == 0).cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
+    return rounded(items.corrected_ratios(rates, judged, "en", "fr"))

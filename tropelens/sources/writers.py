@@ -18,6 +18,23 @@ def parquet(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def text_files(rows: DataFrame, path: str, stem: str = "stem", text: str = "text") -> None:
+    """One file for each document in a folder `stem=...`; the stems must be safe names. Null texts are empty files, and
+    Spark ends each file with a line end."""
+    out = rows.select(F.col(stem).alias("stem"), F.coalesce(F.col(text), F.lit("")).alias("value"))
+    out.repartition("stem").write.mode("overwrite").partitionBy("stem").text(path)
+
+
+def markdown_table(rows: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table; more than `most` rows are an error, not a cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [rows.columns, ["---"] * len(rows.columns), *([cell(v) for v in r] for r in found)]
+    return "".join("| " + " | ".join(x) + " |\n" for x in lines)
+
+
 def exists(rows: DataFrame, path: str) -> bool:
     jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
