@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tropelens.llm import decontaminate, fim, language, licenses, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity, vector_codes, warc
+from tropelens.llm import decontaminate, fim, language, licenses, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, vector_codes, warc
 from tropelens.session import ship
 
 MODULES = {
@@ -20,6 +20,7 @@ MODULES = {
     "op8_toxicity": toxicity,
     "op9_decontamination": decontaminate,
     "op10_quality_classifier": quality_classifier,
+    "op11_packing": packing,
     "op12_vector_codes": vector_codes,
     "op13_fill_in_middle": fim,
 }
