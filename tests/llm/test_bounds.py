@@ -25,7 +25,25 @@ def test_rare_language_is_learned(spark):
     assert all(got[i] == lang for i, _, lang in rows)
     keyed = table.select("lang", F.xxhash64("text").alias("hash"))
     chosen, sizes = language.training_texts(keyed, 100)
-    assert sizes == {"en": 3500, "xx": 4} and chosen.where("lang = 'xx'").count() == 4 and chosen.where("lang = 'en'").count() < 200
+    assert sizes == {"en": 3500, "xx": 4} and chosen.where("lang = 'xx'").count() == 4 and chosen.where("lang = 'en'").count() == 100
+    assert {r["hash"] for r in chosen.where("lang = 'en'").collect()} == set(sorted({r["hash"] for r in keyed.where("lang = 'en'").collect()})[:100])
+
+
+def test_a_rare_language_beside_a_near_relative(spark):
+    """Close letter distributions, 100 to 1: texts that are long enough are told apart, whatever the prior."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnop "))
+    near = rng.dirichlet(np.full(17, 5.0))
+    shares = {"big": near, "small": near * np.where(np.arange(17) % 2, 1.06, 0.94)}
+
+    def text(lang, n):
+        return "".join(rng.choice(letters, n, p=shares[lang] / shares[lang].sum()))
+
+    rows = [(k, text("big", 500), "big") for k in range(3000)] + [(10_000 + k, text("small", 5000), "small") for k in range(30)]
+    tests = [(20_000 + k, text("small", 20_000), None) for k in range(20)] + [(30_000 + k, text("big", 20_000), None) for k in range(20)]
+    table = spark.createDataFrame(rows + tests, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table).collect()}
+    assert sum(got[20_000 + k] == "small" for k in range(20)) >= 19 and sum(got[30_000 + k] == "big" for k in range(20)) >= 19
 
 
 def test_language_against_plain_bayes(spark):
@@ -61,9 +79,9 @@ def test_language_against_plain_bayes(spark):
         if text is None or not any(map(str.isalpha, text)):
             return "und", 0.0
         g = grams(text)
-        z = {lang: math.log(many[lang] / len(learned)) + sum(math.log((counts[lang][x] + 0.5) / (total[lang] + 0.5 * language.BUCKETS)) for x in g) / max(1, len(g)) * min(len(g), 60) for lang in counts}
+        z = {lang: math.log(many[lang] / len(learned)) + sum(math.log((counts[lang][x] + 0.5) / (total[lang] + 0.5 * language.BUCKETS)) for x in g) for lang in counts}
         top = max(z.values())
-        share = {lang: math.exp(v - top) for lang, v in z.items()}
+        share = {lang: math.exp((v - top) * min(1, 60 / max(1, len(g)))) for lang, v in z.items()}
         lang = min(z, key=lambda x: (-z[x], x))
         return lang, share[lang] / sum(share.values())
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tropelens.llm.common import written
+from tropelens.llm.common import BROADCAST_BYTES, written
 
 BUCKETS = 1 << 15
 #: Bound of the training sample, in distinct texts of each language. Counts of n-grams barely change beyond.
 TRAIN_DOCS = 5_000
+#: Bound of the languages that are learned, the most frequent ones: a column of 128 KB each.
+MOST_LANGS = 500
+#: Scores, not choices, are tempered to so many n-grams: those of a text aren't independent.
+TEMPER = 60
 CHUNK_CHARS = 1 << 19
 MIX = np.uint32(2654435761)
 
@@ -53,21 +58,24 @@ def count_ngrams(text: str) -> np.ndarray:
     return total
 
 
-def training_texts(rows: DataFrame, train_docs: int) -> tuple[DataFrame, dict[str, int]]:
+def training_texts(rows: DataFrame, train_docs: int, most_langs: int = MOST_LANGS) -> tuple[DataFrame, dict[str, int]]:
     """(lang, hash, share of one row) of the texts to learn from, and how many rows each language has.
 
-    rows: lang, hash, without nulls. Every language has its own rate: all its texts while there are at most train_docs, so
-    a rare one is learned as it stands, else about train_docs by hash. A text's weight is shared by the rows that repeat
-    it. Counting moves a hash a text; the result has about train_docs rows a language.
+    rows: lang, hash, without nulls. Of every language the train_docs smallest hashes are taken, all that a rare one has. A
+    text's weight is shared by the rows that repeat it. Counting moves a hash a text. Hashes are evenly spread, so those
+    under a bound that leaves train_docs and some more a language are enough to take the smallest from: no task ranks all
+    texts of a frequent language.
     """
     texts = written(rows.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n")), "texts")
-    sizes = {r["lang"]: (r["texts"], r["rows"]) for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).collect()}
-    large = [(lang, -(-n // train_docs)) for lang, (n, _) in sizes.items() if n > train_docs]
-    step = F.lit(1)
-    if large:
-        step = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in large for x in pair)), F.col("lang")), F.lit(1))
-    chosen = texts.where(F.pmod("hash", step) == 0).select("lang", "hash", (1.0 / F.col("n")).alias("share"))
-    return chosen, {lang: n for lang, (_, n) in sizes.items()}
+    sums = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most_langs).collect()
+    enough = train_docs + 8 * math.isqrt(train_docs) + 32
+    bound = [x for r in sums for x in (F.lit(r["lang"]), F.lit(min(1.0, enough / r["texts"]) * 2.0**64 - 2.0**63))]
+    if not bound:
+        return texts.limit(0).select("lang", "hash", F.lit(1.0).alias("share")), {}
+    few = texts.where(F.col("hash").cast("double") <= F.element_at(F.create_map(*bound), F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= train_docs).select("lang", "hash", (1.0 / F.col("n")).alias("share"))
+    return chosen, {r["lang"]: r["rows"] for r in sums}
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, train_docs: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -79,7 +87,10 @@ def train(docs: DataFrame, text_col: str, lang_col: str, train_docs: int) -> tup
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
     chosen, sizes = training_texts(rows.select("lang", "hash"), train_docs)
-    sample = rows.join(F.broadcast(chosen), ["lang", "hash"])
+    chosen = written(chosen, "chosen")
+    if chosen.count() * 64 <= BROADCAST_BYTES:
+        chosen = F.broadcast(chosen)
+    sample = rows.join(chosen, ["lang", "hash"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -101,7 +112,8 @@ def train(docs: DataFrame, text_col: str, lang_col: str, train_docs: int) -> tup
 
 def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndarray], prior: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and score of each text. A batch's n-grams lie in one array; each language's log-probabilities are looked
-    up for the n-grams that occur and summed by document; the log prior is added to the sum tempered to 60 n-grams."""
+    up for the n-grams that occur and summed by document. The language has the largest sum with its log prior; the score
+    is its posterior, of which both sum and prior are tempered."""
     named, scores = ["und"] * len(texts), [0.0] * len(texts)
     sums, sizes, parts, owner, fill = np.zeros((len(texts), len(langs))), np.zeros(len(texts)), [], [], 0
 
@@ -109,7 +121,7 @@ def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndar
         flat = np.concatenate(parts)
         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
         for k, column in enumerate(columns):
-            np.add.at(sums[:, k], owner, np.add.reduceat(column[flat], starts))
+            np.add.at(sums[:, k], owner, np.add.reduceat(column[flat], starts, dtype=np.float64))
 
     for i, text in enumerate(texts):
         if text is None or not any(map(str.isalpha, text)):
@@ -128,10 +140,10 @@ def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndar
     if parts and langs:
         settle()
     if langs:
-        mean = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, 60)[:, None] + prior
-        odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+        sums += prior
+        best = sums.argmax(axis=1)
+        odds = np.exp((sums - sums.max(axis=1, keepdims=True)) * np.minimum(1.0, TEMPER / np.maximum(sizes, 1))[:, None])
         odds /= odds.sum(axis=1, keepdims=True)
-        best = odds.argmax(axis=1)
         for i in range(len(texts)):
             if named[i] != "und":
                 named[i], scores[i] = langs[best[i]], float(odds[i, best[i]])
@@ -139,10 +151,11 @@ def score_texts(texts: list[str | None], langs: list[str], columns: list[np.ndar
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, folds: int = 4, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """One row per document: id, held_out, lang_pred and score (the posterior of the language, tempered to 60 n-grams).
+    """One row per document: id, held_out, lang_pred and score (the posterior of the language, tempered to 60
+    n-grams; the choice itself is by the whole sum and the prior).
 
     Learned from documents with text and language whose fold (crc32 of the id) isn't `held`, from about train_docs distinct
-    texts of each language (all that a rare one has); the language column, the source and the id are never inputs of a
+    texts of each language (all that a rare one has) and the 500 most frequent languages; the language column, the source and the id are never inputs of a
     prediction. `und` with score 0 where the text is null, empty or without a letter, or where nothing could be learned.
     Equal scores: the language that sorts first. Very long texts are counted and scored whole, in pieces. Repeated rows are
     each scored; an empty table gives an empty result; extra columns are ignored.
