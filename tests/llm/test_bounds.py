@@ -34,13 +34,13 @@ def test_a_rare_language_beside_a_near_relative(spark):
     rng = np.random.default_rng(4)
     letters = np.array(list("abcdefghijklmnop "))
     near = rng.dirichlet(np.full(17, 5.0))
-    shares = {"big": near, "small": near * np.where(np.arange(17) % 2, 1.06, 0.94)}
+    shares = {"big": near, "small": near * np.where(np.arange(17) % 2, 1.35, 0.65)}
 
     def text(lang, n):
         return "".join(rng.choice(letters, n, p=shares[lang] / shares[lang].sum()))
 
-    rows = [(k, text("big", 500), "big") for k in range(3000)] + [(10_000 + k, text("small", 5000), "small") for k in range(30)]
-    tests = [(20_000 + k, text("small", 20_000), None) for k in range(20)] + [(30_000 + k, text("big", 20_000), None) for k in range(20)]
+    rows = [(k, text("big", 500), "big") for k in range(3000)] + [(10_000 + k, text("small", 5000), "small") for k in range(40)]
+    tests = [(20_000 + k, text("small", 5000), None) for k in range(20)] + [(30_000 + k, text("big", 5000), None) for k in range(20)]
     table = spark.createDataFrame(rows + tests, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table).collect()}
     assert sum(got[20_000 + k] == "small" for k in range(20)) >= 19 and sum(got[30_000 + k] == "big" for k in range(20)) >= 19
