@@ -270,3 +270,76 @@ def parse_patterns(spark, d):
     rows = corpus.sentence_rows(demo(spark, d).select("doc_id", "text"))
     words = rows.select(F.contains(F.lower("sentence"), F.lit("rather than")).alias("f"), F.regexp_extract_all("sentence", F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     return syntax.pattern_shares(words.select("f", F.expr(PARSE.format(t="w")).alias("tokens")), "f")
+
+
+#: A stand-in for a parser on `s`, a sentence with single spaces: words hang towards the middle one, by their lengths.
+TREE = """transform(split(s, ' '), (x, i) -> named_struct('at', int(length(array_join(slice(split(s, ' '), 1, i), ' ')) + int(i > 0)), 'text', x,
+    'tag', case when length(x) = 3 then 'MD' when endswith(x, 'g') then 'VBG' else concat('T', least(length(x), 9)) end,
+    'pos', element_at(array('NOUN', 'VERB', 'ADJ', 'ADP', 'PRON'), int(length(x) % 5 + 1)),
+    'dep', element_at(array('nsubj', 'conj', 'cc', 'pobj', 'nsubjpass', 'auxpass', 'neg', 'dep', 'poss'), int((length(x) + i) % 9 + 1)),
+    'head', int(case when i < size(split(s, ' ')) div 2 then least(size(split(s, ' ')) div 2, i + 1 + length(x) % 3) when i > size(split(s, ' ')) div 2 then greatest(size(split(s, ' ')) div 2, i - 1 - length(x) % 3) else i end)))"""
+
+#: The same trees as rows, closed by recursion, and X and Y: CTEs up to span(rid, side, i) and heads(rid, side, i).
+TREE_SQL = rf"""{demo_sql()}, {SENT}, q AS (SELECT row_number() OVER () AS rid, doc_id % 2 = 0 AS f, trim(regexp_replace(regexp_replace(sentence, '([,.;:])', ' \1 ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS s FROM sent WHERE contains(lower(sentence), 'rather than')),
+    b AS (SELECT rid, f, s, string_split(s, ' ') AS w, strpos(lower(s), 'rather than') - 1 AS start FROM q),
+    k AS (SELECT rid, f, start, w[i + 1] AS x, lower(w[i + 1]) AS low, i, len(w) AS n, length(array_to_string(w[1:i], ' ')) + (i > 0)::INT AS place, len(w) // 2 AS mid, length(w[i + 1]) AS l FROM (SELECT *, unnest(range(len(w))) AS i FROM b)),
+    t AS (SELECT *, CASE WHEN l = 3 THEN 'MD' WHEN x LIKE '%g' THEN 'VBG' ELSE 'T' || least(l, 9) END AS tag, ['NOUN', 'VERB', 'ADJ', 'ADP', 'PRON'][l % 5 + 1] AS pos,
+      ['nsubj', 'conj', 'cc', 'pobj', 'nsubjpass', 'auxpass', 'neg', 'dep', 'poss'][(l + i) % 9 + 1] AS dep, CASE WHEN i < mid THEN least(mid, i + 1 + l % 3) WHEN i > mid THEN greatest(mid, i - 1 - l % 3) ELSE i END AS head, regexp_full_match(x, '\p{{P}}+') AS mark FROM k),
+    anc AS (SELECT rid, i, i AS a FROM t UNION ALL SELECT anc.rid, anc.i, t.head FROM anc JOIN t ON t.rid = anc.rid AND t.i = anc.a WHERE t.head <> t.i),
+    deep AS (SELECT rid, i, count(*) - 1 AS depth FROM anc GROUP BY ALL),
+    th AS (SELECT rid, min(i) AS than FROM t WHERE low = 'than' AND place >= start GROUP BY rid),
+    th2 AS (SELECT rid, than, nullif(head, than) AS x0 FROM th JOIN t USING (rid) WHERE i = than),
+    c AS (SELECT rid, than, x0, min(i) FILTER (head = than AND i <> than AND low <> 'rather' AND NOT mark) AS y1, min(i) FILTER (head = x0 AND i <> x0 AND i > than AND dep = 'conj') AS y2,
+      coalesce(min(i) FILTER (i > than AND (x IN (';', '.', ':') OR (dep = 'cc' AND i > than + 1))), any_value(n)) AS stop FROM th2 JOIN t USING (rid) GROUP BY ALL),
+    h AS (SELECT rid, min(depth * 100000 + i) % 100000 AS y3 FROM c JOIN t USING (rid) JOIN deep USING (rid, i) WHERE i > than AND i < stop AND NOT mark GROUP BY rid),
+    xy AS (SELECT rid, than, coalesce(x0, CASE WHEN y1 IS NULL AND y2 IS NULL THEN than END) AS x, coalesce(y1, y2, y3) AS y FROM c LEFT JOIN h USING (rid) WHERE coalesce(y1, y2, y3) IS NOT NULL AND coalesce(x0, CASE WHEN y1 IS NULL AND y2 IS NULL THEN than END) IS NOT NULL),
+    ys AS (SELECT rid, i FROM xy JOIN anc USING (rid) WHERE a = y), ts AS (SELECT rid, i FROM xy JOIN anc USING (rid) WHERE a = than),
+    span AS (SELECT rid, 'y' AS side, i FROM ys UNION ALL SELECT xy.rid, 'x', anc.i FROM xy JOIN anc ON anc.rid = xy.rid AND a = x JOIN t ON t.rid = anc.rid AND t.i = anc.i
+      WHERE NOT (dep = 'conj' AND t.i > than) AND (xy.rid, anc.i) NOT IN (SELECT (rid, i) FROM ys) AND (xy.rid, anc.i) NOT IN (SELECT (rid, i) FROM ts)),
+    heads AS (SELECT span.rid, span.side, min(span.i) AS i FROM span JOIN t ON t.rid = span.rid AND t.i = span.i LEFT JOIN span AS o ON o.rid = span.rid AND o.side = span.side AND o.i = t.head WHERE o.i IS NULL OR t.head = t.i GROUP BY ALL),
+    roots AS (SELECT DISTINCT rid, f, mid AS root FROM t), sj AS (SELECT t.rid, min(i) AS s FROM t JOIN roots USING (rid) WHERE head = root AND i <> root AND dep IN ('nsubj', 'nsubjpass') GROUP BY ALL),
+    subj AS (SELECT roots.rid, CASE WHEN s IS NULL THEN 'none' WHEN any_value(m.low) = 'we' THEN 'we' WHEN count(o.i) > 0 THEN 'our-NP' WHEN any_value(m.pos) = 'PRON' THEN 'other pronoun' ELSE 'NP' END AS subj
+      FROM roots LEFT JOIN sj USING (rid) LEFT JOIN t AS m ON m.rid = roots.rid AND m.i = s LEFT JOIN t AS o ON o.rid = roots.rid AND o.head = s AND o.low = 'our' AND o.dep = 'poss' GROUP BY roots.rid, s)"""
+KIND = "CASE WHEN pos IN ('NOUN', 'PRON') THEN 'NP' WHEN pos = 'VERB' AND tag = 'VBG' THEN 'VP-ing' WHEN pos = 'VERB' THEN 'VP' WHEN pos = 'ADJ' THEN 'AdjP' ELSE 'PP' END"
+
+
+def contrasts(spark, d):
+    """(f, s, tokens, start, lead) of all demo sentences with the phrase."""
+    spaced = tx.squeezed(F.regexp_replace("sentence", "([,.;:])", " $1 "))
+    rows = corpus.sentences_with(demo(spark, d).select("doc_id", "text"), "rather than").select((F.col("doc_id") % 2 == 0).alias("f"), spaced.alias("s"))
+    rows = rows.withColumn("start", F.locate("rather than", F.lower("s")) - 1)
+    return rows.select("f", "s", F.expr(TREE).alias("tokens"), "start", F.expr("substring(s, 1, start)").alias("lead"))
+
+
+@query(
+    "contrast_features",
+    f"""WITH RECURSIVE {TREE_SQL}, cats AS (SELECT rid, max({KIND}) FILTER (side = 'x') AS cx, max({KIND}) FILTER (side = 'y') AS cy FROM heads JOIN t USING (rid, i) GROUP BY rid),
+    lens AS (SELECT rid, count(*) FILTER (side = 'x') AS lx, count(*) FILTER (side = 'y') AS ly FROM span GROUP BY rid),
+    own AS (SELECT t.rid, bool_and(NOT regexp_matches(substr(b.s, 1, b.start), '[A-Za-z0-9]')) AS initial, bool_or(head = mid AND i <> mid AND dep IN ('nsubjpass', 'auxpass')) AS passive, bool_or(tag = 'MD') AS modal, bool_or(dep = 'neg') AS negation, count(*) FILTER (NOT mark) AS sent_len, max(depth) AS depth
+      FROM t JOIN deep USING (rid, i) JOIN b ON b.rid = t.rid GROUP BY t.rid)
+    SELECT initial, coalesce(cx, 'other') AS cat_x, coalesce(cy, 'other') AS cat_y, coalesce(cx, 'other') = coalesce(cy, 'other') AS parallel, subj, passive, modal, negation, count(*)::BIGINT AS n, sum(coalesce(lx, 0))::BIGINT AS len_x, sum(coalesce(ly, 0))::BIGINT AS len_y, sum(sent_len)::BIGINT AS words, sum(depth)::BIGINT AS depth
+    FROM own JOIN subj USING (rid) LEFT JOIN cats USING (rid) LEFT JOIN lens USING (rid) GROUP BY ALL""",
+)
+def contrast_features(spark, d):
+    """Sentences with the phrase by their syntactic features, with total lengths and depths."""
+    rows = contrasts(spark, d).select(syntax.contrast_features(F.col("tokens"), F.col("start"), F.col("lead")).alias("x")).select("x.*")
+    keys = ["initial", "cat_x", "cat_y", "parallel", "subj", "passive", "modal", "negation"]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("len_x").alias("len_x"), F.sum("len_y").alias("len_y"), F.sum("sent_len").alias("words"), F.sum("depth").alias("depth"))
+
+
+@query(
+    "contrast_frames",
+    f"""WITH RECURSIVE {TREE_SQL}, ra AS (SELECT rid, min(i) AS rather FROM t WHERE low = 'rather' AND place >= start - 1 GROUP BY rid),
+    hx AS (SELECT rid, side, i, tag, dep FROM heads JOIN t USING (rid, i)), g AS (SELECT t.*, o.tag AS htag FROM t JOIN t AS o ON o.rid = t.rid AND o.i = t.head),
+    p AS (SELECT rid, f, 'pos:initial' AS pattern FROM b WHERE NOT regexp_matches(substr(s, 1, start), '[A-Za-z0-9]')
+      UNION SELECT rid, f, 'frame:than=' || dep || '<-' || htag FROM g JOIN th USING (rid) WHERE i = than UNION SELECT rid, f, 'frame:rather=' || dep || '<-' || htag FROM g JOIN ra USING (rid) WHERE i = rather
+      UNION SELECT rid, f, upper(side) || ':tag=' || tag FROM hx JOIN roots USING (rid) UNION SELECT rid, f, upper(side) || ':dep=' || dep FROM hx JOIN roots USING (rid)
+      UNION SELECT rid, f, 'XY:' || a.tag || '/' || c.tag FROM hx AS a JOIN hx AS c USING (rid) JOIN roots USING (rid) WHERE a.side = 'x' AND c.side = 'y'
+      UNION SELECT t.rid, t.f, 'root:' || tag FROM t JOIN roots ON roots.rid = t.rid AND root = i UNION SELECT rid, f, 'subj:' || subj FROM subj JOIN roots USING (rid)
+      UNION SELECT rid, f, 'tag:' || tag FROM t UNION SELECT rid, f, 'dep:' || dep FROM t WHERE head <> i UNION SELECT rid, f, 'arc:' || htag || '-' || dep || '->' || tag FROM g WHERE head <> i UNION SELECT rid, f, '' FROM b)
+    SELECT pattern, sum(f::INT)::BIGINT AS flagged, sum((NOT f)::INT)::BIGINT AS others FROM p GROUP BY pattern""",
+)
+def contrast_frames(spark, d):
+    """Shares of frame, X, Y, root, subject, tag, dependency and arc patterns in sentences with the phrase."""
+    rows = contrasts(spark, d)
+    return syntax.pattern_shares(rows, "f", patterns=syntax.contrast_patterns(F.col("tokens"), F.col("start"), F.col("lead")))
