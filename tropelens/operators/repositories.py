@@ -97,10 +97,17 @@ def packed(files: DataFrame, budget: int, shares: dict[str, float], repo: str =
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed: later plans start from its rows."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():  # a session without a shared folder (local tests)
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tropelens-"))
+    """df computed once and checkpointed: later plans start from its rows. The folder is spark.checkpoint.dir; only a session
+    on one machine (tests) may go without, on a cluster that is an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="tropelens-")
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
