@@ -27,16 +27,26 @@ def test_redaction_spares_prices_and_finds_names(spark):
     assert not one(spark, passages.usable, "word " * 50 + "and , more") and not one(spark, passages.usable, ". " + "word " * 50) and not one(spark, passages.usable, "word " * 50 + "() x")
 
 
-def test_delete_clause():
-    def cut(s, y):
-        at = s.lower().index("rather than")
-        return passages.delete_clause(s, at, at + 11, y)
-
-    assert cut("We use trees rather than lists.", "lists") == "We use trees."
-    assert cut("We use trees, rather than lists, and win.", "lists") == "We use trees and win."
-    assert cut("We use trees rather than lists, and win.", "lists") == "We use trees, and win."
-    assert cut("Rather than lists, we use trees.", "lists") == "We use trees."
-    assert cut("Rather than lists", "lists") is None and cut("We use trees rather than lists.", "heaps") is None
+def test_delete_clause(spark):
+    cases = [
+        ("We use trees rather than lists.", "lists", "We use trees."),
+        ("We use trees, rather than lists, and win.", "lists", "We use trees and win."),
+        ("We use trees ,  rather than lists, and win.", "lists", "We use trees and win."),
+        ("We use trees rather than lists, and win.", "lists", "We use trees, and win."),
+        ("We use trees, rather than lists and win.", "lists", "We use trees, and win."),
+        ("We  use trees rather than\n lists  now .", "lists", "We use trees now."),
+        ("Rather than lists, we use trees.", "lists", "We use trees."),
+        ("(Rather than lists ,  we use trees.)", "lists", "(We use trees.)"),
+        ("Rather than lists", "lists", None),
+        ("Rather than lists, ", "lists", None),
+        ("We use trees rather than lists.", "heaps", None),
+        ("We use trees rather than lists.", "", None),
+        ("Rather than the ($x) lists, we", "the ($x) lists", "We"),
+    ]
+    rows = [(k, s, s.lower().index("rather than"), s.lower().index("rather than") + 11, y, want) for k, (s, y, want) in enumerate(cases)] + [(99, None, 1, 2, "x", None), (98, "a rather than b", 2, 13, None, None)]
+    table = spark.createDataFrame(rows, "k int, sentence string, local_start long, local_end long, y string, want string")
+    got = {r["k"]: (r["deleted"], r["want"]) for r in passages.deleted(table).collect()}
+    assert {k: a for k, (a, _) in got.items()} == {k: b for k, (_, b) in got.items()}
 
 
 def test_changes(spark):

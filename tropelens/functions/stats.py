@@ -48,6 +48,37 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
+def log_gamma(x: Column) -> Column:
+    """For x > 0, by Stirling's series at x + 8 and the recursion down from there."""
+    z, down = x + 8, F.lit(0.0)
+    for k in range(8):
+        down += F.log(x + k)
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - down
+
+
+def beta_share(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function I_x(a, b), 0 <= x <= 1, by its continued fraction, evaluated from the back, on
+    the side of the mean where it converges in about sqrt(max(a, b)) terms."""
+
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        def step(tail: Column, m: Column) -> Column:
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            even = (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+            return 1 + odd / (1 + even / tail)
+
+        whole = F.aggregate(F.sequence(F.lit(terms), F.lit(0), F.lit(-1)), F.lit(1.0), lambda tail, m: step(tail, m.cast("double")))
+        return F.exp(a * F.log(x) + b * F.log(1 - x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / (a * whole)
+
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x <= (a + 1) / (a + b + 2), fraction(a, b, x)).otherwise(1 - fraction(b, a, 1 - x))
+
+
+def student_tail(t_squared: Column, df: Column) -> Column:
+    """Two-sided p of Student's t; over 10,000 degrees of freedom by a normal deviate that corrects for them."""
+    far = 2 * upper_tail((1 - 1 / (4 * df)) * F.sqrt(t_squared / (1 + t_squared / (2 * df))))
+    return F.when(df > 10_000, far).otherwise(beta_share(df / 2, F.lit(0.5), df / (df + t_squared)))
+
+
 def tail_sql(z: str) -> str:
     """upper_tail() for another engine."""
     x = f"(abs({z}) / sqrt(2::DOUBLE))"
@@ -79,114 +110,3 @@ def sign_test(up: int, n: int) -> float:
     """Two-sided exact binomial test of up against n - up at one half."""
     k = min(up, n - up)
     return min(1.0, 2 * sum(math.exp(log_choose(n, i) - n * math.log(2)) for i in range(k + 1))) if n else 1.0
-
-
-def mann_whitney_p(u: float, n1: int, n2: int, ties: float = 0.0) -> float:
-    """Two-sided, by the normal approximation with tie and continuity correction; exact for small samples without ties.
-
-    ties: sum of t^3 - t over the groups of equal values.
-    """
-    if min(n1, n2) <= 8 and not ties:
-        ways = np.zeros((n1 + 1, n1 * n2 + 1))
-        ways[0, 0] = 1
-        for m in range(1, n1 + n2 + 1):  # rank sums: choose n1 of the ranks, one rank after the other
-            for k in range(min(m, n1), 0, -1):
-                shift = m - k
-                if shift <= n1 * n2:
-                    ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
-        counts = ways[n1]
-        k = int(max(u, n1 * n2 - u))
-        return float(min(1.0, 2 * counts[k:].sum() / counts.sum()))
-    n = n1 + n2
-    spread = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
-    return min(1.0, 2 * normal_sf((abs(u - n1 * n2 / 2) - 0.5) / spread)) if spread else 1.0
-
-
-def wilcoxon_p(w_plus: float, n: int, ties: float = 0.0) -> float:
-    """Two-sided signed-rank test by the normal approximation without continuity correction."""
-    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
-    return min(1.0, 2 * normal_sf(abs(w_plus - n * (n + 1) / 4) / spread)) if spread else 1.0
-
-
-def chi2_1_sf(x: float) -> float:
-    return math.erfc(math.sqrt(x / 2))
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised, by Lentz's continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    total = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d)
-            c = 1 + num / c
-            total *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * total
-
-
-def student_p(t: float, df: float) -> float:
-    """Two-sided p of Student's t."""
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
-
-
-def spearman_p(rho: float, n: int) -> float:
-    return 0.0 if abs(rho) >= 1 else student_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
-
-
-def bh(p: list[float]) -> list[float]:
-    """Benjamini-Hochberg q-values in the order given."""
-    order = sorted(range(len(p)), key=lambda i: p[i])
-    out, least = [0.0] * len(p), 1.0
-    for rank in range(len(p), 0, -1):
-        i = order[rank - 1]
-        least = min(least, p[i] * len(p) / rank)
-        out[i] = least
-    return out
-
-
-def logistic(x: np.ndarray, y: np.ndarray, clusters: np.ndarray | None = None, ridge: float = 0.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and standard errors by Newton's method; errors by cluster (sandwich, G / (G - 1)) if clusters are given."""
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(w))
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        h = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w += step
-        if abs(step).max() < 1e-12:
-            break
-    p = 1 / (1 + np.exp(-x @ w))
-    cov = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x + penalty)
-    if clusters is not None:
-        groups, which = np.unique(clusters, return_inverse=True)
-        scores = np.zeros((len(groups), len(w)))
-        np.add.at(scores, which, x * (y - p)[:, None])
-        cov = cov @ (scores.T @ scores) @ cov * len(groups) / (len(groups) - 1)
-    return w, np.sqrt(np.diag(cov))
-
-
-def conditional_logit(diff: np.ndarray, ridge: float = 1e-9, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Preference model on differences chosen - rejected, in both orders, without intercept; errors from half the Hessian."""
-    x = np.concatenate([diff, -diff])
-    y = np.concatenate([np.ones(len(diff)), np.zeros(len(diff))])
-    w = np.zeros(diff.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p))
-    return w, np.sqrt(np.diag(np.linalg.inv(h / 2)))
-
-
-def ols(gram: np.ndarray, xy: np.ndarray, yy: float, n: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Coefficients, errors and p-values from the sums X'X, X'y and y'y, which Spark adds up."""
-    w = np.linalg.solve(gram, xy)
-    df = n - len(w)
-    se = np.sqrt(np.diag(np.linalg.inv(gram)) * (yy - w @ xy) / df)
-    return w, se, [student_p(a / b, df) for a, b in zip(w, se, strict=True)]

@@ -32,21 +32,6 @@ def diff_hunks(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return rows.mapInPandas(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, {HUNK}")
 
 
-def best_matches(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.6) -> DataFrame:
-    """For each left text the most similar right text of the same block, by matching-block ratio; ties keep the later one.
-
-    Length bounds the ratio, so pairs that can't reach `least` aren't compared.
-    """
-    pairs = left.join(right, block).where(2.0 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)))
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y, strict=True)])
-
-    scored = pairs.withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)
-    return scored.groupBy(block, a).agg(F.max_by(b, F.struct("ratio", b)).alias(b), F.max("ratio").alias("ratio"))
-
-
 def classify_change(old: Column, new: Column, phrase: str = r"(?iU)\brather than\b") -> Column:
     """added, removed, removed_surgical, reworded or none.
 

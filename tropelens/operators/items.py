@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tropelens.operators.order import numbered
 from tropelens.operators.sampling import hash_order
 
 
@@ -55,11 +58,13 @@ def both_ends(rows: DataFrame, metric: str, key: str, n: int) -> DataFrame:
 
 
 def reading_order(files: DataFrame, focus: list[str], repo: str = "repo") -> DataFrame:
-    """files (repo, path, kind, depth, reach, size) with `place` from 1 in their repository: in focus before others, then by
+    """files (repo, path, kind, depth, reach, size) with `place` from 1 in their repository: linked files and what
+    is in linked folders before others, then by
     kind, distance along imports (unreached last), vendored and test files after, shallow, small, and by path."""
     path = F.lower("path")
     tier = F.array_position(F.array(*map(F.lit, ("readme", "config", "code", "notebook", "test", "other"))), F.col("kind"))
-    focused = F.greatest(*(path.startswith(f.lower()).cast("int") for f in focus)) if len(focus) > 1 else path.startswith(focus[0].lower()).cast("int") if focus else F.lit(0)
+    linked = [f.rstrip("/") for f in focus]
+    focused = reduce(lambda a, b: a | b, ((F.col("path") == f) | F.col("path").startswith(f + "/") for f in linked), F.lit(False)).cast("int")
     vendored = path.rlike(r"(?:^|/)(?:vendor|third_party|node_modules|external)/").cast("int")
     order = [F.desc(focused), F.when(tier > 0, tier).otherwise(99), F.asc_nulls_last("reach"), vendored, F.col("depth"), F.col("size"), F.col("path")]
     return files.withColumn("place", F.row_number().over(Window.partitionBy(repo).orderBy(*order)))
@@ -178,18 +183,18 @@ def refilled(answered: DataFrame, pool: DataFrame, source: str, keys: list[str],
 
 def permuted(rows: DataFrame, label: str, key: str, replicates: int, stratum: str | None = None, seed: int = 13) -> DataFrame:
     """rows once for each replicate `rep`, with the labels dealt anew within each stratum: rows in the order of a hash of seed,
-    replicate and key take the labels of the rows in the order of their keys. A window holds one stratum of one replicate,
-    so that replicates spread; equal keys are not allowed for."""
+    replicate and key take the labels of the rows in the order of their keys. Places are counted in ranges of these orders, so
+    no task holds a replicate; equal keys are not allowed for."""
     part = [stratum] if stratum else []
-    base = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*(part or [F.lit(1)])).orderBy(key)))
-    labels = base.select(*(F.col(p).alias("__s") for p in part), "__at", F.col(label).alias("__label"))
+    base = numbered(rows, part, [key], "__at")
+    labels = base.select(*(F.col(p).alias("__s") for p in part), F.col("__at").alias("__place"), F.col(label).alias("__label"))
     reps = rows.drop(label).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string")))
-    reps = reps.withColumn("__at", F.row_number().over(Window.partitionBy("rep", *part).orderBy(order, key)))
+    reps = numbered(reps.withColumn("__order", order), ["rep", *part], ["__order", key], "__at").drop("__order")
+    on = F.col("__at") == F.col("__place")
     if stratum:
-        on = (F.col(stratum).eqNullSafe(F.col("__s"))) & (reps["__at"] == labels["__at"])
-        return reps.join(labels, on).drop("__s", "__at").withColumnRenamed("__label", label)
-    return reps.join(labels, "__at").drop("__at").withColumnRenamed("__label", label)
+        on &= F.col(stratum).eqNullSafe(F.col("__s"))
+    return reps.join(labels, on).drop("__s", "__at", "__place").withColumnRenamed("__label", label)
 
 
 def add_one_p(observed: float, replicates: DataFrame, value: str) -> DataFrame:

@@ -14,8 +14,12 @@ def gram_set(rows: DataFrame, n: int, keys: list[str] | None = None, tokens: str
     return rows.select(*keys, F.explode(F.array_distinct(ngrams(F.col(tokens), n))).alias("gram")).distinct()
 
 
-def positions(rows: DataFrame, key: str, n: int, tokens: str = "tokens") -> DataFrame:
-    return rows.select(key, F.posexplode(ngrams(F.col(tokens), n)).alias("at", "gram"))
+def hashed(rows: DataFrame, keys: list[str], n: int, tokens: str = "tokens") -> DataFrame:
+    """(keys, at, h, g): each n-gram's place from 0 and two hashes of it with different seeds, 128 bits together. No string of
+    an n-gram is built; two different ones agree in both with a chance of n^2 / 2^129."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    grams = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice(tokens, i, n)).alias("g")))
+    return rows.where(F.size(tokens) >= n).select(*keys, F.explode(grams).alias("x")).select(*keys, "x.*")
 
 
 def small_side(rows: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
@@ -27,9 +31,8 @@ def small_side(rows: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
 def shared(a: DataFrame, b: DataFrame, key_a: str, key_b: str, n: int) -> DataFrame:
     """(key_a, key_b, shared): distinct n-grams in common, for pairs that have any. a is the smaller side: while it is
     small, b's n-grams meet it where they are and only common ones are shuffled."""
-    left = small_side(gram_set(a, n, [key_a]))
-    right = b.select(key_b, F.explode(F.array_distinct(ngrams(F.col("tokens"), n))).alias("gram"))
-    return right.join(left, "gram").select(key_a, key_b, "gram").distinct().groupBy(key_a, key_b).agg(F.count(F.lit(1)).alias("shared"))
+    left = small_side(hashed(a, [key_a], n).drop("at").distinct())
+    return hashed(b, [key_b], n).join(left, ["h", "g"]).select(key_a, key_b, "h", "g").distinct().groupBy(key_a, key_b).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def log_odds(rows: DataFrame, key: str, positive: str, tokens: str, least_items: int = 4, strength: float = 10.0) -> DataFrame:

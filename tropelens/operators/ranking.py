@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tropelens.functions.stats import upper_tail
+from tropelens.functions.stats import student_tail, upper_tail
+from tropelens.operators.order import least_from, running_sum
+from tropelens.operators.repositories import settled
 
 
 def average_rank(value: str | Column, by: list[str] | None = None) -> Column:
@@ -15,36 +17,21 @@ def average_rank(value: str | Column, by: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*parts).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*parts, value)) - 1) / 2.0
 
 
-def rows_below(counts: DataFrame, value: str, n: str, by: list[str] | None = None, pieces: int = 128) -> DataFrame:
-    """counts (a row a value) with __below: the sum of n over smaller values of the group.
-
-    Values are cut at about equal quantiles into pieces; sums run inside a piece, and the pieces' totals before it are added.
-    So no window holds more than its part of the distinct values, and the result is the same with any cuts.
-    """
-    keys = by or []
-    cuts = counts.agg(F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 10_000).alias("c")).first()["c"] or []
-    ends = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    rows = counts.withColumn("__piece", F.size(F.filter(ends, lambda x: x < F.col(value))))
-    totals = rows.groupBy(*keys, "__piece").agg(F.sum(n).alias("__t"))
-    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
-    totals = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__piece"])), "__before")
-    inside = Window.partitionBy(*keys, "__piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    on = F.lit(True)
-    for i, k in enumerate([*keys, "__piece"]):
-        on &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    out = rows.join(totals if keys else F.broadcast(totals), on)  # without groups there are at most `pieces` totals
-    return out.withColumn("__below", F.col("__in") + F.col("__before")).drop("__piece", "__in", "__before", *(f"__k{i}" for i in range(len(keys) + 1)))
+def rows_below(counts: DataFrame, value: str, n: str, by: list[str] | None = None) -> DataFrame:
+    """counts (a row a value) with __below: the sum of n over smaller values of the group. counts is computed once, and no
+    window holds more than a range of the values."""
+    return running_sum(counts, by or [], [value], n, "__below")
 
 
 def mann_whitney(rows: DataFrame, value: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """Per group: n1, n0, U of the positives, AUC (ties count a half), the tie term sum(t^3 - t), and p two-sided, greater and
     less by the normal approximation with tie and continuity correction.
 
-    Counts per value are all that is needed, so raw rows are only pre-aggregated, never ranked.
+    Counts per value are all that is needed, so raw rows are only pre-aggregated, never ranked. Rows without a value or a
+    class don't count.
     """
     keys = by or []
+    rows = rows.where(F.col(value).isNotNull() & F.col(positive).isNotNull())
     v = rows.groupBy(*keys, value).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("t"))
     v = rows_below(v.withColumn("__n", F.col("t") - F.col("p")), value, "__n", keys)
     p, t = F.col("p").cast("double"), F.col("t").cast("double")
@@ -68,12 +55,14 @@ def mann_whitney(rows: DataFrame, value: str, positive: str, by: list[str] | Non
     )
 
 
-def signed_ranks(rows: DataFrame, difference: str) -> DataFrame:
-    """n (non-zero differences), W+, W- and the two-sided p without continuity correction. Rows are counted by the size of
-    their difference; ranks are never joined back to them."""
-    d = rows.where(F.col(difference) != 0).groupBy(F.abs(difference).alias("__abs")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(difference) > 0).cast("long")).alias("up"))
+def signed_ranks(rows: DataFrame, difference: str, by: list[str] | None = None) -> DataFrame:
+    """Per group n (non-zero differences), W+, W- and the two-sided p without continuity correction. Rows are counted by the
+    size of their difference; ranks are never joined back to them. Without groups an empty table gives a row of zeros."""
+    keys = by or []
+    d = rows.where(F.col(difference) != 0).groupBy(*keys, F.abs(difference).alias("__abs")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(difference) > 0).cast("long")).alias("up"))
     rank, t = F.col("__below") + (F.col("t") + 1) / 2.0, F.col("t").cast("double")
-    out = rows_below(d, "__abs", "t").agg(
+    below = rows_below(d, "__abs", "t", keys)
+    out = (below.groupBy(*keys) if keys else below).agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("up") * rank), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum((F.col("t") - F.col("up")) * rank), F.lit(0.0)).alias("w_minus"),
@@ -85,27 +74,50 @@ def signed_ranks(rows: DataFrame, difference: str) -> DataFrame:
     return out.withColumn("p", p).drop("__ties")
 
 
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """n and rho of two columns, over rows that have both. Rows are counted by pair of values; ranks meet those counts."""
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__c"))
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], most_rows: int = 500_000, how: str = "inner") -> DataFrame:
+    """Joins on keys where nulls match; right, a small table per key that is already computed, is broadcast only while it has few rows."""
+    right = right.toDF(*(f"__r_{c}" for c in right.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    out = left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how).drop(*(f"__r_{k}" for k in keys))
+    return out.withColumnsRenamed({c: c[4:] for c in out.columns if c.startswith("__r_")})
+
+
+def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """Per group n, rho and the two-sided p (Student's t with n - 2 degrees of freedom) of two columns, over rows that have
+    both. Rows are counted by pair of values; ranks meet those counts."""
+    keys = by or []
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__c"))
+    pairs = settled(pairs)
     for c in ("__x", "__y"):
-        one = rows_below(pairs.groupBy(c).agg(F.sum("__c").alias("__n")), c, "__n")
-        pairs = pairs.join(one.select(c, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(f"{c}r")), c)
-    n = pairs.agg(F.sum("__c").alias("n")).first()["n"] or 0
-    a, b, w = F.col("__xr") - (n + 1) / 2, F.col("__yr") - (n + 1) / 2, F.col("__c")
-    sums = pairs.agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
-    rho = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
-    return sums.select(F.lit(n).cast("long").alias("n"), rho.alias("rho"))
+        one = rows_below(pairs.groupBy(*keys, c).agg(F.sum("__c").alias("__n")), c, "__n", keys)
+        pairs = sized_join(pairs, settled(one.select(*keys, c, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(f"{c}r"))), [*keys, c])
+    # ranks lie around (n + 1) / 2: sums of the products of their distances from it give rho
+    w, a, b = F.col("__c").cast("double"), F.col("__xr"), F.col("__yr")
+    grouped = pairs.groupBy(*keys) if keys else pairs
+    sums = grouped.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n"), F.sum(w * a * b).alias("__ab"), F.sum(w * a * a).alias("__aa"), F.sum(w * b * b).alias("__bb"))
+    n = F.col("n").cast("double")
+    middle = n * (n + 1) * (n + 1) / 4
+    cross, one, two = F.col("__ab") - middle, F.col("__aa") - middle, F.col("__bb") - middle
+    rho = F.when((one > 0) & (two > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cross / F.sqrt(one * two))))
+    out = sums.withColumn("rho", rho).select(*keys, "n", "rho")
+    t2 = F.col("rho") * F.col("rho") * (n - 2) / (1 - F.col("rho") * F.col("rho"))
+    p = F.when((F.col("n") > 2) & (F.abs("rho") < 1), student_tail(t2, n - 2)).when((F.col("n") > 2) & (F.abs("rho") >= 1), 0.0)
+    return out.withColumn("p", p)
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
-    """rows with q. Ties share the largest rank's value, as a running minimum from the end gives it."""
-    keys = [F.col(c) for c in by or []]
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = rows.withColumn("__m", m).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(p)))
-    w = Window.partitionBy(*keys).orderBy("__r").rowsBetween(0, Window.unboundedFollowing)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(w))
-    return ranked.withColumn("q", q).drop("__m", "__r")
+    """rows with q: the least p * m / rank of its own and larger p. Equal p share the largest rank. Rows without p have no q
+    and don't count as tests. Ranks and minima are taken over distinct p, in ranges."""
+    keys = by or []
+    rows = settled(rows)
+    counts = running_sum(rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n")), keys, [p], "__n", "__below")
+    counts = settled(counts)
+    m = settled((counts.groupBy(*keys) if keys else counts).agg(F.sum("__n").alias("__m")))
+    counts = sized_join(counts, m, keys) if keys else counts.join(F.broadcast(m))
+    ratio = F.col(p) * F.col("__m") / (F.col("__below") + F.col("__n"))
+    least = least_from(counts, keys, [p], ratio, "__q")
+    least = settled(least.select(*keys, p, F.least(F.lit(1.0), "__q").alias("q")))
+    return sized_join(rows, least, [*keys, p], how="left")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

@@ -188,7 +188,8 @@ def wilcoxon_wplus(spark, d):
 RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
 
 
-@query("spearman_rho", f"WITH r AS (SELECT {RANK.format(c='l_quantity')} AS x, {RANK.format(c='l_extendedprice')} AS y FROM lineitem) SELECT count(*)::BIGINT AS n, round(corr(x, y), 6) AS rho FROM r")
+@query("spearman_rho", f"""WITH r AS (SELECT {RANK.format(c='l_quantity')} AS x, {RANK.format(c='l_extendedprice')} AS y FROM lineitem), c AS (SELECT count(*) AS n, corr(x, y) AS rho FROM r), t AS (SELECT n, rho, rho * rho * (n - 2) / (1 - rho * rho) AS t2 FROM c)
+    SELECT n::BIGINT AS n, round(rho, 6) AS rho, round(2 * {stats.tail_sql('((1 - 1 / (4.0::DOUBLE * (n - 2))) * sqrt(t2 / (1 + t2 / (2.0::DOUBLE * (n - 2)))))')}, 6) AS p FROM t""")
 def spearman_rho(spark, d):
     return rounded(ranking.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
 

@@ -1,4 +1,4 @@
-"""Queries of sections, resampling, partners, preferences."""
+"""Queries of sections, replicates, partners, preferences."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tropelens.functions import text as tx
-from tropelens.operators import preferences, resampling, sections
+from tropelens.operators import preferences, replicates, sections
 from tropelens.plans.base import query, rounded
 from tropelens.plans.demo import count_sql, demo, demo_sql, table
 
@@ -67,13 +67,13 @@ def shift_partner(spark, d):
 
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
-    return rounded(resampling.bootstrap_mean(table(spark, d, "labels"), "toxic", "doc_id", 500))
+    return rounded(replicates.bootstrap_mean(table(spark, d, "labels"), "toxic", "doc_id", 500))
 
 
 @query("permutation_test")
 def permutation_test(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("bad", F.col("toxic") == 1)
-    return rounded(resampling.permutation_difference(rows, "n_chars", "bad", "doc_id", 300))
+    return rounded(replicates.permutation_difference(rows, "n_chars", "bad", "doc_id", 300))
 
 
 @query(

@@ -165,7 +165,7 @@ def pat_instances(spark, d):
 def pat_substitution(spark, d):
     """Rank correlation of the changes of two phrases between versions."""
     rows = demo(spark, d).select(*((match_count(F.col("text"), p) - match_count(F.col("v1"), p)).alias(p.pattern_id) for p in PATTERNS[:2]))
-    return rounded(ranking.spearman(rows, "rather_than", "instead_of"))
+    return rounded(ranking.spearman(rows, "rather_than", "instead_of").drop("p"))
 
 
 @query("pat_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{p.pattern_id}', {p.tier}::BIGINT)" for p in PATTERNS) + ") t(pattern_id, tier)")

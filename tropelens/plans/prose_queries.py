@@ -343,3 +343,21 @@ def contrast_frames(spark, d):
     """Shares of frame, X, Y, root, subject, tag, dependency and arc patterns in sentences with the phrase."""
     rows = contrasts(spark, d)
     return syntax.pattern_shares(rows, "f", patterns=syntax.contrast_patterns(F.col("tokens"), F.col("start"), F.col("lead")))
+
+
+@query(
+    "deleted_clauses",
+    rf"""WITH {demo_sql()}, {SENT}, q AS (SELECT doc_id, pos, sentence AS s, strpos(lower(sentence), 'rather than') - 1 AS a FROM sent WHERE contains(lower(sentence), 'rather than')),
+    y AS (SELECT *, regexp_extract(substr(s, a + 12), '^{S}*([^ \t\n\x0B\f\r]+)', 1) AS y, length(regexp_extract(substr(s, a + 12), '^{S}*', 0)) AS gap FROM q),
+    k AS (SELECT *, substr(s, 1, a) AS l, substr(s, a + 12 + gap + length(y)) AS r FROM y),
+    c AS (SELECT *, regexp_replace(r, '^{S}*(?:,{S}*)?', '') AS o, regexp_matches(l, ', *$') AND starts_with(r, ',') AS paired FROM k),
+    h AS (SELECT *, CASE WHEN paired THEN regexp_replace(l, ', *$', '') || r[2:] ELSE rtrim(l, ' ') || r END AS j FROM c)
+    SELECT doc_id, pos::BIGINT AS pos, CASE WHEN regexp_matches(l, '[A-Za-z0-9]') THEN regexp_replace(regexp_replace(j, '{S}+([.,;:!?)])', '\1', 'g'), '{S}{{2,}}', ' ', 'g') WHEN o <> '' THEN l || upper(o[1]) || o[2:] END AS deleted FROM h""",
+)
+def deleted_clauses(spark, d):
+    """Sentences with the phrase, without it and the word after it."""
+    rows = corpus.sentences_with(demo(spark, d).select("doc_id", "text"), "rather than")
+    at = F.locate("rather than", F.lower("sentence")) - 1
+    rows = rows.select("doc_id", long("pos").alias("pos"), "sentence", at.alias("local_start"), (at + 11).alias("local_end"))
+    rows = rows.withColumn("y", F.regexp_extract(F.expr("substring(sentence, local_end + 1)"), rf"^{S}*([^ \t\n\x0B\f\r]+)", 1))
+    return passages.deleted(rows).select("doc_id", "pos", "deleted")

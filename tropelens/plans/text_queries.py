@@ -162,7 +162,7 @@ def ngram_overlap(spark, d):
 def longest_copy_run(spark, d):
     items = table(spark, d, "benchmark").select(tx.az_tokens(F.col("text")).alias("tokens"))
     docs = table(spark, d, "documents").select("doc_id", tx.az_tokens(F.col("text")).alias("tokens"))
-    hits = ngrams.positions(docs, "doc_id", 8).join(ngrams.small_side(ngrams.gram_set(items, 8)), "gram", "left_semi")
+    hits = ngrams.hashed(docs, ["doc_id"], 8).join(ngrams.small_side(ngrams.hashed(items, [], 8).select("h", "g").distinct()), ["h", "g"], "left_semi")
     return ranking.longest_runs(hits, ["doc_id"], "at").select("doc_id", (F.col("longest") + 7).alias("words"))
 
 

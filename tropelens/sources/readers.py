@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tropelens.sources.records import judged, numbered_lines, text_field
+
 RECORD = "doc_id string, title string, n_references int, total_chars long, chars_covered long, sections array<struct<category string, heading string, text string>>"
 REGISTRY = "batch string, corpus string, doc_id string"
 
@@ -42,18 +44,14 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def valid_records(spark: SparkSession, path: str, schema: str = RECORD, required: tuple[str, ...] = ("doc_id", "title")) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): rejected rows have line and reason. Lines that aren't JSON objects, rows without a required value
-    and repeated ids (the first stays) are rejected."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    rows = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    broken = ~F.trim("value").startswith("{") | F.try_parse_json("value").isNull()
-    missing = reduce(lambda a, b: a | b, (F.coalesce(F.trim(F.col(f"r.{c}")), F.lit("")) == "" for c in required))
-    rows = rows.withColumn("reason", F.when(broken, "not a JSON object").when(missing, "missing value"))
-    ok = rows.where("reason is null").withColumn("__id", F.col(f"r.{required[0]}"))
-    first = ok.groupBy("__id").agg(F.min("line").alias("line"))
-    valid = ok.join(first, ["__id", "line"], "left_semi").select("line", "r.*")
-    repeats = ok.join(first, ["__id", "line"], "left_anti").select("line", F.lit("repeated id").alias("reason"))
-    return valid.orderBy("line").drop("line"), rows.where("reason is not null").select("line", "reason").union(repeats)
+    """(valid, rejected): rejected rows have file, line, doc_id and reason. Lines that aren't JSON objects, rows without a required
+    string, ids that an earlier row took (valid or not) and file names that differ from an earlier one in case only are
+    rejected. Valid rows have the schema's columns, in the order of the lines."""
+    lines = numbered_lines(spark, path).withColumn("v", F.try_parse_json("value"))
+    checks = [(text_field(F.col("v"), f"$.{c}").isNull(), f"missing {c}") for c in required[1:]]
+    rows = judged(lines, checks, required[0])
+    valid = rows.where("reason is null").withColumn("r", F.from_json("value", schema)).orderBy("file", "line").select("r.*")
+    return valid, rows.where("reason is not null").select("file", "line", F.col("id").alias("doc_id"), "reason")
 
 
 def by_ids(spark: SparkSession, path: str, ids: list[str], key: str = "doc_id") -> DataFrame:
