@@ -287,7 +287,7 @@ def test_views_share_no_features():
 
 
 def test_blocks_write_no_documents(spark):
-    """Twenty blocks of test windows: the postings are written once, and a block's findings stay small."""
+    """Sixty blocks of test windows (items of eleven windows, cut in blocks of five): the postings are written once, and a block's findings stay small."""
     rng = random.Random(3)
     rows = [(k, prose(rng, 300)) for k in range(60)]
     items = [(k, " ".join(rows[k][1].split()[20:40])) for k in range(20)]
@@ -297,7 +297,7 @@ def test_blocks_write_no_documents(spark):
     want = Counter((i, *brute_hits(t, items)) for i, t in rows)
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect()) == want
     new = Counter(x.split("-")[0] for x in set(os.listdir(folder)) - before)
-    assert new == {"postings": 1, "findings": 20}
+    assert new == {"postings": 1, "findings": 60}
 
 
 def test_unconnected_classes_of_one_bucket(spark):
@@ -396,3 +396,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = Counter((r["doc_id"], r["text"], r["source"], r["copy"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and want
     assert corpus_pipeline.mix(spark, empty(spark), str(tmp_path)).count() == 0
+
+
+def test_a_long_item_is_cut_over_blocks(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 60)}" for _ in range(64)]
+    blocks = list(decontaminate.benchmark_blocks(spark.createDataFrame([(1, " ".join(words)), (2, "a b"), (3, ""), (4, None), (5, "w1 " * 10)], "i long, t string"), "i", "t", 10, 16))
+    assert all(len(b.matrix) <= 16 for b in blocks) and len(blocks) == 4
+    rows = [(k, " ".join(words[a:b])) for k, (a, b) in enumerate([(0, 64), (3, 30), (10, 25), (50, 64), (20, 29)])] + [(9, " ".join(words[:30] + ["x"] + words[31:])), (10, "none here")]
+    items = [(1, " ".join(words)), (2, "a b")]
+    got = []
+    for block in (1 << 18, 16, 7):
+        out = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+        got.append(sorted((r["doc_id"], r["n_hit"], tuple(r["hit_spans"]), tuple(r["items"]), r["n_near"], tuple(r["near_items"]), tuple(r["near_spans"])) for r in out.collect()))
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0] if r[1]} == {0, 1, 2, 3, 9}

@@ -283,16 +283,27 @@ class Shard:
         return out
 
 
+def item_parts(words: list[bytes], width: int, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of windows, words) of an item, cut so that a part has at most `most` windows: parts overlap by width - 1 words,
+    and every window is in exactly one. Items without words have none."""
+    windows = max(1, len(words) - width + 1) if words else 0
+    for k in range(0, windows, most):
+        n = min(most, windows - k)
+        yield n, words[k : k + n + width - 1]
+
+
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_windows: int) -> Iterator[TestWindows]:
-    """The test items in blocks of at most about block_windows windows, one at a time on the driver."""
+    """The test items in blocks of at most block_windows windows, one at a time on the driver. A long item is cut over blocks;
+    findings of all blocks are united under its id."""
     items, windows = [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), as_bytes(F.col(text_col)).alias("text")).orderBy("item", "text")
     for row in rows.toLocalIterator():
-        items.append((row["item"] or "", bytes(row["text"])))
-        windows += max(1, len(items[-1][1]) // 4)
-        if windows >= block_windows:
-            yield TestWindows(items, width)
-            items, windows = [], 0
+        for n, words in item_parts(words_of(bytes(row["text"])), width, block_windows):
+            if windows + n > block_windows:
+                yield TestWindows(items, width)
+                items, windows = [], 0
+            items.append((row["item"] or "", b" ".join(words)))
+            windows += n
     if items:
         yield TestWindows(items, width)
 
@@ -314,7 +325,7 @@ def contamination(
     proximity, without the phrase as a whole. near_items and near_spans (as hit_spans) are the items and places of windows
     with changes: at least four in five of their terms, in order, within `slop` of their due places (see near_search).
 
-    The benchmark is a query set: its blocks, each bounded by block_windows, meet the stored index one after the other, and
+    The benchmark is a query set: its blocks, each of at most block_windows windows (a long item is cut over blocks), meet the stored index one after the other, and
     the findings of all blocks are joined to the documents at the end; no block reads or moves a document. n_hit counts the
     union of the blocks' hit words. hit_spans has the hit runs as word numbers: start, end, start, end ...
 

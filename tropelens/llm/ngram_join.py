@@ -300,7 +300,7 @@ def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.select("a", "b", "common", (F.col("common") / union).alias("jaccard"), (100 * F.col("common") >= 75 * union).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hot_entries: int = 50_000, salts: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hot_entries: int = 50_000, salts: int = 64, lane_bytes: int = LANE_BYTES) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, its own included), class_id.
 
     Two documents link when the Jaccard similarity of their sets of distinct `width`-word shingles (A-Z lower-cased; a
@@ -308,10 +308,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Repeated rows are each returned, and link as documents with equal sets do. Ids are whole numbers; a row with
     a null id gets its n_shingles, links nothing and has a null component. An empty table gives an empty result. Very long
     texts are hashed whole; ties in the order of shingles go by their hash. Extra columns are ignored. Shingles and classes
-    are compared under 64-bit hashes.
+    are compared under 64-bit hashes. A task holds the packed shingles of lane_bytes of text; for many TB take more.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(F.col(text_col)).alias("text"))
-    table = classes(base.where("id is not null"), width)
+    table = classes(base.where("id is not null"), width, lane_bytes=lane_bytes)
     members = table.where("n_single < 0").select("id", "class", "n_shingles")
     candidates = table.where("n_single >= 0").drop("id")
     rows = entries(candidates)
