@@ -15,6 +15,7 @@ from tropelens.functions.text import SECTIONS
 ALIASES = {alias: category for category, names in SECTIONS.items() for alias in names}
 NUMBER = re.compile(r"^(?:\d+(?:\.\d+)*\.?|[A-Z]\.)\s+")
 SECTION = "pos int, category string, heading string, text string"
+# Categories that end a paper's own text.
 BACK_MATTER = ("limitations", "ethics", "acknowledgments", "author_contributions", "references", "appendix", "conclusion")
 
 
@@ -29,10 +30,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
         at += len(line) + 1
 
 
-def split(text: str, least_abstract: int = 300) -> list[tuple[str, str, str]]:
+def split(text: str, least_abstract: int = 300, aliases: dict[str, str] = ALIASES) -> list[tuple[str, str, str]]:
     """(category, heading, text) whose texts put together are the whole text. What stands before the first heading is front
     matter, and its last paragraph the abstract if it is long enough."""
-    heads = [(a, ALIASES[name], line) for a, _, line in candidates(text) if (name := NUMBER.sub("", line).strip().lower()) in ALIASES]
+    heads = [(a, aliases[name], line) for a, _, line in candidates(text) if (name := NUMBER.sub("", line).strip().lower()) in aliases]
     first = heads[0][0] if heads else len(text)
     front, out = text[:first], []
     cut = None
@@ -48,23 +49,23 @@ def split(text: str, least_abstract: int = 300) -> list[tuple[str, str, str]]:
     return [s for s in out if s[2]]
 
 
-def section_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per section: key, pos, category, heading, text."""
+def section_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """A row per section: key, pos, category, heading, text. aliases: lower-cased headings without their number -> category."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(d, k, *s) for d, t in zip(batch[key], batch["__t"], strict=True) for k, s in enumerate(split(t))], columns=[key, "pos", "category", "heading", "text"])
+            yield pd.DataFrame([(d, k, *s) for d, t in zip(batch[key], batch["__t"], strict=True) for k, s in enumerate(split(t, aliases=aliases))], columns=[key, "pos", "category", "heading", "text"])
 
     return docs.select(key, F.col(text).alias("__t")).where("__t is not null").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {SECTION}")
 
 
-def unmatched_headings(docs: DataFrame, n: int = 50, text: str = "text") -> DataFrame:
+def unmatched_headings(docs: DataFrame, n: int = 50, text: str = "text", aliases: dict[str, str] = ALIASES) -> DataFrame:
     """The most common heading-shaped lines that no category knows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names = [NUMBER.sub("", line).strip().lower() for t in batch["__t"] for _, _, line in candidates(t)]
-            yield pd.DataFrame({"heading": [x for x in names if x not in ALIASES]})
+            yield pd.DataFrame({"heading": [x for x in names if x not in aliases]})
 
     rows = docs.select(F.col(text).alias("__t")).where("__t is not null").mapInPandas(run, "heading string")
     return rows.groupBy("heading").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "heading").limit(n)

@@ -29,24 +29,24 @@ BACKED = "concat(text, '\n\nConclusion\n\nWe end here.\n\nReferences\n\n[1] A bo
 
 @query(
     "back_matter",
-    "SELECT doc_id, length(text)::BIGINT + 53 AS kept, true AS truncated FROM documents WHERE text IS NOT NULL",
+    r"SELECT doc_id, length(text)::BIGINT + 53 AS kept, md5(text || replace('||Conclusion||We end here.||References||[1] A book.||', '|', chr(10))) AS body_md5, true AS truncated FROM documents WHERE text IS NOT NULL",
 )
 def back_matter(spark, d):
     """Texts with a conclusion, references and methods put behind them: cut after the references, the last section of the back matter."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.expr(BACKED).alias("text"))
     out = sections.without_back_matter(sections.section_rows(rows))
-    return rounded(out.select("doc_id", F.length("body").alias("kept"), "truncated"))
+    return rounded(out.select("doc_id", F.length("body").alias("kept"), F.md5(F.col("body").cast("binary")).alias("body_md5"), "truncated"))
 
 
 @query(
     "stripped_references",
-    "SELECT doc_id, length(text)::BIGINT + 9 AS kept, true AS cut FROM documents WHERE text IS NOT NULL",
+    "SELECT doc_id, length(text)::BIGINT + 9 AS kept, md5(text || chr(10) || 'Finally' || chr(10)) AS body_md5, true AS cut FROM documents WHERE text IS NOT NULL",
 )
 def stripped_references(spark, d):
     """Texts with two headings of references behind them, cut before the last one."""
     t = F.concat("text", F.lit("\nFinally\nReferences.\n[1] A book, with References inside a line.\n"))
     kept, cut = tx.strip_references(t)
-    return rounded(table(spark, d, "documents").where("text is not null").select("doc_id", F.length(kept).alias("kept"), cut.alias("cut")))
+    return rounded(table(spark, d, "documents").where("text is not null").select("doc_id", F.length(kept).alias("kept"), F.md5(kept.cast("binary")).alias("body_md5"), cut.alias("cut")))
 
 
 @query("section_rates")

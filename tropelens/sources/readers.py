@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tropelens.operators.bundles import is_generated
 from tropelens.sources.records import judged, numbered_lines, text_field
 
 RECORD = "doc_id string, title string, n_references int, total_chars long, chars_covered long, sections array<struct<category string, heading string, text string>>"
@@ -119,8 +120,10 @@ def union_view(parts: list[DataFrame], key: str) -> DataFrame:
 
 
 def repository_files(spark: SparkSession, path: str, most_bytes: int = 500_000, skip: str = r"/(?:\.git|node_modules|__pycache__|venv|build|dist)/") -> DataFrame:
-    """(path, sha1, bytes, text) of text files; folders to skip, large, binary and repeated contents are left out."""
+    """(path, sha1, bytes, text) of text files; folders to skip, large, binary (with a zero byte near the beginning), generated (lines
+    of over 300 characters on average) and repeated contents are left out; of equal contents the first path stays."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(skip) & (F.col("length") <= most_bytes))
-    rows = rows.where(F.instr(F.hex(F.substring("content", 1, 4000)), "0000") == 0).withColumn("sha1", F.sha1("content"))
+    rows = rows.where(~F.contains(F.substring("content", 1, 8192), F.lit(b"\x00"))).withColumn("sha1", F.sha1("content"))
+    rows = rows.withColumn("text", decoded(F.col("content"))).where(~is_generated(F.col("text")))
     first = rows.groupBy("sha1").agg(F.min("path").alias("path"))
-    return rows.join(first, ["sha1", "path"], "left_semi").select("path", "sha1", F.col("length").alias("bytes"), decoded(F.col("content")).alias("text"))
+    return rows.join(first, ["sha1", "path"], "left_semi").select("path", "sha1", F.col("length").alias("bytes"), "text")
