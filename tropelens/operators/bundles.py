@@ -173,6 +173,7 @@ def facts(files: DataFrame) -> DataFrame:
         F.when(says, all_matches(text, (RUN_FILE, 1))).otherwise(none).alias("runs"),
         F.when(says, all_matches(text, (RUN_MODULE, 1))).otherwise(none).alias("modules"),
     )
+    rows = settled(rows)  # texts are read once, and later plans don't repeat these expressions
     first = rows.groupBy("repo", "digest").agg(F.min("path").alias("path"))
     return rows.join(first, ["repo", "digest", "path"], "left_semi").drop("digest")
 
