@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tropelens.functions.text import ngrams
 
 
+#: Odd factors of the two rolling hashes.
+FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def gram_set(rows: DataFrame, n: int, keys: list[str] | None = None, tokens: str = "tokens") -> DataFrame:
     """(keys, gram) without repeats; repeats inside a row go before anything is shuffled."""
     keys = keys or []
@@ -15,11 +24,35 @@ def gram_set(rows: DataFrame, n: int, keys: list[str] | None = None, tokens: str
 
 
 def hashed(rows: DataFrame, keys: list[str], n: int, tokens: str = "tokens") -> DataFrame:
-    """(keys, at, h, g): each n-gram's place from 0 and two hashes of it with different seeds, 128 bits together. No string of
-    an n-gram is built; two different ones agree in both with a chance of n^2 / 2^129."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice(tokens, i, n)).alias("g")))
-    return rows.where(F.size(tokens) >= n).select(*keys, F.explode(grams).alias("x")).select(*keys, "x.*")
+    """(keys, at, h, g): each n-gram's place from 0 and two 64-bit hashes of it. Words are hashed one by one, and rolled together in
+    arrays, a chunk of rows at a time; no string of an n-gram is built. Two different n-grams agree in both only if their words'
+    hashes do, with a chance of about words^2 / 2^65, or by a chance of n-grams^2 / 2^129."""
+    narrow = rows.where(F.size(tokens) >= n).select(*keys, F.transform(F.col(tokens), lambda w: F.xxhash64(w)).alias("__w"))
+    schema = StructType([*narrow.drop("__w").schema.fields, StructField("at", IntegerType()), StructField("h", LongType()), StructField("g", LongType())])
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("__w")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ends = np.cumsum(sizes)
+            start = 0
+            while start < len(sizes):  # rows of about a million words together
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + (1 << 20), side="right")))
+                many = sizes[start:stop] - (n - 1)
+                row = np.repeat(np.arange(start, stop), many)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                first, sums = (ends - sizes)[row] + at, []
+                for factor in FACTORS:
+                    h = np.zeros(len(row), dtype=np.uint64)
+                    for k in range(n):
+                        h = h * factor + words[first + k]
+                    sums.append(pa.array((h ^ (h >> np.uint64(32))).view(np.int64)))
+                kept = batch.select(keys).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at.astype(np.int32)), *sums], names=schema.names)
+                start = stop
+
+    return narrow.mapInArrow(roll, schema)
 
 
 def small_side(rows: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:

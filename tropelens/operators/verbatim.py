@@ -13,10 +13,10 @@ from tropelens.operators.repositories import settled
 def matched(texts: DataFrame, sources: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(key, kind, at, h, g): places of n-grams of a text that its source has and the source's abstract hasn't.
 
-    texts: key, tokens; sources: source, tokens, abstract (tokens); pairs: key, kind, source. n-grams are matched as hashes with
+    texts: key, tokens (or their hashed n-grams); sources: source, tokens, abstract (tokens); pairs: key, kind, source. n-grams are matched as hashes with
     the text's key, so a long text or a common phrase is spread over tasks like any other.
     """
-    grams = hashed(texts, ["key"], n)
+    grams = texts if {"h", "g"} <= set(texts.columns) else hashed(texts, ["key"], n)
     mine = hashed(sources, ["source"], n).drop("at").distinct().join(pairs, "source").drop("source")
     given = hashed(sources.drop("tokens").withColumnRenamed("abstract", "tokens"), ["source"], n).drop("at").distinct().join(pairs, "source").drop("source")
     fresh = mine.join(given, ["key", "kind", "h", "g"], "left_anti")
@@ -43,8 +43,9 @@ def overlap(texts: DataFrame, sources: DataFrame, pairs: DataFrame, sizes: tuple
     sources = settled(sources.select("source", F.coalesce("tokens", empty).alias("tokens"), F.coalesce("abstract", empty).alias("abstract")))
     out = pairs.select("key", "kind")
     for n in sizes:
-        hits = settled(matched(texts, sources, pairs, n))
-        all_grams = hashed(texts, ["key"], n).select("key", "h", "g").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("__all"))
+        grams = hashed(texts, ["key"], n)
+        hits = settled(matched(grams, sources, pairs, n))
+        all_grams = grams.select("key", "h", "g").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("__all"))
         found = hits.select("key", "kind", "h", "g").distinct().groupBy("key", "kind").agg(F.count(F.lit(1)).alias("__own"))
         out = out.join(all_grams, "key", "left").join(found, ["key", "kind"], "left")
         out = out.withColumn(f"share{n}", F.when(F.col("__all") > 0, 100.0 * F.coalesce("__own", F.lit(0)) / F.col("__all"))).drop("__all", "__own")
