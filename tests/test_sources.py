@@ -121,7 +121,6 @@ SCHEMA = "rater string, item long, ts timestamp, n long, label string"
 
 def test_stream_writes_changed_keys_only(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    at = "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {m}, 0)"
     source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "ck"))
 
     def batch(rows):
@@ -133,7 +132,6 @@ def test_stream_writes_changed_keys_only(spark, tmp_path):
         assert query.exception() is None
         return {(r["rater"], r["item"], r["label"]) for r in spark.read.parquet(target).collect()}
 
-    assert at
     one = batch([("A", 1, 1, 1, "x"), ("A", 1, 3, 2, "y"), ("A", 1, 2, 3, "old"), ("B", 1, 1, 4, "z"), ("B", 2, 1, 5, None), (None, 2, 1, 6, "none")])
     assert one == {("A", 1, "y"), ("B", 1, "z"), ("B", 2, None)}
     two = batch([("A", 1, 2, 9, "late"), ("B", 1, 1, 10, "tie wins"), ("C", 1, 5, 11, "new")])  # a restart: state comes back
