@@ -140,3 +140,20 @@ def test_settled_needs_a_shared_folder_on_clusters():
 
     with pytest.raises(RuntimeError):
         repositories.settled(Frame())
+
+
+def test_copies_count_in_queries(spark, tmp_path):
+    """Documents 4510 apart have the same head, so equal texts make equal files: the queries' SQL keeps both."""
+    import duckdb
+
+    from tropelens.plans import bundle_queries  # noqa: F401
+    from tropelens.plans.base import QUERIES, SQL
+
+    docs = spark.createDataFrame([(i, "One line. Another.", "s") for i in (5, 4515, 6, 17)], "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("import_edges", "bundle_tiers", "bundle_trees"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.sql(SQL[name])
+        assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall())), name

@@ -151,9 +151,9 @@ def all_matches(text: Column, *groups: tuple[str, int]) -> Column:
     return F.array_distinct(F.filter(F.concat(*(F.regexp_extract_all(text, F.lit(rx), F.lit(g)) for rx, g in groups)), lambda x: x != ""))
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, copies: bool = False) -> DataFrame:
     """Per candidate file, without its text: repo, path, kind, size, vendored, support, cli, imports, runs, modules. Of equal
-    texts in a repository the one with the smallest path counts; generated, empty and unclassified files don't."""
+    texts in a repository the one with the smallest path counts, with `copies` all; generated, empty and unclassified files don't."""
     rows = files.where("repo is not null and path is not null").select("repo", "path", bundle_kind(F.col("path")).alias("kind"), F.coalesce("text", F.lit("")).alias("text")).where("kind is not null")
     rows = rows.withColumn("text", F.when(F.col("kind") == "notebook", notebook_text(F.col("text"))).otherwise(F.col("text")))
     rows = rows.where((F.btrim("text", F.lit(" \t\r\n\f\x0b")) != "") & ~(F.col("kind").isin("code", "notebook") & is_generated(F.col("text"))))
@@ -174,6 +174,8 @@ def facts(files: DataFrame) -> DataFrame:
         F.when(says, all_matches(text, (RUN_MODULE, 1))).otherwise(none).alias("modules"),
     )
     rows = settled(rows)  # texts are read once, and later plans don't repeat these expressions
+    if copies:
+        return rows.drop("digest")
     first = rows.groupBy("repo", "digest").agg(F.min("path").alias("path"))
     return rows.join(first, ["repo", "digest", "path"], "left_semi").drop("digest")
 
