@@ -28,3 +28,26 @@ def test_best_of():
     at, keys, sims = vectors.best_of(np.array([1, 0, 1, 1, 0]), np.array([9, 8, 7, 6, 5]), np.array([0.5, 0.1, 0.5, 0.9, 0.1]), 2)
     assert list(zip(at.tolist(), keys.tolist(), sims.tolist(), strict=True)) == [(0, 5, 0.1), (0, 8, 0.1), (1, 6, 0.9), (1, 7, 0.5)]
     assert pd.Series(at).is_monotonic_increasing
+
+
+def test_pieces_are_bounded():
+    """Every row once and in order; a piece has one row or at most so many characters."""
+    from tropelens.functions.batches import pieces
+
+    batch = pd.DataFrame({"k": range(7), "t": ["aaaa", None, "bb", "c" * 50, "", "dddd", "ee"], "u": ["", "x", "yy", None, "", "", "z"]})
+    got = list(pieces(batch, ["t", "u"], 8))
+    assert [k for p in got for k in p["k"]] == list(range(7))
+    assert [list(p["k"]) for p in got] == [[0, 1], [2], [3], [4, 5, 6]]
+    assert list(pieces(batch.iloc[:0], ["t", "u"])) == []
+
+
+def test_large_batch_is_returned_in_pieces(spark, monkeypatch):
+    """What a task makes of one batch comes out in several frames, with the same rows."""
+    from tropelens.operators import corpus
+
+    made = []
+    frame = spark.createDataFrame([(0, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, run, schema: made.append(run))
+    corpus.sentence_rows(frame)
+    out = list(made[0](iter([pd.DataFrame({"doc_id": range(400), "__t": ["One is here. Two is there. " * 400] * 400})])))
+    assert len(out) > 3 and sum(map(len, out)) == 400 * 800

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tropelens.functions.batches import pieces
+
 HUNK = "tag string, old_start int, removed array<string>, added array<string>, context_before array<string>, context_after array<string>"
 
 
@@ -25,7 +27,7 @@ def diff_hunks(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     rows = pairs.where(~F.col(old).eqNullSafe(F.col(new))).select(key, F.col(old).alias("__old"), F.col(new).alias("__new"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, ["__old", "__new"])):
             out = [(k, *h) for k, a, b in zip(batch[key], batch["__old"], batch["__new"], strict=True) for h in hunks_of(a, b)]
             yield pd.DataFrame(out, columns=[key, *names])
 

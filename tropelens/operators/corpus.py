@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tropelens.functions.batches import pieces
 from tropelens.functions.patterns import PATTERNS, Pattern, has_match, match_count, per_thousand, space_word_count, word_count
 from tropelens.functions.text import SENTENCE_END, sentences
 
@@ -68,11 +69,11 @@ def at_least(counts: DataFrame, column: str, thresholds: list[int]) -> DataFrame
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", end: str = SENTENCE_END) -> DataFrame:
     """A row per sentence: key, pos, start (characters), sentence as split. Starts add up along a text, so each text is cut
-    in its own row of an Arrow batch."""
+    in its own row of an Arrow batch, and batches are worked on in pieces of bounded size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rx = re.compile(end)
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, ["__t"])):
             out = []
             for k, t in zip(batch[key], batch["__t"], strict=True):
                 gaps = [m.span() for m in rx.finditer(t)]
@@ -127,7 +128,7 @@ def instances(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(p, re.compile(p.regex, re.I)) for p in patterns]
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, ["__t"])):
             yield pd.DataFrame([(k, *i) for k, t in zip(batch[key], batch["__t"], strict=True) for i in instances_of(t, compiled)], columns=names)
 
     return rows.mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {INSTANCE}")
