@@ -74,3 +74,11 @@ def test_section_names_are_a_table(spark):
     got = sections.section_rows(rows, aliases={"plan": "method"}).orderBy("pos").collect()
     assert [(r["category"], r["heading"]) for r in got] == [("front_matter", ""), ("method", "Plan")]
     assert {r["heading"] for r in sections.unmatched_headings(rows, aliases={"plan": "method"}).collect()} >= {"odd", "top"}
+
+
+def test_texts_are_counted_once(spark):
+    """The table is made from the counts' few rows; its plan doesn't go back to the texts."""
+    rows = spark.createDataFrame([("s", "body", "it is rather than that"), ("s", "abstract", "one two")], "source string, grp string, text string")
+    out = location.location_table(location.group_counts(rows, ["source"]), ["source"])
+    assert "text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.grp, r.uses, r.words) for r in out.collect()} == {("body", 1, 5), ("abstract", 0, 2), ("all", 1, 7), ("scoping", 0, 2)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tropelens.functions.patterns import PATTERNS, Pattern, has_match, match_count, word_count
 from tropelens.functions.text import let
+from tropelens.operators.repositories import settled
 
 # Groups, those that scope a claim, expressions of headings in the order in which they are tried, and the groups of
 # section categories.
@@ -70,7 +71,9 @@ def group_counts(rows: DataFrame, by: list[str], grp: str = "grp", text: str = "
 
 def location_table(counts: DataFrame, by: list[str]) -> DataFrame:
     """counts with rate (per 1,000 words of the group), share (percentage of all uses), and word_share; and for each `by` two more
-    rows, `all` and `scoping` (abstract, conclusion and limitations together). Ratios of sums; null where there is nothing."""
+    rows, `all` and `scoping` (abstract, conclusion and limitations together). Ratios of sums; null where there is nothing. The counts
+    are used four times and computed once."""
+    counts = settled(counts)
     total = counts.groupBy(*by).agg(F.sum("uses").alias("__u"), F.sum("words").alias("__w"))
     more = [counts.withColumn("grp", F.lit("all")), counts.where(F.col("grp").isin(*SCOPING)).withColumn("grp", F.lit("scoping"))]
     rows = counts
