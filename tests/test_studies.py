@@ -230,3 +230,17 @@ def test_tells_model_against_numpy(spark):
     assert list(got) == ["listed", "phrases", "initial", "length", "stratum mid", "stratum small"]
     assert [got[t]["coefficient"] for t in got] == pytest.approx(w[1:].tolist(), abs=1e-6) and [got[t]["error"] for t in got] == pytest.approx(se[1:].tolist(), abs=1e-6)
     assert got["listed"]["mean_true"] == pytest.approx(np.mean([r[2][0] for r in rows if r[1]]))
+
+
+def test_subsequence_bounds_similarity():
+    """The bound holds for every pair, and is far under the bag of characters for texts in another order."""
+    import random
+
+    from tropelens.operators.revisions import letter_places, most_similar, similarity
+
+    rng = random.Random(4)
+    texts = ["", "a", "ab" * 40, "ba" * 40] + ["".join(rng.choice("abcde é\U0001f600") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    for a in texts:
+        for b in texts[:20]:
+            assert similarity(a, b) <= most_similar(a, len(b), letter_places(b)) <= 1.0
+    assert most_similar("abcdefgh", 8, letter_places("hgfedcba")) == 2 / 16

@@ -38,6 +38,25 @@ def similarity(candidate: str, sentence: str) -> float:
     return difflib.SequenceMatcher(None, candidate, sentence, autojunk=False).ratio()
 
 
+def letter_places(text: str) -> dict[str, int]:
+    """Where each character stands in a text, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def most_similar(candidate: str, size: int, places: dict[str, int]) -> float:
+    """The ratio that `similarity` can't exceed, by the longest common subsequence with a sentence of `size` characters: matching
+    blocks stand in the same order on both sides. All places of the sentence are worked on together, as bits."""
+    full = rest = (1 << size) - 1
+    for c in candidate:
+        hit = rest & places.get(c, 0)
+        rest = ((rest + hit) | (rest - hit)) & full
+    total = size + len(candidate)
+    return 2.0 * (size - rest.bit_count()) / total if total else 1.0
+
+
 def length_band(n: Column, least: float) -> Column:
     """Texts whose lengths allow a ratio of `least` are in the same band or in neighbouring ones."""
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log((2 - least) / least)).cast("int")
@@ -78,7 +97,8 @@ def closest(sources: DataFrame, targets: DataFrame, key: str, least: float = 0.6
     with the highest ratio; of equals the one that stands later.
 
     A target equal to the source has ratio 1 and needs no comparison, which settles most sentences. For the others, pairs are
-    compared in the order of their bounds, until no bound reaches the best ratio of the source's slice.
+    compared in the order of their bounds, until no bound reaches the best ratio of the source's slice; a pair whose longest common
+    subsequence can't reach it isn't compared either.
     """
     sources = settled(sources.where("sentence is not null").select(key, "pos", "sentence"))
     targets = settled(targets.where("sentence is not null").select(key, "pos", "sentence"))
@@ -91,7 +111,7 @@ def closest(sources: DataFrame, targets: DataFrame, key: str, least: float = 0.6
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pair_schema) + ", ratio double, match_pos long, match string"
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, top, found = None, least, None
+        now, top, found, places = None, least, None, {}
         for batch in batches:
             rows = []
             for k, pos, sentence, other, text, bound in batch[[key, "pos", "sentence", "other", "text", "bound"]].itertuples(index=False):
@@ -99,7 +119,8 @@ def closest(sources: DataFrame, targets: DataFrame, key: str, least: float = 0.6
                     if found:
                         rows.append((*now, *found))
                     now, top, found = (k, pos), least, None
-                if bound < top:
+                    places = letter_places(sentence)
+                if bound < top or most_similar(text, len(sentence), places) < top:
                     continue
                 r = similarity(text, sentence)
                 if r >= least and (found is None or (r, other) > found[:2]):
