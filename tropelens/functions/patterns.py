@@ -47,7 +47,7 @@ def flagged(regex: str) -> str:
 
 def lowered(text: Column) -> Column:
     """Lower case; the long s counts as s, as it does when case is ignored."""
-    return F.lower(F.translate(text, "\u017f", "s"))
+    return F.lower(F.replace(text, F.lit("\u017f"), F.lit("s")))
 
 
 def match_count(text: Column, pattern: Pattern) -> Column:
@@ -64,7 +64,7 @@ def has_match(text: Column, pattern: Pattern) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"{WORD}+")), F.lit(0)).cast("long")  # without backing off
 
 
 def space_word_count(text: Column) -> Column:
