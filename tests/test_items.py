@@ -118,6 +118,40 @@ def test_revision_sets(spark):
     assert len(got) == 2 and (0, "removed") in got and {f for _, f in got} == {"removed", "kept"}
 
 
+def test_revision_sets_make_their_rows_once(spark):
+    """Against a plain loop; rows of instances are computed once, however many sets they end in."""
+    import hashlib
+    import random
+
+    rnd = random.Random(5)
+    names = [f"Sentence {a} of {b} goes {c} rather than  elsewhere" for a in "abcd" for b in "xyz" for c in ("up", "on")] + ["Short rather than"]
+    found, hunks, latest, want = [], [], [], set()
+    for doc in range(30):
+        mine = [(k * 50, s) for k, s in enumerate(rnd.sample(names, 12))]
+        old = [" \n".join(rnd.sample([s for _, s in mine], 5)) for _ in range(rnd.choice([0, 1, 3]))]
+        last = "\t".join(s for _, s in mine if rnd.random() < 0.6) if doc else None
+        found += [(doc, *x) for x in mine] + [(doc, *mine[0])] * (doc % 2)
+        hunks += [(doc, t) for t in (*old, None)]
+        latest += [(doc, last)]
+        flat = lambda t: " ".join(t.split())
+        gone = {k for k, s in mine if last is not None and flat(s) not in flat(last) and any(flat(s) in flat(t) for t in old)}
+        kept = [k for d, k, s in found if d == doc and last is not None and flat(s) in flat(last) and len(flat(s)) > 30]
+        kept.sort(key=lambda k: (hashlib.md5(f"13:{doc}:{k}".encode()).hexdigest(), k))
+        want |= {(doc, k, "removed") for k in gone} | {(doc, k, "kept") for k in kept[: len(gone)]}
+    frames = [spark.createDataFrame(found, "doc_id long, char_start long, sentence string"), spark.createDataFrame(hunks, "doc_id long, old_text string"), spark.createDataFrame(latest, "doc_id long, text string")]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    out = items.revision_sets(frames[0].mapInPandas(seen, frames[0].schema), *frames[1:]).collect()
+    assert {(r["doc_id"], r["char_start"], r["fate"]) for r in out} == want and len({f for *_, f in want}) == 2
+    assert sum(r["fate"] == "removed" for r in out) == sum(f == "removed" for *_, f in want)
+    assert made.value == len(found)
+
+
 def test_precision_sample_drops_stale_offsets(spark):
     found = spark.createDataFrame([(1, "p", 3, 6, "abc", "en"), (1, "p", 7, 9, "zz", "en"), (1, "p", 90, 91, "q", "en")], "doc_id long, pattern_id string, char_start long, char_end long, match_text string, lang string")
     texts = spark.createDataFrame([(1, "xx abc yy", 20)], "doc_id long, text string, body_len long")

@@ -120,15 +120,16 @@ def revision_sets(instances: DataFrame, hunks: DataFrame, latest: DataFrame, pap
     rows = instances.select(paper, "char_start", norm(F.col("sentence")).alias("sentence"))
     rows = rows.join(latest.select(paper, norm(F.col("text")).alias("__latest")), paper)
     rows = rows.withColumn("__stays", F.contains("__latest", F.col("sentence"))).drop("__latest")
-    old = hunks.select(F.col(paper).alias("__paper"), norm(F.col("old_text")).alias("__old"))
-    removed = rows.where(~F.col("__stays")).join(old, (F.col(paper) == F.col("__paper")) & F.contains("__old", F.col("sentence")), "left_semi")
-    removed = removed.dropDuplicates([paper, "char_start"])
-    quota = removed.groupBy(F.col(paper).alias("__paper")).agg(F.count(F.lit(1)).alias("__most"))
-    kept = rows.where(F.col("__stays") & (F.length("sentence") > least))
-    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(paper).orderBy(hash_order(seed, paper, "char_start"), "char_start")))
-    kept = kept.join(quota, F.col(paper) == F.col("__paper")).where(F.col("__n") <= F.col("__most"))
-    pick = [paper, "char_start", "sentence"]
-    return removed.select(*pick, F.lit("removed").alias("fate")).union(kept.select(*pick, F.lit("kept").alias("fate")))
+    old = hunks.select(paper, norm(F.col("old_text")).alias("__old")).groupBy(paper).agg(F.collect_list("__old").alias("__old"))
+    there = F.exists(F.coalesce("__old", F.array().cast("array<string>")), lambda x: F.contains(x, F.col("sentence")))
+    fate = F.when(~F.col("__stays") & there, "removed").when(F.col("__stays") & (F.length("sentence") > least), "kept")
+    rows = rows.join(old, paper, "left").withColumn("fate", fate).where("fate is not null").drop("__old", "__stays")
+    # all by paper, so rows are made and moved once; equal places of a paper stand together in the order
+    drawn = Window.partitionBy(paper, "fate").orderBy(hash_order(seed, paper, "char_start"), "char_start", "sentence")
+    again = F.coalesce(F.lag("char_start").over(drawn) == F.col("char_start"), F.lit(False))
+    rows = rows.withColumns({"__n": F.row_number().over(drawn), "__counts": (F.col("fate") == "removed") & ~again})
+    rows = rows.withColumn("__most", F.sum(F.col("__counts").cast("long")).over(Window.partitionBy(paper)))
+    return rows.where(F.col("__counts") | ((F.col("fate") == "kept") & (F.col("__n") <= F.col("__most")))).select(paper, "char_start", "sentence", "fate")
 
 
 def precision_sample(instances: DataFrame, texts: DataFrame, per_cell: int, cell: list[str], key: str = "doc_id", seed: int = 13) -> DataFrame:
