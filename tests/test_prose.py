@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tropelens.functions import names
-from tropelens.operators import passages, repositories, reviews, sampling, syntax, vectors
+from tropelens.operators import corpus, passages, repositories, reviews, sampling, syntax, vectors
 
 
 def one(spark, f, *values):
@@ -87,6 +87,49 @@ def test_vicinity(spark):
     assert [(r["doc_id"], r["side"], r["start"], r["passage"]) for r in got] == [(1, "after", 7, "s7 s8")]
 
 
+def test_vicinity_against_a_loop_moves_no_windows(spark):
+    import hashlib
+    import random
+
+    rnd = random.Random(8)
+    docs = {d: [rnd.choice(["good", "bad", "item", "item good", None]) for _ in range(rnd.choice([0, 1, 6, 30]))] for d in range(40)}
+
+    def want(numbered):
+        for d, rows in numbered.items():
+            places = {p: i for i, (p, _) in enumerate(rows)}
+            for p, s in rows:
+                first = "before" if hashlib.md5(f"13:{d}:{p}".encode()).hexdigest()[0] < "8" else "after"
+                for k in range(8 if s and "item" in s else 0):
+                    side = first if k % 2 == 0 else {"before": "after", "after": "before"}[first]
+                    start = p - 4 - k // 2 if side == "before" else p + 2 + k // 2
+                    parts = [x for _, x in rows[places[start] :][:2]] if start in places else []
+                    if len(parts) == 2 and None not in parts and "bad" not in " ".join(parts):
+                        yield d, p, side, start, " ".join(parts)
+                        break
+
+    good, said = (lambda c: ~F.contains(c, F.lit("bad"))), (lambda c: F.contains(c, F.lit("item")))
+    lists = spark.createDataFrame([*docs.items(), (99, None)], "doc_id long, sentences array<string>").repartition(3)
+    out = sampling.vicinity_in_lists(lists.localCheckpoint(), "sentences", said, 2, good)
+    wanted = set(want({d: [*enumerate(t)] for d, t in docs.items()}))
+    assert {tuple(r) for r in out.collect()} == wanted and {w[2] for w in wanted} == {"before", "after"}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    gaps = {d: [(i + i // 7, s) for i, s in enumerate(t)] for d, t in docs.items()}  # numbers with gaps
+    rows = [(d, p, s) for d, t in gaps.items() for p, s in t]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, pos int, sentence string")
+    out = sampling.vicinity(frame, frame.where(said(F.col("sentence"))).select("doc_id", F.col("pos").cast("long").alias("item_pos")), 2, good)
+    assert {tuple(r) for r in out.collect()} == set(want(gaps))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentence_lists_are_the_sentence_rows(spark):
+    docs = spark.createDataFrame([(1, "A b.\u00a0C d! 3 e? f. G"), (2, ""), (3, None), (4, "One.  Two.\n\nThree. ")], "doc_id long, text string")
+    rows = {}
+    for r in corpus.sentence_rows(docs).orderBy("doc_id", "pos").collect():
+        rows.setdefault(r["doc_id"], []).append(r["sentence"])
+    assert {r["doc_id"]: r["sentences"] for r in corpus.sentence_lists(docs).collect()} == rows and len(rows) == 3
+
+
 def test_cache(spark):
     rows = spark.createDataFrame([(1, "a  b"), (2, "a b "), (3, "c"), (4, None)], "id long, text string")
     fresh = vectors.unseen_texts(rows, None)

@@ -84,6 +84,17 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", end:
     return docs.select(key, F.col(text).alias("__t")).where("__t is not null").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, pos int, start long, sentence string")
 
 
+def sentence_lists(docs: DataFrame, key: str = "doc_id", text: str = "text", end: str = SENTENCE_END) -> DataFrame:
+    """(key, sentences): the sentences of sentence_rows() as an array a document, in their order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rx = re.compile(end)
+        for batch in (p for b in batches for p in pieces(b, ["__t"])):
+            yield pd.DataFrame({key: batch[key], "sentences": [rx.split(t) for t in batch["__t"]]})
+
+    return docs.select(key, F.col(text).alias("__t")).where("__t is not null").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, sentences array<string>")
+
+
 def sentences_with(docs: DataFrame, phrase: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, sentence, before, after of the sentences with a phrase (any case): neighbours come from the same array, so
     nothing is shuffled and other sentences aren't made into rows."""

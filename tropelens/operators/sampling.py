@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tropelens.functions.text import let
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """An order that other engines can compute too: the md5 of seed and keys."""
@@ -108,13 +110,42 @@ def vicinity(sentences: DataFrame, items: DataFrame, size: int, good, key: str =
 
     Windows start a sentence away from the item's neighbours and move off by up to shifts - 1 sentences; which side is
     tried first is a hash's choice. `good` maps a passage column to a boolean. Items without a usable window have no row.
+    Each document's sentences are brought together once; no window is a row.
     """
-    away = Window.partitionBy(key).orderBy(pos).rowsBetween(0, size - 1)
-    windows = sentences.withColumn("__parts", F.collect_list(text).over(away)).where(F.size("__parts") == size)
-    windows = windows.select(F.col(key).alias("__key"), F.col(pos).alias("start"), F.array_join("__parts", " ").alias("passage"))
-    flip = F.substring(hash_order(seed, key, "item_pos"), 1, 1) < "8"
-    tries = items.select(key, "item_pos", F.explode(F.sequence(F.lit(0), F.lit(2 * shifts - 1))).alias("try"), flip.alias("__flip"))
-    shift, before = F.floor(F.col("try") / 2).cast("int"), (F.col("try") % 2 == 0) == F.col("__flip")
-    tries = tries.withColumn("side", F.when(before, "before").otherwise("after")).withColumn("__at", F.when(before, F.col("item_pos") - 2 - size - shift).otherwise(F.col("item_pos") + 2 + shift))
-    found = tries.join(windows, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("start"))).where(good(F.col("passage")))
-    return found.groupBy(key, "item_pos").agg(F.min_by(F.struct("side", "start", "passage"), "try").alias("w")).select(key, "item_pos", "w.*")
+    parts = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(text).alias("sentence"))))
+    docs = sentences.where(F.col(pos).isNotNull()).groupBy(key).agg(parts.alias("__parts"))
+    places = items.where(F.col("item_pos").isNotNull()).groupBy(key).agg(F.collect_set("item_pos").alias("__items"))
+    docs = docs.join(places, key).withColumn("__sentences", F.col("__parts.sentence")).withColumn("__places", F.col("__parts.pos"))
+    return first_windows(docs, "__sentences", F.col("__items"), size, good, key, lambda at: F.array_position("__places", at.cast(sentences.schema[pos].dataType)), shifts, seed)
+
+
+def vicinity_in_lists(docs: DataFrame, sentences: str, is_item, size: int, good, key: str = "doc_id", shifts: int = 4, seed: int = 13) -> DataFrame:
+    """As vicinity(), of documents with an array of their sentences, numbered from 0: items are those that the condition
+    is_item (a sentence's column -> a boolean's) holds for. Nothing is moved."""
+    places = F.filter(F.sequence(F.lit(0), F.size(sentences) - 1), lambda i: is_item(F.get(F.col(sentences), i)))
+    docs = docs.where(F.size(sentences) > 0)
+    return first_windows(docs, sentences, places, size, good, key, lambda at: F.when(at >= 0, at + 1).otherwise(0), shifts, seed)
+
+
+def first_windows(docs: DataFrame, sentences: str, places: Column, size: int, good, key: str, row_of, shifts: int, seed: int) -> DataFrame:
+    """A row an item of each document that has a usable window: tries one after the other, up to the first. row_of maps a sentence's
+    number to its place in the array from 1, or 0."""
+    none = F.lit(None).cast("struct<side:string,start:int,passage:string>")
+
+    def tried(item: Column, k: Column, flip: Column) -> Column:
+        shift, before = F.floor(k / 2).cast("int"), (k % 2 == 0) == flip
+        start = F.when(before, item - 2 - size - shift).otherwise(item + 2 + shift).cast("int")
+        row = row_of(start).cast("int")
+        parts = F.slice(F.col(sentences), F.greatest(row, F.lit(1)), size)
+        whole = (row > 0) & (F.size(parts) == size) & ~F.exists(parts, lambda x: x.isNull())
+        return F.struct(F.when(before, "before").otherwise("after").alias("side"), start.alias("start"), F.when(whole, F.array_join(parts, " ")).alias("passage"))
+
+    def usable(found: Column, w: Column) -> Column:
+        return F.when(found.isNull() & w["passage"].isNotNull() & good(w["passage"]), w).otherwise(found)
+
+    def first(item: Column) -> Column:
+        flip = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), item.cast("string"))), 1, 1) < "8"
+        return let(flip, lambda f: F.aggregate(F.sequence(F.lit(0), F.lit(2 * shifts - 1)), none, lambda found, k: F.when(found.isNotNull(), found).otherwise(let(tried(item, k, f), lambda w: usable(found, w)))))
+
+    found = docs.select(key, F.explode(F.transform(places, lambda p: F.struct(p.alias("item_pos"), first(p).alias("w")))).alias("__f"))
+    return found.select(key, "__f.item_pos", "__f.w").where("w is not null").select(key, "item_pos", "w.*")

@@ -113,11 +113,9 @@ def filler_sentences(spark, d):
 @query("vicinity_windows")
 def vicinity_windows(spark, d):
     """For each sentence with the phrase, the first usable window near it."""
-    rows = corpus.sentence_rows(demo(spark, d).select("doc_id", "text"))
-    items = rows.where(F.contains(F.lower("sentence"), F.lit("rather than"))).select("doc_id", F.col("pos").alias("item_pos"))
-    return rounded(sampling.vicinity(rows, items, 3, passages.usable))
-
-
+    said = lambda c: F.contains(F.lower(c), F.lit("rather than"))
+    docs = demo(spark, d).select("doc_id", "text").where(said("text"))  # other documents have no item
+    return rounded(sampling.vicinity_in_lists(corpus.sentence_lists(docs), "sentences", said, 3, passages.usable))
 
 
 @query(
