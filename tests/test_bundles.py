@@ -157,3 +157,22 @@ def test_copies_count_in_queries(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.sql(SQL[name])
         assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_import_edges_are_made_once_without_a_shuffle(spark):
+    """Files that bear and import several names of one another, folders with dots, repeated rows: against plain loops."""
+    rows = [("r", "a/b/c.py", ["c", "b.c", "a.b.c", "x"]), ("r", "a.b/c.py", ["b.c", "a.b.c"]), ("r", "x/c.py", ["b.c", "c", "x.c"]), ("r", "x.py", ["c"]), ("r", "x.py", ["x.c", "b.c"]), ("r", "z/__init__.py", ["c", "z"]), ("s", "c.py", ["c", "x"]), ("s", "run.sh", [])]
+    rows += [("h", f"d{k}/m{k % 3}.py", [f"m{j % 3}" for j in range(4)] + [f"d{j}.m{j % 3}" for j in range(0, 40, 7)]) for k in range(40)]
+    known = spark.createDataFrame(rows, "repo string, path string, imports array<string>")
+
+    def names(path):
+        parts = path.removesuffix(".py").removesuffix("/__init__").split("/")
+        return {".".join(parts[i:]) for i in range(len(parts))} if path.endswith(".py") else set()
+
+    want = {(r, a, b) for r, a, wanted in rows for s, b, _ in rows if r == s and a != b and names(b) & set(wanted)}
+    edges = bundles.import_edges(known)
+    got = [tuple(x) for x in edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0 :]
+    assert "Exchange" not in plan[: plan.index("Join")]

@@ -186,9 +186,19 @@ def names_of(known: DataFrame) -> DataFrame:
 
 
 def import_edges(known: DataFrame) -> DataFrame:
-    """facts -> (repo, a, b): file a imports file b, by any name that b's path ends with."""
-    wanted = known.select("repo", F.col("path").alias("a"), F.explode("imports").alias("name"))
-    return wanted.join(names_of(known).withColumnRenamed("path", "b"), ["repo", "name"]).where("a <> b").select("repo", "a", "b").distinct()
+    """facts -> (repo, a, b): file a imports file b, by any name that b's path ends with.
+
+    Where names are frequent, edges grow with the square of the files: they are made once and streamed, never shuffled. Of
+    several names by which a imports b one ends the others, so an edge is made by the shortest of them alone.
+    """
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # set: small sides make many edges
+    files = known.groupBy("repo", "path").agg(F.array_distinct(F.flatten(F.collect_list("imports"))).alias("imports"))
+    named = files.select("repo", F.col("path").alias("a"), "imports", F.explode("imports").alias("name"))
+    shorter = F.filter("imports", lambda n: F.col("name").endswith(F.concat(F.lit("."), n)))
+    wanted = named.select("repo", "a", "name", shorter.alias("shorter")).repartition(parts, "repo", "name")
+    names = names_of(known.select("repo", "path").distinct()).withColumnRenamed("path", "b").repartition(parts, "repo", "name")
+    again = F.when(F.size("shorter") > 0, F.arrays_overlap("shorter", module_names(F.col("b")))).otherwise(False)
+    return wanted.join(names.hint("merge"), ["repo", "name"]).where((F.col("a") != F.col("b")) & ~again).select("repo", "a", "b")
 
 
 def invoked(known: DataFrame, readmes: DataFrame) -> DataFrame:
