@@ -51,3 +51,36 @@ def test_large_batch_is_returned_in_pieces(spark, monkeypatch):
     corpus.sentence_rows(frame)
     out = list(made[0](iter([pd.DataFrame({"doc_id": range(400), "__t": ["One is here. Two is there. " * 400] * 400})])))
     assert len(out) > 3 and sum(map(len, out)) == 400 * 800
+
+
+def test_all_nearest_in_blocks_and_parts(spark):
+    """Blocks and parts of any size, with many equal vectors and nulls, against all similarities sorted."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(150, 6))
+    v[10:60] = v[3]
+    v[90:95] = v[20] = v[0]
+    v[100:110] = v[3] + 1e-8 * rng.normal(size=(10, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids = rng.permutation(150) * 7
+    rows = spark.createDataFrame([(int(i), [float(x) for x in u]) for i, u in zip(ids, v, strict=True)] + [(9999, None)], "vec_id long, embedding array<double>").repartition(3)
+    want = {(int(ids[q]), int(i), r) for q in range(150) for r, (_, i) in enumerate(sorted((-round(float(v[q] @ v[o]), 9), ids[o]) for o in range(150) if o != q)[:5], 1)}
+    for block, few, most in ((1024, 1 << 16, 1 << 18), (16, 40, 64), (7, 30, 150), (64, 150, 20)):
+        got = vectors.all_nearest(rows, 5, block=block, few=few, most=most).collect()
+        assert len(got) == len(want) and {(r["query"], r["vec_id"], r["rank"]) for r in got} == want, block
+    assert {(r["query"], r["vec_id"], r["rank"]) for r in vectors.all_nearest(rows.where("vec_id < 21"), 5).collect()} == {(r["query"], r["vec_id"], r["rank"]) for r in vectors.nearest(rows.where("vec_id < 21"), rows.where("vec_id < 21"), 5).collect()}
+    assert vectors.all_nearest(rows.limit(0), 5).count() == 0
+
+
+def test_knn_label_share_asks_for_every_vector(spark, tmp_path):
+    import duckdb
+
+    from tropelens.plans import vector_queries  # noqa: F401
+    from tropelens.plans.base import QUERIES, SQL
+
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(130)], "vec_id long, embedding array<float>, label int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {(r["query"], r["share"]) for r in QUERIES["knn_label_share"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(SQL["knn_label_share"]).fetchall()) and len(got) == 130
