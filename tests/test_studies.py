@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tropelens.functions.patterns import PATTERNS
 from tropelens.operators import cohesion, replicates, revisions, tells, verbatim
 
 WORDS = ["tree", "list", "graph", "model", "data", "learns", "uses", "big", "small", "rather than", "not", "we"]
@@ -276,3 +277,22 @@ def test_subsequence_bounds_similarity():
         for b in texts[:20]:
             assert similarity(a, b) <= most_similar(a, len(b), letter_places(b)) <= 1.0
     assert most_similar("abcdefgh", 8, letter_places("hgfedcba")) == 2 / 16
+
+
+def test_rate_changes_search_a_text_once(spark, monkeypatch):
+    """Each version of a text is searched once for each pattern, and its words counted beside it: in no plan more often."""
+    made = []
+    settled = revisions.settled
+
+    def seen(df):
+        spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+        made.append(df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all("))
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        return settled(df)
+
+    monkeypatch.setattr(revisions, "settled", seen)
+    pairs = spark.createDataFrame([(1, "a b rather than c", "a b instead of c"), (2, "x y", None), (3, "", "it is so, not as such")], "k long, old string, new string").repartition(2)
+    got = {r["pattern_id"]: r for r in revisions.rate_changes(pairs, "old", "new").collect()}
+    assert got["rather_than"]["docs"] == 2 and got["rather_than"]["change"] == -100.0 and got["rather_than"]["changed"] == 1
+    assert got["instead_of"]["new_rate"] == 100.0 and got["x_not_y"]["changed"] == 1 and got["instead_of"]["rho"] == pytest.approx(-1.0)
+    assert sum(made) == 4 * len(PATTERNS)

@@ -165,9 +165,9 @@ def rate_changes(pairs: DataFrame, old: str, new: str, anchor: str = PATTERNS[0]
     ranks, from six changed documents on), and rank correlation of the change with the anchor's change."""
     rate = lambda c, p: 1000.0 * match_count(F.col(c), p) / F.greatest(word_count(F.col(c)), F.lit(1))
     stack = F.array(*(F.struct(F.lit(p.pattern_id).alias("pattern_id"), rate(old, p).alias("a"), rate(new, p).alias("b")) for p in PATTERNS))
-    rows = pairs.where(F.col(old).isNotNull() & F.col(new).isNotNull()).select(stack.alias("s"))
+    stacks = settled(pairs.where(F.col(old).isNotNull() & F.col(new).isNotNull()).select(stack.alias("s")))  # else texts are searched again for every use of s
     base = F.filter("s", lambda x: x["pattern_id"] == anchor)[0]
-    rows = settled(rows.select(F.explode("s").alias("x"), F.round(base["b"] - base["a"], 9).alias("anchor")).select("x.*", "anchor").withColumn("d", F.round(F.col("b") - F.col("a"), 9)))
+    rows = settled(stacks.select(F.explode("s").alias("x"), F.round(base["b"] - base["a"], 9).alias("anchor")).select("x.*", "anchor").withColumn("d", F.round(F.col("b") - F.col("a"), 9)))
     means = rows.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("docs"), F.avg("a").alias("old_rate"), F.avg("b").alias("new_rate"), F.avg("d").alias("change"))
     signed = ranking.signed_ranks(rows, "d", ["pattern_id"]).select("pattern_id", F.col("n").alias("changed"), F.when(F.col("n") > 5, F.col("p")).alias("p"))
     rho = ranking.spearman(rows.where(F.col("pattern_id") != anchor), "anchor", "d", ["pattern_id"]).select("pattern_id", "rho")
