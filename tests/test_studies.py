@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -296,3 +297,29 @@ def test_rate_changes_search_a_text_once(spark, monkeypatch):
     assert got["rather_than"]["docs"] == 2 and got["rather_than"]["change"] == -100.0 and got["rather_than"]["changed"] == 1
     assert got["instead_of"]["new_rate"] == 100.0 and got["x_not_y"]["changed"] == 1 and got["instead_of"]["rho"] == pytest.approx(-1.0)
     assert sum(made) == 4 * len(PATTERNS)
+
+
+def test_matches_in_a_row_are_what_all_pairs_give(spark, monkeypatch):
+    """Chunks of any size, repeated ids, null and empty versions; rows of sentences aren't made and joined."""
+    rng = random.Random(12)
+    docs = []
+    for doc in range(8):
+        old = [a_sentence(rng).capitalize() + "." for _ in range(14)]
+        new = [" ".join(rng.choice(WORDS) if rng.random() < 0.2 else w for w in s[:-1].split(" ")).capitalize() + "." if rng.random() < 0.7 else s for s in old]
+        rng.shuffle(new)
+        docs.append((doc // 2, " ".join(old), " ".join(new + new[:2])))
+    docs += [(9, "Trees rather than lists. Yes.", None), (10, None, "Trees rather than lists."), (11, "Trees rather than lists.", ""), (None, "É rather than 😀.", "É rather than x😀.")]
+    cut = lambda t: re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", t)
+    want = Counter()
+    for _, old, new in docs:
+        for s in cut(old) if old else []:
+            if re.search(r"\brather than\b", s, re.I):
+                found = closest_plainly(s, list(enumerate(cut(new))), 0.6) if new else None
+                want[found[1] if found else None] += 1
+    pairs = spark.createDataFrame(docs, "d long, a string, b string").repartition(3)
+    for asked, texts in ((64, 1024), (2, 3)):
+        got = Counter(r["match"] for r in revisions.matched_in_row(pairs, "a", "b", PATTERNS[0], 0.6, asked, texts).collect())
+        assert got == want and got[None] >= 2
+    monkeypatch.setattr(revisions, "closest", None)
+    told = {(r["direction"], r["outcome"]): r["n"] for r in revisions.substitutions(pairs, "d", "a", "b").collect()}
+    assert told["removed", "sentences"] == sum(want.values()) and told["removed", "unmatched"] == want[None]

@@ -8,11 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tropelens.functions.patterns import PATTERNS, Pattern, match_count, word_count
+from tropelens.functions.batches import MOST_CHARS
+from tropelens.functions.patterns import PATTERNS, Pattern, lowered, match_count, word_count
 from tropelens.functions.text import sentences
 from tropelens.operators import ranking
 from tropelens.operators.repositories import settled
@@ -141,6 +143,80 @@ def sentence_rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def best_of_texts(sentence: str, texts: list[str], counts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[float, int] | None:
+    """(ratio, place) of the text closest to the sentence, of equals the last; None if none reaches `least`. counts has the texts'
+    character counts. Texts are compared in the order of their bounds, and only if their longest common subsequence can win."""
+    import difflib
+
+    points = np.frombuffer(sentence.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bounds = 2.0 * np.minimum(counts, np.bincount(points % CLASSES, minlength=CLASSES)).sum(1) / np.maximum(sizes + len(points), 1)
+    order = np.flatnonzero(bounds >= least)
+    top, found, places = least, None, letter_places(sentence)
+    matcher = difflib.SequenceMatcher(None, "", sentence, autojunk=False)  # indexes the sentence once
+    for k in order[np.lexsort((-order, -bounds[order]))].tolist():
+        if bounds[k] < top:
+            break
+        if most_similar(texts[k], len(sentence), places) < top:
+            continue
+        matcher.set_seq1(texts[k])
+        r = matcher.ratio()
+        if r >= least and (found is None or (r, k) > found):
+            top, found = r, (r, k)
+    return found
+
+
+def matched_in_row(pairs: DataFrame, old: str, new: str, phrase: Pattern, least: float = 0.6, asked: int = 64, texts: int = 1_024) -> DataFrame:
+    """(match): for each sentence of `old` with the phrase the closest sentence of `new` in the same row, or null.
+
+    Sentences that stand in both versions are settled where their texts are. Those of the others are dealt by rows of at most
+    `asked` sentences and `texts` targets, so a long text is several tasks' work; nothing else is moved, and no pair is a row.
+    """
+    sources = F.filter(F.coalesce(sentences(F.col(old)), F.array().cast("array<string>")), lambda x: match_count(x, phrase) > 0)
+    rows = pairs.where(F.contains(lowered(F.col(old)), F.lit(phrase.gate))).select(sources.alias("s"), F.coalesce(sentences(F.col(new)), F.array().cast("array<string>")).alias("t"))
+
+    columns = ["row", "first", "asked", "at", "texts", "match"]
+
+    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, chars = TaskContext.get().partitionId() << 33, [], 0
+        for batch in batches:
+            for s, t in zip(batch["s"], batch["t"], strict=True):
+                known, number = set(t), number + 1
+                held += [(number, 0, None, 0, None, x) for x in s if x in known]
+                rest = [x for x in s if x not in known]
+                for i in range(0, len(rest), asked):
+                    for j in range(0, len(t) or 1, texts):
+                        held.append((number, i, rest[i : i + asked], j, list(t[j : j + texts]), None))
+                        chars += sum(map(len, held[-1][4]))
+                        if chars > MOST_CHARS:
+                            yield pd.DataFrame(held, columns=columns)
+                            held, chars = [], 0
+                if len(held) > 10_000:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, chars = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    found = settled(rows.mapInPandas(same, "row long, first long, asked array<string>, at long, texts array<string>, match string"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, first, wanted, at, among in batch[["row", "first", "asked", "at", "texts"]].itertuples(index=False):
+                among = list(among)
+                points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in among]
+                counts = np.array([np.bincount(x % CLASSES, minlength=CLASSES) for x in points]).reshape(-1, CLASSES)
+                sizes = np.array([len(x) for x in points], dtype=np.int64)
+                for k, x in enumerate(wanted):
+                    got = best_of_texts(x, among, counts, sizes, least)
+                    out.append((row, first + k, None, None, None) if got is None else (row, first + k, got[0], at + got[1], among[got[1]]))
+            yield pd.DataFrame(out, columns=["row", "pos", "ratio", "other", "match"]).astype({"other": "Int64"})
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ones = found.where("asked is not null").repartition(parts).mapInPandas(best, "row long, pos long, ratio double, other long, match string")
+    top = F.max(F.when(F.col("ratio").isNotNull(), F.struct("ratio", "other", "match")))
+    return found.where("asked is null").select("match").unionByName(open_ones.groupBy("row", "pos").agg(top.alias("b")).select("b.match"))
+
+
 def substitutions(pairs: DataFrame, key: str, old: str, new: str, phrase: Pattern = PATTERNS[0], least: float = 0.6) -> DataFrame:
     """(direction, outcome, n): what became of the sentences with a phrase, from old to new (removed) and back (added).
 
@@ -150,8 +226,7 @@ def substitutions(pairs: DataFrame, key: str, old: str, new: str, phrase: Patter
     out = []
     for direction, (a, b) in (("removed", (old, new)), ("added", (new, old))):
         has = lambda c: match_count(F.col(c), phrase) > 0
-        sources = sentence_rows_of(pairs, key, a).where(has("sentence"))
-        rows = closest(sources, sentence_rows_of(pairs, key, b), key, least)
+        rows = settled(matched_in_row(pairs, a, b, phrase, least))
         fate = F.when(F.col("match").isNull(), "unmatched").when(has("match"), "kept").otherwise("changed")
         forms = F.array_compact(F.array(*(F.when(match_count(F.col("match"), p) > 0, f"form:{p.pattern_id}") for p in PATTERNS)))
         forms = F.when(F.size(forms) > 0, forms).otherwise(F.array(F.lit("form:none")))
