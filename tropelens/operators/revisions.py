@@ -139,10 +139,6 @@ def closest(sources: DataFrame, targets: DataFrame, key: str, least: float = 0.6
     return sources.join(scored.unionByName(equal), [key, "pos"], "left")
 
 
-def sentence_rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
-
-
 def best_of_texts(sentence: str, texts: list[str], counts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[float, int] | None:
     """(ratio, place) of the text closest to the sentence, of equals the last; None if none reaches `least`. counts has the texts'
     character counts. Texts are compared in the order of their bounds, and only if their longest common subsequence can win."""
